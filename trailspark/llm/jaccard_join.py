@@ -10,9 +10,11 @@ thus shares a signature; candidates are verified on their whole texts.
 
 Two refinements keep candidates few without losing a link:
 
-- *Spare ranges.* ``n1`` exceeds what the count needs, so ``g`` ranges at least are good for each
-  linked pair. A set may leave unsigned up to ``(g - 1) / 2`` ranges of its own choice, and leaves
-  those that hold fewest features: a signature of nothing would be shared with strangers.
+- *Spare ranges.* ``n1`` exceeds what the count needs. A set of some size differs from its
+  partners of a band in at most ``d`` features, so ``g = n1 - d / (k2 + 1)`` ranges at least are
+  good; for a pair the larger of both counts holds. A set may leave unsigned up to
+  ``(g - 1) / 2`` ranges of its own choice, and leaves those that hold fewest features: a
+  signature of nothing would be shared with strangers.
 - *Frequent features.* Shingles that a bounded sample finds in many documents are left out of
   the domain of the first family of signatures; differences in a part of the domain are at most
   all differences, so the count holds. Sets with too little left for their spare ranges sign
@@ -20,7 +22,10 @@ Two refinements keep candidates few without losing a link:
   fully they are joined in the first.
 
 A bucket (signature) of m documents yields m - 1 pairs with its first document; only documents
-of a bucket that verified links leave in different components are paired with each other.
+of a bucket that verified links leave in different components are compared with each other.
+Before whole texts are, sketches are: counts of features by range of the hash domain. The sum
+of their differences is at most the number of differing features, so a pair that exceeds the
+bound is no link.
 """
 
 from __future__ import annotations
@@ -49,9 +54,10 @@ MOST_FREQUENT = 200_000
 SHARD_SIGNATURES = 1_500_000
 #: Documents and signatures of a block, which a task signs and sends together.
 BLOCK_DOCS, BLOCK_SIGNATURES = 4096, 2_000_000
+#: Members of a bucket that a group compares at most.
+BLOCK_MEMBERS = 2048
 #: Candidate documents whose ids are broadcast at most.
 BROADCAST_IDS = 500_000
-_UP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,41 +69,63 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """64-bit hashes of words; forgets all when it has grown large."""
+_ODD = 0x9E3779B97F4A7C15
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 1_000_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) < 64:
-            self[word] = h
-        return h
+def _byte_values() -> np.ndarray:
+    """A 64-bit value for each byte; A-Z have those of a-z, white space has 0."""
+    v = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    v[65:91] = v[97:123]
+    v[[9, 10, 11, 12, 13, 32]] = 0
+    return v
+
+
+_BYTES = _byte_values()
 
 
-@lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64 and of its inverse."""
+    up, down = np.full(n, _ODD, dtype=np.uint64), np.full(n, pow(_ODD, -1, 1 << 64), dtype=np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit polynomial hashes of the words of UTF-8 bytes, ASCII case folded; cut at blanks, tabs and line ends."""
+    size = 1 << 20
+    out, at = [], 0
+    while at < len(raw):
+        end = len(raw)
+        if end - at > size:  # a block ends where a word does; a longer word has a block of its own
+            cut = [p for p in (raw.find(c, at + size) for c in (b" ", b"\n", b"\t")) if p >= 0]
+            end = min(cut) if cut else len(raw)
+        v = _BYTES[np.frombuffer(raw, dtype=np.uint8, count=end - at, offset=at)]
+        up, down = _powers(1 << max(16, (end - at).bit_length()))
+        word = (v != 0).view(np.int8)
+        edges = np.flatnonzero(np.diff(word, prepend=np.int8(0), append=np.int8(0))).reshape(-1, 2)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v * up[: len(v)], dtype=np.uint64)))
+        first, last = edges[:, 0], edges[:, 1]
+        out.append(_mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a whole text; few words make one."""
-    got = (text or "").encode("utf-8", "replace").translate(_UP).split()
-    if not got:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(_words().__getitem__, got), dtype=np.uint64, count=len(got))
+    h = word_hashes((text or "").encode("utf-8", "replace"))
+    if not len(h):
+        return h
     n = max(1, len(h) - words + 1)
     out = np.full(n, np.uint64(min(len(h), words)), dtype=np.uint64)
     for k in range(min(words, len(h))):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
+        out = out * np.uint64(0xD1342543DE82EF95) + h[k : k + n]
+    return np.unique(_mix(out))
 
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes low to high, most differences k, ranges n1 of n2 parts with k2 spared, ranges a set may skip."""
+    """Sizes low to high, most differences k, ranges n1 of n2 parts with k2 spared."""
 
     low: int
     high: int
@@ -105,7 +133,13 @@ class Band:
     n1: int
     n2: int
     k2: int
-    skip: int
+
+    def skip(self, size: int, percent: int) -> int:
+        """Ranges that a set of ``size`` may leave unsigned in this band."""
+        most = size * 100 // percent
+        other = min(self.high, most) if size >= self.low else most
+        differ = (size + other) * (100 - percent) // (100 + percent)
+        return max(0, (self.n1 - differ // (self.k2 + 1) - 1) // 2)
 
 
 def _band(low: int, percent: int) -> Band:
@@ -116,9 +150,8 @@ def _band(low: int, percent: int) -> Band:
     elif k < 12:
         n1, n2, k2 = -(-(k + 1) // 3), 5, 2
     else:
-        n1, n2, k2 = k + 1 + k // 2, 1, 0
-    good = n1 - k // (k2 + 1)
-    return Band(low, high, k, n1, n2, k2, (good - 1) // 2)
+        n1, n2, k2 = k + 1 + -(-k // 4), 1, 0
+    return Band(low, high, k, n1, n2, k2)
 
 
 @lru_cache(maxsize=4)
@@ -142,11 +175,15 @@ def _layout(n1: int, n2: int, k2: int) -> tuple[np.ndarray, np.ndarray]:
     return edges, masks
 
 
-def _sign(features: np.ndarray, band: Band, salt: int) -> tuple[np.ndarray, np.ndarray]:
+def _running(features: np.ndarray) -> np.ndarray:
+    """Running sums of mixed features: differences of them are hashes of ranges."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(features), dtype=np.uint64)))
+
+
+def _sign(features: np.ndarray, total: np.ndarray, band: Band, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures (n1, subsets) of sorted features for a band, and how many features each covers."""
     edges, masks = _layout(band.n1, band.n2, band.k2)
     cut = np.concatenate(([0], np.searchsorted(features, edges), [len(features)]))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(features), dtype=np.uint64)))
     part = (total[cut[1:]] - total[cut[:-1]]).reshape(band.n1, band.n2)
     size = np.diff(cut).reshape(band.n1, band.n2)
     if band.n2 > 1:
@@ -182,13 +219,15 @@ def signatures(features: np.ndarray, frequent: np.ndarray, percent: int = PERCEN
     if len(frequent):
         spot = np.searchsorted(frequent, features)
         rare = features[frequent[np.minimum(spot, len(frequent) - 1)] != features]
-    out = []
+    out, total, whole = [], _running(rare), None
     for tag in (at, at + 1):
         band = table[tag]
-        part, full = _kept(*_sign(rare, band, 2 * tag), band.skip, True)
+        skip = band.skip(len(features), percent)
+        part, full = _kept(*_sign(rare, total, band, 2 * tag), skip, True)
         out.append(part)
         if not full:
-            out.append(_kept(*_sign(features, band, 2 * tag + 1), band.skip, False)[0])
+            whole = _running(features) if whole is None else whole
+            out.append(_kept(*_sign(features, whole, band, 2 * tag + 1), skip, False)[0])
     return np.concatenate(out)
 
 
@@ -199,9 +238,31 @@ def set_hashes(features: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (a, b))
 
 
-_SIGN_NAMES = ["shard", "base", "ids", "ns", "blob"]
-_SIGN_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-_SIGN_SCHEMA = "shard long, base long, ids array<long>, ns array<long>, blob binary"
+def sketch(features: np.ndarray) -> bytes:
+    """Counts of features by equal ranges of the hash domain, a byte a range; about two features a range."""
+    bits = min(16, max(4, (len(features) // 2).bit_length()))
+    tally = np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(tally, 255).astype(np.uint8).tobytes()
+
+
+def _folded(s: bytes, size: int) -> np.ndarray:
+    """A sketch with its ranges joined until there are ``size``."""
+    a = np.frombuffer(s, dtype=np.uint8).astype(np.int32)
+    return a.reshape(size, -1).sum(axis=1) if len(a) > size else a
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
+    """False only if sketches show more differences than a link of sets of these sizes may have."""
+    size = min(len(a), len(b))
+    # joined counts below 255 are exact; at 255 a count is a lower bound that both sides share
+    if max(a) == 255 or max(b) == 255:
+        return True
+    return (100 + percent) * int(np.abs(_folded(a, size) - _folded(b, size)).sum()) <= (100 - percent) * (na + nb)
+
+
+_SIGN_NAMES = ["shard", "base", "ids", "ns", "sketches", "blob"]
+_SIGN_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()]
+_SIGN_SCHEMA = "shard long, base long, ids array<long>, ns array<long>, sketches array<binary>, blob binary"
 
 
 def _frequent_shingles(df: DataFrame, rows: int, words: int) -> np.ndarray:
@@ -246,7 +307,7 @@ def _signed(df: DataFrame, frequent: np.ndarray, shards: int, words: int, percen
         places: list[np.ndarray] = []
 
         def flush():
-            rows = [[-1 - (31 * part + block) % 4096], [base], [ids], [[x[0] for x in info]], [np.array([x[1] for x in info], dtype=np.int64).tobytes()]]
+            rows = [[-1 - (31 * part + block) % 4096], [base], [ids], [[x[0] for x in info]], [[x[2] for x in info]], [np.array([x[1] for x in info], dtype=np.int64).tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _SIGN_TYPES)], names=_SIGN_NAMES)
             if not sigs:
                 return
@@ -263,7 +324,7 @@ def _signed(df: DataFrame, frequent: np.ndarray, shards: int, words: int, percen
                     blobs.append((s, sig[a:b].view(np.uint8).reshape(-1, 8)[:, :7].tobytes() + place[a:b].astype("<u2").tobytes()))
             for at in range(0, len(blobs), 256):
                 some = blobs[at : at + 256]
-                rows = [[x[0] for x in some], [base] * len(some), [None] * len(some), [None] * len(some), [x[1] for x in some]]
+                rows = [[x[0] for x in some], [base] * len(some), *[[None] * len(some)] * 3, [x[1] for x in some]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _SIGN_TYPES)], names=_SIGN_NAMES)
 
         for b in batches:
@@ -277,7 +338,7 @@ def _signed(df: DataFrame, frequent: np.ndarray, shards: int, words: int, percen
                     places.append(np.full(len(got), len(ids), dtype=np.uint16))
                     held += len(got)
                 ids.append(i)
-                info.append((len(s), h))
+                info.append((len(s), h, sketch(s)))
                 if len(ids) == BLOCK_DOCS or held >= BLOCK_SIGNATURES:
                     yield from flush()
                     base, block, held = base + len(ids), block + 1, 0
@@ -288,17 +349,17 @@ def _signed(df: DataFrame, frequent: np.ndarray, shards: int, words: int, percen
     return df.select("id", "text").mapInArrow(run, _SIGN_SCHEMA)
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("members", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64()))])
 
 
 def _bucketed(table: pa.Table) -> pa.Table:
     """What a shard says: its documents (kind 0), pairs with the first of a bucket (1), buckets of three and more (2)."""
     shard = table.column("shard")[0].as_py()
     if shard < 0:
-        rows = [[], [], [], [], []]
-        for base, ids, ns, blob in zip(*(table.column(c) for c in ("base", "ids", "ns", "blob"))):
+        rows = [[], [], [], [], [], []]
+        for base, ids, ns, sk, blob in zip(*(table.column(c) for c in ("base", "ids", "ns", "sketches", "blob"))):
             h = np.frombuffer(blob.as_py(), dtype=np.int64).reshape(-1, 2)
-            for c, v in zip(rows, (range(base.as_py(), base.as_py() + len(h)), ids.as_py(), ns.as_py(), h[:, 0].tolist(), h[:, 1].tolist())):
+            for c, v in zip(rows, (range(base.as_py(), base.as_py() + len(h)), ids.as_py(), ns.as_py(), h[:, 0].tolist(), h[:, 1].tolist(), sk.as_py())):
                 c.extend(v)
         n = len(rows[0])
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip([[0] * n, *rows, [None] * n], _FOUND.types)], schema=_FOUND)
@@ -337,7 +398,7 @@ def _bucketed(table: pa.Table) -> pa.Table:
     ]
     members = [None] * n + [uid[first[j] : first[j] + size[j]] for j in told]
     nothing = pa.nulls(n + m, pa.int64())
-    return pa.Table.from_arrays([*map(pa.array, cols), nothing, nothing, nothing, pa.array(members, pa.list_(pa.int64()))], schema=_FOUND)
+    return pa.Table.from_arrays([*map(pa.array, cols), nothing, nothing, nothing, pa.nulls(n + m, pa.binary()), pa.array(members, pa.list_(pa.int64()))], schema=_FOUND)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -377,39 +438,33 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     size = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(min(1.0, SAMPLE_DOCS / max(rows, 1)) * 1_000_000)).agg(F.avg(F.octet_length("text"))).first()[0] or 0.0
     shards = int(max(8, -(-size * rows * 0.14 // SHARD_SIGNATURES)))
     signed = _signed(docs, frequent, shards, words, percent)
-    schema = "kind int, a long, b long, n long, h1 long, h2 long, members array<long>"
+    schema = "kind int, a long, b long, n long, h1 long, h2 long, sketch binary, members array<long>"
     found = materialize(signed.groupBy("shard").applyInArrow(_bucketed, schema), "found")
 
     nodes = found.where("kind = 0").select(F.col("a").alias("uid"), F.col("b").alias("id"), "n", "h1", "h2")
     # a class is a set; it is named by the first row that has it, and known by its smallest id
     classes = materialize(nodes.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("node"), F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
-    named = nodes.where("n > 0").select("uid", "h1", "h2", "n").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("uid", "node", "n")
+    named = nodes.where("n > 0").select("uid", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("uid", "node")
     to_node = materialize(named, "nodes")
+    sketches = found.where("kind = 0 and n > 0").select(F.col("a").alias("node"), "n", "sketch")
 
     raw = found.where("kind = 1").select(F.col("a").alias("p"), F.col("b").alias("q")).distinct()
-    left = to_node.select(F.col("uid").alias("p"), F.col("node").alias("u"), F.col("n").alias("nu"))
-    right = to_node.select(F.col("uid").alias("q"), F.col("node").alias("v"), F.col("n").alias("nv"))
-    near = lambda d: d.where((F.col("u") != F.col("v")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")))
-    ordered = lambda d: d.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = materialize(ordered(near(raw.join(left, "p").join(right, "q"))), "pairs")
-
-    texts = _texts(docs, pairs, to_node, nodes, words)
-    links = materialize(_verified(pairs, texts, words, percent), "links")
+    left, right = to_node.select(F.col("uid").alias("p"), F.col("node").alias("u")), to_node.select(F.col("uid").alias("q"), F.col("node").alias("v"))
+    pairs = raw.join(left, "p").join(right, "q").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = materialize(_near(pairs, sketches, percent), "pairs")
+    links = materialize(_verified(pairs, _texts(docs, pairs, nodes, words), words, percent), "links")
 
-    # buckets whose members are still apart: their members are paired across components
+    # buckets whose members are still apart: their members are compared across components
     home = materialize(connected_components(links, "u", "v"), "components")
-    buckets = found.where("kind = 2").select(F.col("a").alias("bucket"), F.explode(F.array_distinct("members")).alias("uid"))
-    members = buckets.join(to_node, "uid").select("bucket", "node", "n").distinct()
-    members = members.join(home, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    buckets = found.where("kind = 2").select(F.col("a").alias("bucket"), F.explode("members").alias("uid"))
+    members = buckets.join(to_node, "uid").select("bucket", "node").distinct()
+    members = members.join(home, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     members = materialize(members, "members")
-    apart = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_ = materialize(members.join(apart, "bucket", "left_semi"), "open")
-    if not open_.isEmpty():
-        one = open_.select("bucket", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-        two = open_.select("bucket", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-        cross = near(one.join(two, "bucket").where("u < v and cu <> cv")).select("u", "v").distinct()
-        more = materialize(cross.join(pairs, ["u", "v"], "left_anti"), "more")
-        links = links.unionByName(materialize(_verified(more, _texts(docs, more, to_node, nodes, words), words, percent), "links"))
+    apart = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
+    cross = materialize(_across(members.join(apart, "bucket").join(sketches, "node"), percent).distinct(), "cross")
+    more = materialize(cross.join(pairs, ["u", "v"], "left_anti"), "more")
+    if not more.isEmpty():
+        links = links.unionByName(materialize(_verified(more, _texts(docs, more, nodes, words), words, percent), "links"))
         home = materialize(connected_components(links, "u", "v"), "components")
 
     # smallest id of each component, over the smallest ids of its classes
@@ -424,7 +479,56 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, to_node: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sketches do not rule out."""
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(k).to_pylist() for k in range(2, 6)]
+            keep = pa.array([j for j, (na, nb, x, y) in enumerate(zip(*cols)) if 100 * min(na, nb) >= percent * max(na, nb) and may_link(x, y, na, nb, percent)], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], names=["u", "v"])
+
+    one = sketches.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+    two = sketches.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+    return pairs.join(two, "v").join(one, "u").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
+
+
+def _across(members: DataFrame, percent: int, block: int = BLOCK_MEMBERS) -> DataFrame:
+    """Pairs (u, v) of members of one bucket in different components that sketches do not rule out.
+
+    A bucket of more than ``block`` members is cut into blocks, and a group compares two of
+    them, so no group grows with a bucket.
+    """
+    count = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
+    own = F.pmod(F.xxhash64("node"), count).cast("int")
+    others = F.sequence(F.lit(0), count - 1)
+    rows = members.withColumn("own", own).withColumn("other", F.explode(others))
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
+        g = g.sort_values("n", kind="stable")
+        size = 1 << max(4, min(len(x) for x in g["sketch"]).bit_length() - 1)
+        table = np.vstack([_folded(x, size) for x in g["sketch"]])
+        full = np.array([max(x) == 255 for x in g["sketch"]])
+        n, node, home, own = (g[c].to_numpy() for c in ("n", "node", "component", "own"))
+        ends = np.searchsorted(n, n * 100 // percent, side="right")
+        for i in range(len(n)):
+            j = np.arange(i + 1, ends[i])
+            j = j[home[j] != home[i]]
+            if lo != hi:
+                j = j[own[j] != own[i]]
+            if len(j):
+                apart = np.abs(table[j] - table[i]).sum(axis=1)
+                j = j[((100 + percent) * apart <= (100 - percent) * (n[j] + n[i])) | full[j] | full[i]]
+                out += [(min(a, node[i]), max(a, node[i])) for a in node[j]]
+        return pd.DataFrame(sorted(set(out)), columns=["u", "v"], dtype="int64")
+
+    return rows.groupBy("bucket", "lo", "hi").applyInPandas(run, "u long, v long")
+
+
+def _texts(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, text) for the nodes of ``pairs``: the text of the row that names each."""
     want = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     rows = materialize(want.join(nodes.select(F.col("uid").alias("node"), "id", "h1", "h2"), "node"), "wanted")
