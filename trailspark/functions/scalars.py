@@ -7,6 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Address patterns of the supported ledgers.
 EVM_ADDRESS = r"^0[xX][0-9a-fA-F]{40}$"
@@ -34,7 +35,7 @@ def hex_to_decimal(text: Column) -> Column:
     return F.when((limb(3) == 0) & (limb(4) == 0), total)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def hex_to_digits(text: pd.Series) -> pd.Series:
     """Exact decimal digits of hex of any width, for values past 38 digits; null if it is no hex."""
 
@@ -47,7 +48,7 @@ def hex_to_digits(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base58check(text: pd.Series) -> pd.Series:
     """Base58Check of 21-byte hex that opens with 41; any other text is returned as it is."""
 
