@@ -208,3 +208,31 @@ def test_streams_equal_batch(spark, tmp_path):
     q = jobs.ingest(jobs.source(spark, f"{tmp_path}/in", df.schema, 1), f"{tmp_path}/table", f"{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/table"), "tx_hash") == [(f"t{i}",) for i in range(7)]
+
+
+def test_relay_stream_equals_the_rule(spark, tmp_path):
+    from trailspark.streaming import jobs
+
+    rng = random.Random(4)
+    events = [(f"a{rng.randrange(3)}", "N", rng.choice(["in", "out"]), pd.Timestamp("2024-01-01").to_pydatetime() + pd.Timedelta(minutes=m).to_pytimedelta()) for m in range(0, 240, 3)]
+    spark.createDataFrame(events, "address string, asset string, side string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = jobs.relays(jobs.source(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema))
+    q = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{tmp_path}/out")).start()
+    q.awaitTermination()
+    got = sorted((r["address"], r["in_us"], r["out_us"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    want = []
+    for a in {e[0] for e in events}:
+        wait = []
+        for us, side in sorted((int(pd.Timestamp(t).value // 1000), s) for x, _, s, t in events if x == a):
+            wait = [t for t in wait if us - t <= 1800 * 1_000_000]
+            if side == "in":
+                wait.append(us)
+            elif wait:
+                want.append((a, wait.pop(0), us))
+    assert got == sorted(want)
+
+
+def test_resume_is_refused_when_spent(spark):
+    df = spark.createDataFrame([("a", "partial", 10, 4), ("b", "done", 10, 4), ("c", "partial", 4, 4)], "case_id string, status string, max_nodes long, spent_nodes long")
+    assert rows(cp.resumable(df), "case_id", "refused") == [("a", None), ("b", "not_partial"), ("c", "spent")]

@@ -39,6 +39,18 @@ def direction_answers(findings: DataFrame, speculative: DataFrame | None = None)
     return out
 
 
+def speculative_stamp(findings: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Findings past a mixer crossing, marked with the basis of the weakest step; traced ones have none."""
+    basis = candidates.groupBy("chain", F.col("far").alias("address")).agg(F.min_by("speculative_basis", F.struct("confidence", "speculative_basis")).alias("basis_of_crossing"))
+    return findings.join(basis, ["chain", "address"], "left").withColumn("speculative", F.col("basis_of_crossing").isNotNull())
+
+
+def case_report(nodes: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row a case and direction: root, addresses reached, verdict, nearest named entity."""
+    per = nodes.groupBy(*CASE).agg(F.count("*").alias("reached"), F.max(F.when(F.col("hop") == 0, F.col("address"))).alias("root"))
+    return per.join(verdicts(answers), CASE, "left").withColumn("verdict", F.coalesce("verdict", F.lit("none")))
+
+
 def verdicts(answers: DataFrame) -> DataFrame:
     """What a direction amounts to: named, unnamed, lead or none."""
     lead = F.col("lead").isNotNull() if "lead" in answers.columns else F.lit(False)
@@ -84,8 +96,8 @@ EVIDENCE_ORDER = ("onchain_fact", "third_party_claim", "heuristic_inference", "e
 
 def ordered_evidence(evidence):
     """Evidence structs in reading order of their kinds, each kind in the order given."""
-    parts = [F.filter(evidence, lambda e, k=k: e["kind"] == k) for k in EVIDENCE_ORDER]
-    return F.concat(*parts)
+    of = lambda kind: F.filter(evidence, lambda e: e["kind"] == kind)
+    return F.concat(*map(of, EVIDENCE_ORDER))
 
 
 def shortfall(findings: DataFrame, expected: DataFrame) -> DataFrame:

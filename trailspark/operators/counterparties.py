@@ -84,6 +84,7 @@ def trace(
     cap_keep: int = 20,
     max_nodes: int | None = None,
     max_opened: int | None = None,
+    start: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Level-by-level expansion of many cases at once: (nodes, edges).
 
@@ -92,7 +93,8 @@ def trace(
     descending, then address) and closes addresses of ``closed`` (chain, address, reason). An
     address reached before, or the root, gains an edge only. ``max_nodes`` and ``max_opened``
     cut a level in claim order, per case. Each level is written to the shared folder; the
-    driver reads one count a level.
+    driver reads one count a level. ``start`` has the nodes of an earlier run: those it left at
+    its depth or frontier go on, the others keep their state (see :func:`resume`).
 
     nodes: case_id, chain, direction, address, hop, value, parent, tx_hash, state, reason,
     dropped; edges: case_id, chain, direction, src, dst, hop, value, tx_hash.
@@ -101,12 +103,22 @@ def trace(
     null = F.lit(None)
     stop = None if closed is None else closed.groupBy("chain", "address").agg(F.min("reason").alias("reason"))
     root = cases.select(*key, F.col("root").alias("address"), F.lit(0).alias("hop"), null.cast("decimal(38,0)").alias("value"), null.cast("string").alias("parent"), null.cast("string").alias("tx_hash"))
-    nodes = level = materialize(root.distinct(), "trace")
     edges: DataFrame | None = None
     states: list[DataFrame] = []
+    if start is None:
+        nodes = level = materialize(root.distinct(), "trace")
+        pending = None
+    else:
+        nodes = start.select(*root.columns)
+        opens = F.col("state").isin("frontier", "depth_horizon")
+        pending = start.where(opens).select(*root.columns)
+        states.append(start.where(~opens).select(*key, "address", "state", "reason", "dropped"))
+        level = pending.where("hop = 0")
     opened = cases.select("case_id").distinct().withColumn("opened", F.lit(0).cast("long"))
     feeds = {d: exposures(movements, d) for d in ("backward", "forward")}
     for hop in range(max_depth + 1):
+        if pending is not None and hop:
+            level = level.unionByName(pending.where(F.col("hop") == hop))
         now = level if stop is None else level.join(stop, ["chain", "address"], "left")
         now = now if stop is not None else now.withColumn("reason", null.cast("string"))
         # a label closes a branch where it is found; the root goes on
@@ -148,7 +160,7 @@ def trace(
             fresh = fresh.join(have, "case_id").withColumn("_n", F.row_number().over(w) + F.col("_have")).where(F.col("_n") <= max_nodes).drop("_n", "_have")
         level = materialize(fresh, "trace")
         nodes = nodes.unionByName(level)
-        if level.isEmpty():
+        if pending is None and level.isEmpty():
             break
     state = None
     for s in states:
@@ -159,6 +171,19 @@ def trace(
     return nodes.join(last, [*key, "address"], "left"), empty if edges is None else edges
 
 
+def resumable(cases: DataFrame) -> DataFrame:
+    """Cases that may go on, and why others may not: only a partial run with allowance over what it spent."""
+    why = F.when(F.col("status") != "partial", "not_partial").when(F.col("max_nodes") <= F.col("spent_nodes"), "spent")
+    return cases.withColumn("refused", why)
+
+
+def resume(nodes: DataFrame, edges: DataFrame, movements: DataFrame, closed: DataFrame | None = None, **budgets) -> tuple[DataFrame, DataFrame]:
+    """An earlier run with larger budgets: (nodes, edges) of both runs together."""
+    cases = nodes.where("hop = 0").select("case_id", "chain", F.col("address").alias("root"), "direction")
+    more, new = trace(cases, movements, closed, start=materialize(nodes, "resume"), **budgets)
+    return more, edges.unionByName(new)
+
+
 def hop_profile(nodes: DataFrame) -> DataFrame:
     """Nodes by case, direction and hop, and growth over the hop before."""
     per = nodes.groupBy("case_id", "direction", "hop").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("state") == "closed").alias("n_closed"))

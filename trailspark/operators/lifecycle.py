@@ -90,6 +90,11 @@ def event_page(events: DataFrame, after: int, limit: int) -> DataFrame:
     return events.where(F.col("id") > after).orderBy("id").limit(limit)
 
 
+def snapshot_moved(events: DataFrame, known: int) -> DataFrame:
+    """One row: the log's largest id, and whether a snapshot taken at ``known`` has to be read again."""
+    return events.agg(F.max("id").alias("newest")).withColumn("moved", F.coalesce(F.col("newest") > known, F.lit(False)))
+
+
 def collisions(claims: DataFrame) -> DataFrame:
     """Keys that several claims share across packs: (chain, lower address, source, n)."""
     return claims.groupBy("chain", F.lower("address").alias("address"), "source").agg(F.count("*").alias("n")).where("n > 1")

@@ -249,6 +249,16 @@ def c6(spark, d):
     return nodes.select("case_id", "direction", "address", "hop", long("value"))
 
 
+@query("c7_resumed_trace", TRACE + " SELECT case_id, direction, address, hop, value, parent, state FROM st")
+def c7(spark, d):
+    """All cases stopped after one hop and resumed for another."""
+    c = cp.expand_objectives(cases(spark, d)).select("case_id", "chain", "root", "direction")
+    mv, stop = materialize(movements(spark, d), "movements"), closed_by(labels(spark, d))
+    nodes, edges = cp.trace(c, mv, stop, 1, 15, 6)
+    nodes, _ = cp.resume(nodes, edges, mv, stop, max_depth=2, cap_over=15, cap_keep=6)
+    return nodes.select("case_id", "direction", "address", "hop", long("value"), "parent", "state")
+
+
 @query("c8_paths", TRACE + """ SELECT a.case_id, a.direction, a.address, a.hop AS hops, CASE a.hop WHEN 0 THEN '' WHEN 1 THEN a.tx_hash ELSE concat(b.tx_hash, ',', a.tx_hash) END AS path
 FROM nodes a LEFT JOIN n1 b ON a.hop = 2 AND a.case_id = b.case_id AND a.direction = b.direction AND a.parent = b.address""")
 def c8(spark, d):

@@ -289,6 +289,15 @@ def e5b(spark, d):
     return documents.reserve_island(pages, "Reserve", "island").select("page_id", "chain", "address", F.col("source_date").cast("string").alias("source_date"))
 
 
+@query("e7_address_files", raw="""SELECT DISTINCT CASE c_nationkey % 4 WHEN 0 THEN 'bitcoin' WHEN 1 THEN 'ethereum' ELSE 'tron' END AS chain, concat('0x', lpad(lower(to_hex(c_custkey // 3)), 40, '0')) AS address FROM customer WHERE c_nationkey % 4 < 3""")
+def e7(spark, d):
+    """Claims of vendored lists, one a nation; a quarter have a code that names no ledger."""
+    code = F.get(F.array(*map(F.lit, ("XBT", "ETH", "TRX", "ZZZ"))), F.col("c_nationkey") % 4)
+    one = F.concat(F.lit("0x"), F.lpad(F.hex(F.floor(F.col("c_custkey") / 3)), 40, "0"))
+    docs = table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.sort_array(F.collect_list(one))).alias("content"))
+    return documents.address_files(docs.select(F.concat(F.lit("list"), F.col("c_nationkey").cast("string"), F.lit("_"), code, F.lit(".json")).alias("path"), "content")).select("chain", "address")
+
+
 TAG = "tg AS (SELECT concat('a', c_custkey // 2) AS address, c_custkey AS n, concat(c_mktsegment, CASE c_custkey % 4 WHEN 0 THEN ' dep : 1' WHEN 1 THEN ' pool' WHEN 2 THEN ' hack' ELSE ' hot' END) AS tag, c_mktsegment AS seg FROM customer)"
 
 
@@ -352,6 +361,39 @@ def _event_stream(spark, d) -> DataFrame:
     return jobs.typed(jobs.source(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema))
 
 
+def _line_stream(spark, d) -> DataFrame:
+    """Lines as a stream of movements; orders are the static side."""
+    t = jobs.source(spark, f"{d}/lineite[m].parquet", table(spark, d, "lineitem").schema)
+    t = t.join(table(spark, d, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    tax = F.round(F.col("l_tax") * 100).cast("decimal(38,0)")
+    return t.select(F.lit("ledger").alias("chain"), F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("tx_hash"), F.concat(F.lit("line:"), F.col("l_linenumber").cast("string")).alias("dedup_key"), F.col("l_shipdate").alias("ts"), F.when(tax > 0, tax).alias("gas_price"))
+
+
+@query("k1_ingest_stream", "SELECT tx_hash, dedup_key FROM mv")
+def k1(spark, d):
+    """Keys that a stream of lines leaves in the movement table: each once."""
+    out = new_path(spark, "stream-table")
+    q = jobs.ingest(_line_stream(spark, d), out, new_path(spark, "stream-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out).select("tx_hash", "dedup_key")
+
+
+@query("k2_late_prices", """p AS (SELECT tx_hash, min(gas_price) AS g FROM raw WHERE gas_price IS NOT NULL GROUP BY tx_hash)
+SELECT mv.tx_hash, dedup_key, coalesce(gas_price, g) AS gas_price, gas_price IS NULL AND g IS NOT NULL AS changed FROM mv LEFT JOIN p ON mv.tx_hash = p.tx_hash""")
+def k2(spark, d):
+    """Gas prices that a stream brings late, applied once to stored movements."""
+    late = _drain(_line_stream(spark, d).select("chain", "tx_hash", "gas_price"), spark, "prices")
+    return jobs.late_prices(late, movements(spark, d)).select("tx_hash", "dedup_key", long("gas_price"), "changed")
+
+
+@query("k4_activity_stream", raw="""SELECT strftime(date_trunc('hour', ts) - to_hours(i), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM events, (SELECT unnest(range(6)) AS i) GROUP BY ALL""")
+def k4(spark, d):
+    """Events by user in six-hour windows that open each hour, from a stream; a window's last update counts."""
+    s = jobs.activity(_event_stream(spark, d).select("ts", "user_id", "event_type"), "user_id", "event_type", late="60 days")
+    out = _drain(s.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n"), spark, "activity", "update")
+    return out.groupBy("start", "user_id").agg(F.max("n").alias("n"))
+
+
 @query("k3_alert_stream", "SELECT event_id, hit.address FROM events JOIN (SELECT DISTINCT address FROM lab WHERE status = 'active' AND category = 'sanctioned') hit ON hit.address = concat('A', user_id)")
 def k3(spark, d):
     """Stream of events that touch sanctioned addresses."""

@@ -321,6 +321,12 @@ def f8(spark, d):
     return lifecycle.event_page(table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type"), 100, 50)
 
 
+@query("f9_snapshot_moved", raw="SELECT max(event_id) AS newest, max(event_id) > 500 AS moved FROM events")
+def f9(spark, d):
+    """Whether a label snapshot taken at event 500 has to be read again."""
+    return lifecycle.snapshot_moved(table(spark, d, "events").select(F.col("event_id").alias("id")), 500)
+
+
 @query("f10_cycle_report", ARRIVE + """, sc AS (SELECT DISTINCT source FROM st0), x AS (SELECT source, count(*) FILTER (outcome = 'added') AS added, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged, max(source_date) AS published_at FROM up WHERE outcome <> 'kept' GROUP BY 1)
 SELECT sc.source, coalesce(added, 0) AS added, coalesce(updated, 0) AS updated, coalesce(unchanged, 0) AS unchanged, CAST(published_at AS VARCHAR) AS published_at, published_at IS NULL AS not_supplied, coalesce(DATE '2024-06-01' - published_at > 100, false) AS stale FROM sc LEFT JOIN x USING (source)""")
 def f10(spark, d):
@@ -371,6 +377,48 @@ def j2(spark, d):
     return answers.direction_answers(found(spark, d)[1])
 
 
+STAMP = FIND + ", " + MIX + ", sf AS (SELECT fd.*, address IN (SELECT far FROM ex) AS speculative FROM fd)"
+
+
+def stamped(spark, d):
+    """Nodes, and findings with those past a crossing marked."""
+    nodes, f = found(spark, d)
+    candidates = exit_candidates(spark, d).withColumn("speculative_basis", F.concat_ws(" ", F.col("rung").cast("string"), F.col("mixer")))
+    return nodes, materialize(answers.speculative_stamp(f, candidates), "stamped")
+
+
+@query("h12_speculative_stamp", STAMP + " SELECT case_id, direction, address, hop, speculative FROM sf")
+def h12(spark, d):
+    """Findings of all cases, those past a mixer crossing marked."""
+    return stamped(spark, d)[1].select("case_id", "direction", "address", "hop", "speculative")
+
+
+@query("j4_best_effort", STAMP + """, t AS (SELECT case_id, direction, address AS nearest FROM sf WHERE NOT speculative QUALIFY row_number() OVER (PARTITION BY case_id, direction ORDER BY hop, named, confidence DESC, address) = 1),
+g AS (SELECT case_id, direction, address AS lead FROM sf WHERE speculative QUALIFY row_number() OVER (PARTITION BY case_id, direction ORDER BY hop, named DESC, confidence DESC, address) = 1)
+SELECT coalesce(t.case_id, g.case_id) AS case_id, coalesce(t.direction, g.direction) AS direction, nearest, CASE WHEN nearest IS NULL THEN lead END AS lead FROM t FULL JOIN g ON t.case_id = g.case_id AND t.direction = g.direction""")
+def j4(spark, d):
+    """Nearest traced endpoint, or a lead past a crossing where nothing was traced."""
+    _, f = stamped(spark, d)
+    return answers.direction_answers(f.where("not speculative"), f.where("speculative")).select("case_id", "direction", "nearest", "lead")
+
+
+@query("j10_evidence_order", """e AS (SELECT address, ['third_party_claim', 'heuristic_inference', 'onchain_fact', 'engine_observation'][list_position(['official', 'community', 'proof', 'heuristic'], method)] AS kind, concat(source, '/', entity) AS what FROM lab),
+u AS (SELECT DISTINCT * FROM e) SELECT address, string_agg(concat(kind, ':', what), ' ' ORDER BY list_position(['onchain_fact', 'third_party_claim', 'heuristic_inference', 'engine_observation'], kind), what) AS evidence FROM u GROUP BY address""")
+def j10(spark, d):
+    """Evidence of every labelled address in reading order; methods stand for kinds."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in (("official", "third_party_claim"), ("community", "heuristic_inference"), ("proof", "onchain_fact"), ("heuristic", "engine_observation")) for x in kv]), F.col("method"))
+    e = labels(spark, d).groupBy("address").agg(F.sort_array(F.collect_set(F.struct(F.concat_ws("/", "source", "entity").alias("what"), kind.alias("kind")))).alias("e"))
+    return e.select("address", F.array_join(F.transform(answers.ordered_evidence(F.col("e")), lambda x: F.concat_ws(":", x["kind"], x["what"])), " ").alias("evidence"))
+
+
+@query("j12_case_report", FIND + """, pr2 AS (SELECT case_id, direction, count(*) AS reached, max(CASE WHEN hop = 0 THEN address END) AS root FROM nodes GROUP BY ALL)
+SELECT case_id, direction, reached, root, CASE WHEN nearest IS NULL THEN 'none' WHEN named_address IS NOT NULL THEN 'named' ELSE 'unnamed' END AS verdict, named_entity FROM pr2 LEFT JOIN aw USING (case_id, direction)""")
+def j12(spark, d):
+    """Report rows of all cases."""
+    nodes, f = found(spark, d)
+    return answers.case_report(nodes, answers.direction_answers(f)).select("case_id", "direction", "reached", "root", "verdict", "named_entity")
+
+
 @query("j5_claim_entities", r"s AS (SELECT DISTINCT concat(address, ' labeled ''', entity, '''') AS t FROM lab) SELECT t AS summary, regexp_extract(t, '^(.+?) labeled ''([^'']+)''$', 1) AS subject, regexp_extract(t, '^(.+?) labeled ''([^'']+)''$', 2) AS entity FROM s")
 def j5(spark, d):
     """Entities read out of claim sentences."""

@@ -146,6 +146,18 @@ def sanctions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return claims, d.where("size(reasons) > 0").select("path", "reasons")
 
 
+def address_files(documents: DataFrame) -> DataFrame:
+    """Claims of vendored lists, JSON arrays named ``<anything>_<CODE>.json``; an address of several files counts once.
+
+    Files whose code names no ledger give no claims.
+    """
+    table = F.create_map(*[F.lit(x) for kv in TICKERS.items() for x in kv])
+    code = F.upper(F.regexp_extract("path", r"_([A-Za-z]+)\.json$", 1))
+    rows = documents.withColumn("chain", F.element_at(table, code)).where("chain is not null").select("chain", F.explode(F.from_json("content", "array<string>")).alias("a"))
+    canon = F.when(F.col("a").rlike("^0[xX]"), F.lower("a")).otherwise(F.trim("a"))
+    return rows.where("a is not null").select("chain", canon.alias("address"), F.lit("sanctioned").alias("category")).distinct()
+
+
 def page_island(pages: DataFrame, script_id: str, field: str, html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, record, value): records of a JSON map inside a JSON string inside a script element."""
     pattern = f'(?s)<script[^>]*id="{script_id}"[^>]*>(.*?)</script>'
