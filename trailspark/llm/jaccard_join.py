@@ -238,26 +238,32 @@ def set_hashes(features: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (a, b))
 
 
+#: The four 2-bit counts of each byte.
+_COUNTS = np.stack([(np.arange(256) >> k) & 3 for k in (0, 2, 4, 6)], axis=1).astype(np.int8)
+
+
 def sketch(features: np.ndarray) -> bytes:
-    """Counts of features by equal ranges of the hash domain, a byte a range; about two features a range."""
-    bits = min(16, max(4, (len(features) // 2).bit_length()))
+    """Counts of features, up to 3, by equal ranges of the hash domain: two to four ranges a feature, 2 bits each."""
+    bits = min(18, max(6, (2 * len(features)).bit_length()))
     tally = np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(tally, 255).astype(np.uint8).tobytes()
+    c = np.minimum(tally, 3).astype(np.uint8).reshape(-1, 4)
+    return (c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).tobytes()
 
 
 def _folded(s: bytes, size: int) -> np.ndarray:
-    """A sketch with its ranges joined until there are ``size``."""
-    a = np.frombuffer(s, dtype=np.uint8).astype(np.int32)
-    return a.reshape(size, -1).sum(axis=1) if len(a) > size else a
+    """Counts of a sketch with ranges joined until there are ``size``.
+
+    They are cut at 3 again, which gives what a sketch of that size has: a joined range of 3 and
+    more features shows 3 in either.
+    """
+    a = _COUNTS[np.frombuffer(s, dtype=np.uint8)].ravel()
+    return np.minimum(a.reshape(size, -1).sum(axis=1), 3).astype(np.int8) if len(a) > size else a
 
 
 def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
     """False only if sketches show more differences than a link of sets of these sizes may have."""
-    size = min(len(a), len(b))
-    # joined counts below 255 are exact; at 255 a count is a lower bound that both sides share
-    if max(a) == 255 or max(b) == 255:
-        return True
-    return (100 + percent) * int(np.abs(_folded(a, size) - _folded(b, size)).sum()) <= (100 - percent) * (na + nb)
+    size = 4 * min(len(a), len(b))
+    return (100 + percent) * int(np.abs(_folded(a, size) - _folded(b, size)).sum(dtype=np.int64)) <= (100 - percent) * (na + nb)
 
 
 _SIGN_NAMES = ["shard", "base", "ids", "ns", "sketches", "blob"]
@@ -383,7 +389,11 @@ def _bucketed(table: pa.Table) -> pa.Table:
     key, uid = key[fresh], uid[fresh]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, int)
     size = np.diff(np.concatenate((first, [len(key)])))
-    lead = np.repeat(uid[first], size) if len(key) else uid
+    # the document that shares most with others leads its buckets: it is likeliest to link to them
+    names, slot = np.unique(uid, return_inverse=True)
+    shared = np.bincount(slot, weights=np.repeat(size, size), minlength=len(names)) if len(key) else np.empty(0)
+    best = np.lexsort((uid, -shared[slot], np.repeat(np.arange(len(first)), size))) if len(key) else first
+    lead = np.repeat(uid[best[first]], size) if len(key) else uid
     pairs = np.unique(np.stack((lead, uid), axis=1)[lead != uid], axis=0)
     # buckets with the same members say the same: one of them is told
     marks = np.add.reduceat(_mix(uid.view(np.uint64)), first) if len(key) else np.empty(0, np.uint64)
@@ -458,14 +468,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     home = materialize(connected_components(links, "u", "v"), "components")
     buckets = found.where("kind = 2").select(F.col("a").alias("bucket"), F.explode("members").alias("uid"))
     members = buckets.join(to_node, "uid").select("bucket", "node").distinct()
-    members = members.join(home, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     members = materialize(members, "members")
-    apart = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
-    cross = materialize(_across(members.join(apart, "bucket").join(sketches, "node"), percent).distinct(), "cross")
-    more = materialize(cross.join(pairs, ["u", "v"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(materialize(_verified(more, _texts(docs, more, nodes, words), words, percent), "links"))
-        home = materialize(connected_components(links, "u", "v"), "components")
+    # links between components are sought by their nearest pairs first; the last round leaves none untried
+    tried = pairs
+    for most in (1, None):
+        now = members.join(home, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        apart = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
+        cross = _across(now.join(apart, "bucket").join(sketches, "node"), percent, most).distinct()
+        more = materialize(cross.join(tried, ["u", "v"], "left_anti"), "cross")
+        if more.isEmpty():
+            if most is None:
+                break
+            continue
+        tried = tried.unionByName(more)
+        fresh = materialize(_verified(more, _texts(docs, more, nodes, words), words, percent), "links")
+        if not fresh.isEmpty():
+            links = links.unionByName(fresh)
+            home = materialize(connected_components(links, "u", "v"), "components")
 
     # smallest id of each component, over the smallest ids of its classes
     placed = classes.join(home, "node", "left").select("h1", "h2", "id", F.coalesce("component", "node").alias("component"))
@@ -493,39 +512,75 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "v").join(one, "u").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def _across(members: DataFrame, percent: int, block: int = BLOCK_MEMBERS) -> DataFrame:
+def _across(members: DataFrame, percent: int, most: int | None, block: int = BLOCK_MEMBERS) -> DataFrame:
     """Pairs (u, v) of members of one bucket in different components that sketches do not rule out.
 
-    A bucket of more than ``block`` members is cut into blocks, and a group compares two of
+    Of each two components in a bucket the ``most`` nearest pairs by sketch, or all. A bucket of more than ``block`` members is cut into blocks, and a group compares two of
     them, so no group grows with a bucket.
     """
     count = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
     own = F.pmod(F.xxhash64("node"), count).cast("int")
     others = F.sequence(F.lit(0), count - 1)
     rows = members.withColumn("own", own).withColumn("other", F.explode(others))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n", "sketch")
+
+    seen: set[tuple[int, int]] = set()
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        lo, hi = int(g["lo"].iloc[0]), int(g["hi"].iloc[0])
-        g = g.sort_values("n", kind="stable")
-        size = 1 << max(4, min(len(x) for x in g["sketch"]).bit_length() - 1)
+    def pairs(g: pd.DataFrame) -> list[np.ndarray]:
+        size = 4 * min(map(len, g["sketch"]))
         table = np.vstack([_folded(x, size) for x in g["sketch"]])
-        full = np.array([max(x) == 255 for x in g["sketch"]])
         n, node, home, own = (g[c].to_numpy() for c in ("n", "node", "component", "own"))
         ends = np.searchsorted(n, n * 100 // percent, side="right")
+        two, out = g["lo"].iloc[0] != g["hi"].iloc[0], []
         for i in range(len(n)):
             j = np.arange(i + 1, ends[i])
-            j = j[home[j] != home[i]]
-            if lo != hi:
-                j = j[own[j] != own[i]]
+            j = j[(home[j] != home[i]) & ((own[j] != own[i]) if two else True)]
+            if not len(j):
+                continue
+            apart = np.abs(table[j] - table[i]).sum(axis=1, dtype=np.int64)
+            ok = (100 + percent) * apart <= (100 - percent) * (n[j] + n[i])
+            j, apart = j[ok], apart[ok]
             if len(j):
-                apart = np.abs(table[j] - table[i]).sum(axis=1)
-                j = j[((100 + percent) * apart <= (100 - percent) * (n[j] + n[i])) | full[j] | full[i]]
-                out += [(min(a, node[i]), max(a, node[i])) for a in node[j]]
-        return pd.DataFrame(sorted(set(out)), columns=["u", "v"], dtype="int64")
-
-    return rows.groupBy("bucket", "lo", "hi").applyInPandas(run, "u long, v long")
+                a, b = np.minimum(home[j], home[i]), np.maximum(home[j], home[i])
+                out.append(np.stack((a, b, apart, np.minimum(node[j], node[i]), np.maximum(node[j], node[i])), axis=1))
+        if not out:
+            return []
+        found = np.concatenate(out)
+        found = found[np.lexsort((found[:, 4], found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
+        if most is not None:  # the nearest of each two components
+            fresh = np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(axis=1)))
+            start = np.maximum.accumulate(np.where(fresh, np.arange(len(found)), 0))
+            found = found[np.arange(len(found)) - start < most]
+        return [found[:, 3:]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups follow one another in sorted rows; the last of a frame may go on in the next."""
+        rest = None
+        seen.clear()
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            pdf = pdf if rest is None else pd.concat((rest, pdf), ignore_index=True)
+            key = pdf[["bucket", "lo", "hi"]].to_numpy()
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            last = int(cut[-1]) if len(cut) else 0
+            rest = pdf.iloc[last:]
+            yield told(pdf, cut)
+        if rest is not None:
+            yield told(rest.reset_index(drop=True), np.array([len(rest)]))
+
+    def told(pdf: pd.DataFrame, cut: np.ndarray) -> pd.DataFrame:
+        out, at = [], 0
+        for end in cut.tolist():
+            out += pairs(pdf.iloc[at:end])
+            at = end
+        both = set(map(tuple, np.concatenate(out).tolist())) - seen if out else set()
+        if len(seen) < 1_000_000:  # buckets of a family repeat its pairs; the rest is left to distinct()
+            seen.update(both)
+        return pd.DataFrame(sorted(both), columns=["u", "v"], dtype="int64")
+
+    dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "node")
+    return dealt.mapInPandas(run, "u long, v long")
 
 
 def _texts(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
