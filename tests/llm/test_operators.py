@@ -361,3 +361,17 @@ def test_randomness_battery_tells_random_from_regular(spark):
     rows = [(k, "key " + "".join(rng.choice(alphabet) for _ in range(44)) + " end") for k in range(100)] + [(k, "id " + "zzzz1111" * 6 + str(k) + " end") for k in range(100, 200)]
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.find_secrets(docs(spark, rows).drop("spans")).collect()}
     assert sum(got[k] == ["random"] for k in range(100)) >= 90 and all(got[k] == [] for k in range(100, 200))
+
+
+def test_random_values_behind_names_and_paths():
+    rng = random.Random(12)
+    draw = lambda signs, n=44: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + signs) for _ in range(n - 2)) + "a7"
+    for _ in range(50):
+        plain, padded, url, std = draw("+/"), draw("+/", 18) + "==", draw("-_", 43) + "-", draw("+/", 43) + "+"
+        for text, want in ((f"export AWS_KEY={plain} x", plain), (f"sig={padded};", padded), (f"a_name_of_20_or_more_1={plain}", plain), (f"x={plain}={padded}", padded)):
+            found = [text[a:b] for a, b, _, _ in secret_scan._spans(text)[1]]
+            assert want in found and all("=" not in f.rstrip("=") for f in found)
+        for text, want in ((f"etc/keys/{url}", url), (f"my_key-{std}", std)):
+            assert want in [text[a:b] for a, b, _, _ in secret_scan._spans(text)[1]]
+    assert secret_scan._spans(f"token={plain}")[1] == []
+    assert secret_scan._spans(f"a+b/{'c' * 30}")[1] == []

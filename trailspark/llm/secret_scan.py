@@ -1,6 +1,9 @@
 """Secrets: fixed patterns, and a battery of randomness tests over long tokens.
 
-Candidates are long runs of letters and digits with signs of base encodings. Each is read as the
+Candidates are long runs of letters and digits with signs of base encodings; ``=`` belongs to one
+only as padding at its end, so in ``name=value`` the value is tested by itself. A run that mixes
+``+`` or ``/`` with ``-`` or ``_`` fits no encoding: it is cut at the one pair of signs and at the
+other, and the parts of both cuts are candidates, which may overlap. Each candidate is read as the
 smallest encoding that holds it (hex, base32, base64 and the like); a chi-squared test for
 uniform use of that alphabet, a runs test about the median and a serial-correlation test give
 p-values, combined by the harmonic mean. Over the whole table, within classes of length, the
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +37,12 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE = 6
-#: Candidates: length, characters; they need a digit and a letter.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Candidates: length, characters; they need a digit and a letter. A run is cut at each ``=`` that is not at its end.
+LEAST_TOKEN = 20
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_TOKEN)
+PART = re.compile(r"[^=]+(?:=+\Z)?")
+#: What a run is cut at when it holds signs of both pairs.
+CUTS = (re.compile("[^+/]+"), re.compile("[^_-]+"))
 #: False-discovery rate at which tokens are rejected as not random; steps of the p-value histogram.
 RATE, STEPS = 0.05, 1000
 #: Longer tokens are tested on all their characters but share the last class.
@@ -92,29 +100,47 @@ def battery(token: str) -> tuple[str, float] | None:
     return name, min(1.0, len(p) / sum(1 / v for v in p))
 
 
+def _candidate(t: str, at: int, taken: tuple[list[int], list[int]]) -> tuple[int, int, float, int] | None:
+    """(start, end, p, class) of a candidate outside the spans taken (disjoint: starts, ends); None when it has too little."""
+    if len(t) < LEAST_TOKEN or not re.search("[0-9]", t) or not re.search("[A-Za-z]", t):
+        return None
+    k = bisect_right(taken[1], at)
+    if k < len(taken[0]) and taken[0][k] < at + len(t):
+        return None
+    got = battery(t)
+    if got is None:
+        return None
+    bits = len(t.rstrip("=")) * math.log2(next(len(r) for n, _, r in _SETS if n == got[0]))
+    return (at, at + len(t), got[1], sum(len(t) >= c for c in CLASSES)) if bits >= LEAST_BITS else None
+
+
+def _tested(t: str, at: int, taken: tuple[list[int], list[int]]) -> list[tuple[int, int, float, int]]:
+    """Candidates of a run without inner ``=``: itself, or its parts when no alphabet holds it."""
+    if all(cut.search(t) and cut.sub("", t) for cut in CUTS):
+        parts = [_candidate(m[0], at + m.start(), taken) for cut in CUTS for m in cut.finditer(t)]
+    else:
+        parts = [_candidate(t, at, taken)]
+    return sorted({p for p in parts if p})
+
+
 def _spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float, int]]]:
     """Base spans (start, kind, end) and candidates (start, end, p, class) outside them."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= LEAST_VALUE]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, e in base:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(a)
+            ends.append(e)
     more = []
-    k = 0
-    ends = sorted((s, e) for s, _, e in base)
     for m in TOKEN.finditer(text):
-        t = m[0]
-        if not re.search("[0-9]", t) or not re.search("[A-Za-z]", t):
-            continue
-        while k < len(ends) and ends[k][1] <= m.start():
-            k += 1
-        if any(s < m.end() and e > m.start() for s, e in ends[max(0, k - 2) : k + 3]):
-            continue
-        got = battery(t)
-        if got is None:
-            continue
-        bits = len(t.rstrip("=")) * math.log2(next(len(r) for n, _, r in _SETS if n == got[0]))
-        if bits >= LEAST_BITS:
-            more.append((m.start(), m.end(), got[1], sum(len(t) >= c for c in CLASSES)))
+        for part in PART.finditer(m[0]):
+            more += _tested(part[0], m.start() + part.start(), (starts, ends))
     return base, more
 
 
