@@ -103,6 +103,23 @@ def test_local_search_closes_bins():
     assert sum(int(sizes[b].sum()) ** 2 for b in swap if b) > before
 
 
+def test_local_search_leaves_no_step_where_best_fit_is_poor():
+    lengths = np.random.default_rng(1).integers(1300, 1431, 20_000)
+    fill = np.bincount(packing.pack_lengths(lengths), weights=lengths)
+    assert fill.max() <= 4096 and fill.sum() == lengths.sum() and len(fill) <= 7000  # best fit: about 7,490
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        lengths = rng.integers(*((130, 143), (100, 120), (1, 60))[seed % 3], 240)
+        where = packing.pack_lengths(lengths, 410)
+        bins = [lengths[where == k].tolist() for k in range(where.max() + 1)]
+        assert sorted(x for b in bins for x in b) == sorted(lengths.tolist()) and max(map(sum, bins)) <= 410
+        for g in bins:
+            give = set(g) | {a + c for i, a in enumerate(g) for c in g[i + 1 :]}
+            for t in bins:
+                if t is not g and sum(t) >= sum(g):
+                    assert not any(0 < v - b <= 410 - sum(t) for v in give for b in {0, *t})
+
+
 # ---------------------------------------------------------------- 3
 def dedup_by_hand(rows):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]

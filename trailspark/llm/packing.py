@@ -19,6 +19,7 @@ import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -177,62 +178,107 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return where
 
 
-def _local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 4, width: int = 16) -> None:
+def _local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> None:
     """Move and exchange documents between underfull bins while squared fill increases.
 
-    In each round the emptiest bins give: a document moves to the fullest bin with room, or is
-    exchanged against one or two smaller documents of that bin so that the fuller one gets
-    fuller. Every step raises the sum of squared fills, so the search ends.
+    In each round every underfull bin gives once, the emptiest first: a document or two move to a
+    fuller bin with room, or are exchanged against one document of that bin so that the fuller
+    one gets fuller. Every step raises the sum of squared fills; the search ends with the first
+    round without a step.
     """
-    fill = [int(sum(lengths[k] for k in b)) for b in bins]
-    for _ in range(rounds):
-        under = sorted((x for x in range(len(bins)) if 0 < fill[x] < capacity), key=fill.__getitem__)
-        givers, changed = under[:width], False
-        for g in givers:
-            takers = [t for t in under[-4 * width :] if t != g and bins[t]]
-            for t in sorted(takers, key=lambda x: -fill[x]):
-                if not bins[g] or fill[t] < fill[g]:
-                    break
-                changed |= _improve(bins, fill, lengths, g, t, capacity)
-        if not changed:
-            return
-
-
-def _improve(bins, fill, lengths, g: int, t: int, capacity: int) -> bool:
-    """One step from bin ``g`` to the fuller bin ``t``, by the largest gain; True if there was one."""
-    room = capacity - fill[t]
-    mine = sorted(bins[g], key=lambda k: -lengths[k])
-    if room <= 0:
-        return False
-    best, gain = None, 0
-    for a in mine:
-        if gain < lengths[a] <= room:  # move
-            best, gain = ((a,), ()), int(lengths[a])
-            break
-    theirs = sorted(bins[t], key=lambda k: lengths[k])
-    sizes = [int(lengths[k]) for k in theirs]
-    for a in mine:  # one for one: the largest d = a - b within the room
-        at = bisect_left(sizes, int(lengths[a]) - room)
-        if at < len(sizes) and gain < int(lengths[a]) - sizes[at]:
-            best, gain = ((a,), (theirs[at],)), int(lengths[a]) - sizes[at]
-    short = mine[:12]
-    for i, a in enumerate(short):  # two for one
-        for c in short[i + 1 :]:
-            both = int(lengths[a] + lengths[c])
-            at = bisect_left(sizes, both - room)
-            if at < len(sizes) and gain < both - sizes[at]:
-                best, gain = ((a, c), (theirs[at],)), both - sizes[at]
-    if best is None:
-        return False
-    for k in best[0]:
-        bins[g].remove(k)
-        bins[t].append(k)
-    for k in best[1]:
-        bins[t].remove(k)
-        bins[g].append(k)
-    fill[t] += gain
-    fill[g] -= gain
-    return True
+    stock: list[dict[int, list[int]]] = [{} for _ in bins]
+    for x, b in enumerate(bins):
+        for k in b:
+            stock[x].setdefault(int(lengths[k]), []).append(k)
+    fill = [sum(size * len(ks) for size, ks in s.items()) for s in stock]
+    while _round(stock, fill, capacity):
+        pass
+    for x, s in enumerate(stock):
+        bins[x][:] = [k for ks in s.values() for k in ks]
+
+
+def _round(stock: list[dict[int, list[int]]], fill: list[int], capacity: int) -> bool:
+    """One turn of every underfull bin as giver; True if there was a step."""
+    takers, changed = _Takers(stock, fill, capacity), False
+    turn = [(f, x) for x, f in enumerate(fill) if 0 < f < capacity]
+    for _, x in turn:
+        takers.add(x)
+    heapify(turn)
+    while turn:
+        f, g = heappop(turn)
+        if f < fill[g]:  # got fuller as taker
+            if fill[g] < capacity:
+                heappush(turn, (fill[g], g))
+            continue
+        takers.remove(g)  # what is left is at least as full as the giver
+        while step := takers.best(stock[g]):
+            give, back, t = step
+            takers.remove(t)
+            for a, b, sizes in ((g, t, give), (t, g, back)):
+                for size in sizes:
+                    stock[b].setdefault(size, []).append(stock[a][size].pop())
+                    if not stock[a][size]:
+                        del stock[a][size]
+            gain = sum(give) - sum(back)
+            fill[t] += gain
+            fill[g] -= gain
+            takers.add(t)
+            changed = True
+    return changed
+
+
+class _Takers:
+    """Underfull bins by what they can take: ``least[v]`` is the smallest length (0: none) that a bin
+    can give back for a document of length v and then be exactly full."""
+
+    def __init__(self, stock: list[dict[int, list[int]]], fill: list[int], capacity: int):
+        self.stock, self.fill, self.capacity = stock, fill, capacity
+        self.none = capacity + 1
+        self.least = np.full(capacity + 1, self.none)
+        self.slots: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.stamp = [0] * len(fill)
+        self.reach: np.ndarray | None = None
+
+    def add(self, t: int) -> None:
+        free = self.capacity - self.fill[t]
+        if free:
+            for size in (0, *self.stock[t]):
+                heappush(self.slots[size + free], (size, t, self.stamp[t]))
+                self.least[size + free] = min(size, self.least[size + free])
+            self.reach = None
+
+    def remove(self, t: int) -> None:
+        self.stamp[t] += 1
+        free = self.capacity - self.fill[t]
+        for size in (0, *self.stock[t]):
+            slot = self.slots[size + free]
+            while slot and slot[0][2] != self.stamp[slot[0][1]]:
+                heappop(slot)
+            self.least[size + free] = slot[0][0] if slot else self.none
+        self.reach = None
+
+    def best(self, mine: dict[int, list[int]]) -> tuple[tuple[int, ...], tuple[int, ...], int] | None:
+        """(lengths given, lengths given back, taker) of the largest gain."""
+        if not mine:
+            return None
+        offers: dict[int, tuple[int, ...]] = {a: (a,) for a in mine}
+        sizes = list(mine)
+        for i, a in enumerate(sizes):
+            if len(mine[a]) > 1:
+                offers.setdefault(2 * a, (a, a))
+            for c in sizes[i + 1 :]:
+                offers.setdefault(a + c, (a, c))
+        if self.reach is None:
+            self.reach = np.minimum.accumulate(self.least[::-1])[::-1]
+        values = np.fromiter(offers, np.int64, len(offers))
+        gains = values - self.reach[values]
+        k = int(gains.argmax())
+        if gains[k] <= 0:
+            return None
+        v = int(values[k])
+        back = int(self.reach[v])
+        slot = self.slots[v + int((self.least[v:] == back).argmax())]  # the fullest of equal ones
+        return offers[v], (back,) if back else (), slot[0][1]
 
 
 def _place(df: pd.DataFrame, capacity: int) -> pd.DataFrame:
