@@ -210,6 +210,23 @@ def test_streams_equal_batch(spark, tmp_path):
     assert rows(spark.read.parquet(f"{tmp_path}/table"), "tx_hash") == [(f"t{i}",) for i in range(7)]
 
 
+def test_streams_keep_rows_of_any_age(spark, tmp_path):
+    from trailspark.streaming import jobs
+
+    for year in range(2001, 1994, -1):  # a file a micro-batch, each older than the last, and replays
+        made = [move(f"t{year}-{i}", "a", f"b{i % 3}", i, f"{year}-06-01 00:{i:02d}:00") for i in range(5)] + [move("again", "a", "b", 1, f"{year}-01-01 00:00:00"), move(None, "a", "b", 1, f"{year}-01-01 00:00:00")]
+        ledger(spark, *made).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = jobs.source(spark, f"{tmp_path}/in", ledger(spark, move("t", "a", "b", 1)).schema, 1)
+    q = jobs.ingest(source, f"{tmp_path}/table", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(str(r["tx_hash"]) for r in spark.read.parquet(f"{tmp_path}/table").collect())
+    assert got == sorted([f"t{y}-{i}" for y in range(1995, 2002) for i in range(5)] + ["again", "None"])
+    q = jobs.activity(source, f"{tmp_path}/counts", f"{tmp_path}/counts-state", "from_addr", "to_addr", "1 hour", "1 hour").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((str(r["window"]["start"]), r["others"], r["n"]) for r in jobs.activity_read(spark, f"{tmp_path}/counts", "from_addr").collect())
+    assert got == sorted(x for y in range(1995, 2002) for x in ((f"{y}-01-01 00:00:00", 1, 2), (f"{y}-06-01 00:00:00", 3, 5)))
+
+
 def test_relay_stream_equals_the_rule(spark, tmp_path):
     from trailspark.streaming import jobs
 

@@ -388,10 +388,13 @@ def k2(spark, d):
 
 @query("k4_activity_stream", raw="""SELECT strftime(date_trunc('hour', ts) - to_hours(i), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM events, (SELECT unnest(range(6)) AS i) GROUP BY ALL""")
 def k4(spark, d):
-    """Events by user in six-hour windows that open each hour, from a stream; a window's last update counts."""
-    s = jobs.activity(_event_stream(spark, d).select("ts", "user_id", "event_type"), "user_id", "event_type", late="60 days")
-    out = _drain(s.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n"), spark, "activity", "update")
-    return out.groupBy("start", "user_id").agg(F.max("n").alias("n"))
+    """Events by user in six-hour windows that open each hour, from a stream."""
+    out = new_path(spark, "activity")
+    q = jobs.activity(_event_stream(spark, d).select("ts", "user_id", "event_type"), out, new_path(spark, "activity-state"), "user_id", "event_type").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return jobs.activity_read(spark, out, "user_id").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
 
 
 @query("k3_alert_stream", "SELECT event_id, hit.address FROM events JOIN (SELECT DISTINCT address FROM lab WHERE status = 'active' AND category = 'sanctioned') hit ON hit.address = concat('A', user_id)")

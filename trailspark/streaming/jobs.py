@@ -1,8 +1,9 @@
 """Structured Streaming forms of the same rules: ingest, alerts, activity windows, relay detection.
 
-Streams run with ``availableNow`` in tests and with any trigger in service; state is bounded by
-watermarks. Sources have to give ``timestamp`` columns: a watermark on a timestamp without time
-zone is an error, so :func:`typed` casts first.
+Streams run with ``availableNow`` in tests and with any trigger in service. Ingest and activity hold
+no state and take rows of any age; the state of :func:`relays` is bounded by a watermark. Sources have
+to give ``timestamp`` columns: a watermark on a timestamp without time zone is an error, so
+:func:`typed` casts first.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.facts import backfill, new_rows
+from ..operators.facts import KEY, backfill, first_write
 
 
 def typed(stream: DataFrame, column: str = "ts") -> DataFrame:
@@ -26,22 +27,21 @@ def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def fresh_movements(stream: DataFrame, late: str = "7 days") -> DataFrame:
-    """First arrival of each movement within the watermark."""
-    return typed(stream).withWatermark("ts", late).dropDuplicatesWithinWatermark(["chain", "tx_hash", "dedup_key"])
-
-
-def ingest(stream: DataFrame, table: str, checkpoint: str, late: str = "7 days"):
-    """Start a query that appends new movements to ``table``; replays older than the watermark meet an anti-join."""
+def ingest(stream: DataFrame, table: str, checkpoint: str):
+    """Start a query that appends new movements to ``table``, however late: the first by time of a
+    micro-batch's equal keys, unless the table has the key. Null keys equal null keys."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         old = spark._jvm.org.apache.hadoop.fs.Path(table)
         there = old.getFileSystem(spark._jsc.hadoopConfiguration()).exists(old)
-        rows = new_rows(batch, spark.read.schema(batch.schema).parquet(table)) if there else batch
+        rows = first_write(batch, ["ts"]).select(*batch.columns)
+        if there:
+            stored = spark.read.schema(batch.schema).parquet(table).select(*[F.col(k).alias(f"_{k}") for k in KEY])
+            rows = rows.join(stored, [rows[k].eqNullSafe(stored[f"_{k}"]) for k in KEY], "left_anti")
         rows.write.mode("append").parquet(table)
 
-    return fresh_movements(stream, late).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return typed(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def late_prices(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -56,10 +56,23 @@ def alerts(stream: DataFrame, labels: DataFrame, category: str = "sanctioned") -
     return ends.join(hit, ["chain", "hit"])
 
 
-def activity(stream: DataFrame, key: str = "address", other: str = "other", size: str = "6 hours", slide: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Counterparts by address and sliding window (approximate distinct counts, the exact ones streams do not have)."""
-    w = F.window("ts", size, slide)
-    return typed(stream).withWatermark("ts", late).groupBy(w, key).agg(F.approx_count_distinct(other).alias("others"), F.count("*").alias("n"))
+def activity(stream: DataFrame, table: str, checkpoint: str, key: str = "address", other: str = "other", size: str = "6 hours", slide: str = "1 hour"):
+    """Start a query that adds each micro-batch's counts by ``key`` and sliding window to ``table``.
+
+    Counts and sketches of counterparts add up over micro-batches (:func:`activity_read`), so no
+    row is too late and no state is held; a repeated micro-batch replaces its own part.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        part = batch.groupBy(F.window("ts", size, slide), key).agg(F.hll_sketch_agg(other).alias("others"), F.count("*").alias("n"))
+        part.write.mode("overwrite").parquet(f"{table}/batch={n}")
+
+    return typed(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def activity_read(spark: SparkSession, table: str, key: str = "address") -> DataFrame:
+    """(window, key, others, n) of all micro-batches; the distinct counts are approximate."""
+    return spark.read.parquet(table).groupBy("window", key).agg(F.hll_sketch_estimate(F.hll_union_agg("others")).alias("others"), F.sum("n").alias("n"))
 
 
 def event_tail(stream: DataFrame, after: int = 0) -> DataFrame:
