@@ -1,9 +1,11 @@
 """Micro-ledgers, one a rule, with expected rows written by hand."""
 
+import os
 import random
 from decimal import Decimal
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from trailspark.functions import scalars
@@ -56,6 +58,60 @@ def test_trace_cycle_cap_and_labels(spark):
     assert path["c"] == ["1", "3"] and path["root"] == []
 
 
+def walked(moves, roots, closed, depth=3, over=50, keep=20):
+    """Rows (case, direction, address, hop, value, parent, state) of traces, one address at a time."""
+    value = {"forward": {}, "backward": {}}
+    for r in moves:
+        for direction, a, b in (("forward", r["from_addr"], r["to_addr"]), ("backward", r["to_addr"], r["from_addr"])):
+            if a is not None and b is not None and a != b:
+                of = value[direction].setdefault(a, {})
+                of[b] = of.get(b, 0) + (int(r["amount"]) if r["verified"] else 0)
+    out = []
+    for case, direction, root in roots:
+        known = {root: (0, None, None)}
+        level = [root]
+        state = {}
+        for hop in range(depth + 1):
+            following = []
+            for a in sorted(level, key=lambda a: (-(known[a][1] or 0), a)):
+                state[a] = "closed" if hop and a in closed else "depth_horizon" if hop == depth else "expanded"
+                if state[a] == "expanded":
+                    parties = sorted(value[direction].get(a, {}).items(), key=lambda x: (-x[1], x[0]))
+                    for b, v in parties[:keep] if hop and len(parties) > over else parties:
+                        if b not in known:
+                            known[b] = (hop + 1, v, a)
+                            following.append(b)
+            level = following
+        out += [(case, direction, a, *known[a], state[a]) for a in known]
+    return sorted(out, key=str)
+
+
+def test_trace_at_its_own_depth_and_cap_against_a_walk(spark):
+    rng = random.Random(5)
+    moves = [move(str(k), f"a{rng.randrange(90)}", rng.choice(["hub", f"a{rng.randrange(90)}"]), rng.randrange(1, 1000), verified=rng.random() < 0.9) for k in range(300)]
+    moves += [move(f"h{k}", "hub", f"x{k}", rng.randrange(1, 9)) for k in range(60)] + [move(f"y{k}", f"x{k}", f"z{k}", 1) for k in range(60)]
+    df = ledger(spark, *moves)
+    roots = [(f"k{k}", direction, f"a{k}") for k in range(8) for direction in ("backward", "forward")]
+    cases = spark.createDataFrame([(c, "c", a, d) for c, d, a in roots], "case_id string, chain string, root string, direction string")
+    nodes, _ = cp.trace(cases, df, spark.createDataFrame([("c", "a20", "vasp")], "chain string, address string, reason string"))
+    got = sorted(map(tuple, nodes.select("case_id", "direction", "address", "hop", F.col("value").cast("long"), "parent", "state").collect()), key=str)
+    assert got == walked(df.collect(), roots, {"a20"}) and max(r[3] for r in got) == 3
+
+
+def test_registered_trace_goes_the_whole_depth(spark):
+    from trailspark.plans import queries_facts, registry
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the driver's tables are not here")
+    got = sorted(map(tuple, registry.QUERIES["c4_deep_trace"](spark, d).collect()), key=str)
+    keys = [r["s_suppkey"] for r in spark.read.parquet(f"{d}/supplier.parquet").collect()]
+    n = spark.read.parquet(f"{d}/orders.parquet").count() * 2 // 5
+    closed = {r["address"] for r in queries_facts.closed_by(queries_facts.labels(spark, d)).collect()}
+    roots = [(f"case-s{k}", direction, f"A{k % n}") for k in keys for direction in ("backward", "forward")]
+    assert got == walked(queries_facts.movements(spark, d).collect(), roots, closed) and max(r[3] for r in got) == 3
+
+
 def test_trace_budget_leaves_a_frontier(spark):
     df = ledger(spark, *[move(str(i), "root", f"a{i}", 10 - i) for i in range(4)], *[move(f"n{i}", f"a{i}", f"b{i}", 1) for i in range(4)])
     cases = spark.createDataFrame([("k", "c", "root", "forward")], "case_id string, chain string, root string, direction string")

@@ -240,6 +240,16 @@ def c4e(spark, d):
     return edges.select("case_id", "direction", "src", "dst", "hop", long("value"))
 
 
+@query("c4_deep_trace")
+def c4d(spark, d):
+    """Every address reached from every supplier's address, at the operator's own depth and cap."""
+    n = table(spark, d, "orders").count() * 2 // 5
+    case, root = F.concat(F.lit("case-s"), F.col("s_suppkey").cast("string")), F.concat(F.lit("A"), (F.col("s_suppkey") % n).cast("string"))
+    c = table(spark, d, "supplier").select(case.alias("case_id"), F.lit("ledger").alias("chain"), root.alias("root"), F.explode(F.array(F.lit("backward"), F.lit("forward"))).alias("direction"))
+    nodes, _ = cp.trace(c, materialize(movements(spark, d), "movements"), closed_by(labels(spark, d)))
+    return nodes.select("case_id", "direction", "address", "hop", long("value"), "parent", "state")
+
+
 @query("c6_budgeted_trace", TRACE + """, q AS (SELECT n1.*, row_number() OVER (PARTITION BY case_id ORDER BY value DESC, address, direction) + 2 AS k FROM n1 QUALIFY k <= 20)
 SELECT case_id, direction, address, hop, value FROM q UNION ALL SELECT case_id, direction, address, hop, value FROM nodes WHERE hop = 0""")
 def c6(spark, d):
