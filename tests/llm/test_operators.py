@@ -392,3 +392,9 @@ def test_random_values_behind_names_and_paths():
             assert want in [text[a:b] for a, b, _, _ in secret_scan._spans(text)[1]]
     assert secret_scan._spans(f"token={plain}")[1] == []
     assert secret_scan._spans(f"a+b/{'c' * 30}")[1] == []
+
+
+def test_few_regular_tokens_among_many_random_ones_are_rejected(spark):
+    p = [(k + 1) / 1001 for k in range(1000)] + [1e-12] * 3
+    found = spark.createDataFrame([([(0, 44, x, 3)],) for x in p], "more array<struct<start:int,`end`:int,p:double,class:int>>")
+    assert 1e-12 <= secret_scan.thresholds(found)[3] < 0.001

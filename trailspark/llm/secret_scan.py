@@ -43,8 +43,9 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_TOKEN)
 PART = re.compile(r"[^=]+(?:=+\Z)?")
 #: What a run is cut at when it holds signs of both pairs.
 CUTS = (re.compile("[^+/]+"), re.compile("[^_-]+"))
-#: False-discovery rate at which tokens are rejected as not random; steps of the p-value histogram.
-RATE, STEPS = 0.05, 1000
+#: False-discovery rate at which tokens are rejected as not random; steps of the p-value histogram a
+#: power of ten, down to the smallest p-value.
+RATE, STEPS, LEAST_P = 0.05, 100, 1e-12
 #: Longer tokens are tested on all their characters but share the last class.
 CLASSES = (20, 28, 40, 64, 128)
 #: Entropy in bits a secret of kind random has at least, at the size of its alphabet.
@@ -96,7 +97,7 @@ def battery(token: str) -> tuple[str, float] | None:
     c = x - (k - 1) / 2
     scale = float((c * c).sum())
     p.append(_normal_tail(float((c[1:] * c[:-1]).sum()) / scale * math.sqrt(n)) if scale else 0.0)
-    p = [max(v, 1e-12) for v in p]
+    p = [max(v, LEAST_P) for v in p]
     return name, min(1.0, len(p) / sum(1 / v for v in p))
 
 
@@ -167,18 +168,21 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def thresholds(found: DataFrame, rate: float = RATE) -> dict[int, float]:
     """By class of length, the p-value up to which tokens are rejected as not random.
 
-    Benjamini-Hochberg over a histogram: at most STEPS + 1 counts a class reach the driver.
+    Benjamini-Hochberg over a histogram with steps of equal ratio: at most 12 * STEPS + 1 counts a
+    class reach the driver.
     """
-    step = F.floor(F.col("t.p") * STEPS).cast("int")
+    last = round(-math.log10(LEAST_P) * STEPS)
+    step = F.least(F.greatest(F.floor(-F.log10("t.p") * STEPS), F.lit(0)), F.lit(last)).cast("int")
     rows = found.select(F.explode("more").alias("t")).groupBy(F.col("t.class").alias("class"), step.alias("step")).count().collect()
     out = {}
+    # the largest p of a step, and a little for rounding
+    limit = np.minimum(10.0 ** (-np.arange(last, -1, -1) / STEPS) * (1 + 1e-9), 1.0)
     for c in {r["class"] for r in rows}:
-        bins = np.zeros(STEPS + 1, dtype=np.int64)
+        bins = np.zeros(last + 1, dtype=np.int64)
         for r in rows:
             if r["class"] == c:
-                bins[r["step"]] += r["count"]
+                bins[last - r["step"]] += r["count"]
         upto = np.cumsum(bins)
-        limit = np.arange(1, STEPS + 2) / STEPS
         ok = np.flatnonzero(limit * upto[-1] <= rate * upto)
         out[c] = float(limit[ok[-1]]) if len(ok) else 0.0
     return out
