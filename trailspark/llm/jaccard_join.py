@@ -6,7 +6,7 @@ threshold differ in at most ``k`` features, which the band's largest size fixes.
 domain (64-bit hashes of shingles) is cut into ``n1`` ranges: some range holds at most ``k2``
 of the differences. A range is cut into ``n2`` parts, and every subset of ``n2 - k2`` of them is
 signed: one of these subsets holds no difference, so both sets sign it alike. Every linked pair
-thus shares a signature; candidates are verified on their whole texts.
+thus shares a signature; candidates are verified on the shingles of their whole texts.
 
 Two refinements keep candidates few without losing a link:
 
@@ -15,15 +15,18 @@ Two refinements keep candidates few without losing a link:
   good; for a pair the larger of both counts holds. A set may leave unsigned up to
   ``(g - 1) / 2`` ranges of its own choice, and leaves those that hold fewest features: a
   signature of nothing would be shared with strangers.
-- *Frequent features.* Shingles that a bounded sample finds in many documents are left out of
-  the domain of the first family of signatures; differences in a part of the domain are at most
-  all differences, so the count holds. Sets with too little left for their spare ranges sign
-  the whole domain as well, in a second family where they meet one another; to sets that sign
-  fully they are joined in the first.
+- *Frequent features.* Shingles that FREQUENT or more documents hold, counted over all rows, are
+  left out of the domain of the first family of signatures; differences in a part of the domain
+  are at most all differences, so the count holds. A bucket of that family then has few members
+  however large the table is. Sets with too little left for their spare ranges sign the whole
+  domain as well, in a second family where they meet one another; to sets that sign fully they
+  are joined in the first. Frequent shingles are known by a leading part of their hash; others
+  that share it are left out too, which is as right. If more than MOST_FREQUENT are frequent,
+  the most frequent are taken: buckets are larger then, and no link is lost.
 
 A bucket (signature) of m documents yields m - 1 pairs with its first document; only documents
 of a bucket that verified links leave in different components are compared with each other.
-Before whole texts are, sketches are: counts of features by range of the hash domain. The sum
+Before shingles are, sketches are: counts of features by range of the hash domain. The sum
 of their differences is at most the number of differing features, so a pair that exceeds the
 bound is no link.
 """
@@ -46,14 +49,18 @@ from ..runtime import materialize, sized_broadcast
 
 #: Words of a shingle; similarity in hundredths.
 WORDS, PERCENT = 5, 80
-#: Documents whose shingles are counted for frequent ones, and in how many of them one is frequent.
-SAMPLE_DOCS, FREQUENT = 4000, 3
+#: In how many documents a shingle is frequent.
+FREQUENT = 16
 #: Most frequent shingles kept (8 bytes each).
-MOST_FREQUENT = 200_000
-#: Signatures a reduce group holds on average.
-SHARD_SIGNATURES = 1_500_000
-#: Documents and signatures of a block, which a task signs and sends together.
-BLOCK_DOCS, BLOCK_SIGNATURES = 4096, 2_000_000
+MOST_FREQUENT = 1_000_000
+#: Shingles and signatures by byte of text, roughly, and how many of either a reduce group holds on average.
+BY_BYTE, SHARD_ITEMS = 0.15, 1_500_000
+#: Bits that tell apart the shingles and the signatures of a shard.
+CODE_BITS, KEY_BITS = 24, 40
+#: Documents and shingles or signatures of a block, which a task sends together.
+BLOCK_DOCS, BLOCK_ITEMS = 4096, 2_000_000
+#: Shingles of a row, and pairs of one document that a group verifies on average.
+PART_SHINGLES, GROUP_PAIRS = 1024, 256
 #: Members of a bucket that a group compares at most.
 BLOCK_MEMBERS = 2048
 #: Candidate documents whose ids are broadcast at most.
@@ -150,7 +157,7 @@ def _band(low: int, percent: int) -> Band:
     elif k < 12:
         n1, n2, k2 = -(-(k + 1) // 3), 5, 2
     else:
-        n1, n2, k2 = k + 1 + -(-k // 4), 1, 0
+        n1, n2, k2 = k // 2 + 1 + -(-k // 16), 3, 1
     return Band(low, high, k, n1, n2, k2)
 
 
@@ -211,14 +218,18 @@ def _kept(sig: np.ndarray, covers: np.ndarray, skip: int, partial: bool) -> tupl
     return sig[~drop], True
 
 
-def signatures(features: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All signatures of a set of sorted features: its band and the next, one or both families."""
+def signatures(features: np.ndarray, frequent: np.ndarray, percent: int = PERCENT, shift: int = 0) -> np.ndarray:
+    """All signatures of a set of sorted features: its band and the next, one or both families.
+
+    ``frequent`` holds sorted codes: frequent features without their last ``shift`` bits.
+    """
     table, lows = bands(percent)
     at = int(np.searchsorted(lows, len(features), side="right")) - 1
     rare = features
     if len(frequent):
-        spot = np.searchsorted(frequent, features)
-        rare = features[frequent[np.minimum(spot, len(frequent) - 1)] != features]
+        codes = features >> np.uint64(shift)
+        spot = np.searchsorted(frequent, codes)
+        rare = features[frequent[np.minimum(spot, len(frequent) - 1)] != codes]
     out, total, whole = [], _running(rare), None
     for tag in (at, at + 1):
         band = table[tag]
@@ -266,36 +277,102 @@ def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
     return (100 + percent) * int(np.abs(_folded(a, size) - _folded(b, size)).sum(dtype=np.int64)) <= (100 - percent) * (na + nb)
 
 
-_SIGN_NAMES = ["shard", "base", "ids", "ns", "sketches", "blob"]
-_SIGN_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()]
-_SIGN_SCHEMA = "shard long, base long, ids array<long>, ns array<long>, sketches array<binary>, blob binary"
+def _bits(items: float) -> int:
+    """Bits of a shard number, for shards of about SHARD_ITEMS; 24 at most, which leaves 40 of a hash."""
+    return min(24, max(3, int(np.ceil(np.log2(max(items, 1) / SHARD_ITEMS)))))
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, dtype=np.int64)
+
 
+def _low_bytes(x: np.ndarray, count: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :count]).tobytes()
 
-def _frequent_shingles(df: DataFrame, rows: int, words: int) -> np.ndarray:
-    """Sorted hashes of shingles that FREQUENT or more of about SAMPLE_DOCS documents hold.
 
-    Equal documents of the sample count once. Any set of shingles would be right; this one
-    makes signatures selective.
+def _from_low_bytes(raw: np.ndarray, count: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // count, 8), dtype=np.uint8)
+    wide[:, :count] = raw.reshape(-1, count)
+    return wide.view("<u8").ravel()
+
+
+def _frequent_codes(df: DataFrame, bits: int, words: int) -> np.ndarray:
+    """Sorted codes (leading ``bits`` + CODE_BITS bits) of the shingles that FREQUENT or more documents hold.
+
+    Every row counts, equal sets of a task once. A task sends each code of a block once, with
+    its count where that is more than one; the bound of MOST_FREQUENT holds for what the driver gets.
     """
-    share = min(1.0, SAMPLE_DOCS / max(rows, 1))
-    some = df.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else df
+    size, shift = CODE_BITS // 8, np.uint64(64 - bits - CODE_BITS)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        sets: list[np.ndarray] = []
+        held = 0
+
+        def flush():
+            codes = np.sort(np.concatenate(sets) >> shift)
+            first = _runs(codes)
+            times = np.diff(np.concatenate((first, [len(codes)])))
+            codes = codes[first]
+            shard = (codes >> np.uint64(CODE_BITS)).astype(np.int64)
+            cut = _runs(shard)
+            ends = [*cut[1:].tolist(), len(codes)]
+            blobs, more = [], []
+            for x, y in zip(cut.tolist(), ends):
+                many = np.flatnonzero(times[x:y] > 1)
+                blobs.append(_low_bytes(codes[x:y], size))
+                more.append(np.stack((codes[x:y][many].astype(np.int64), times[x:y][many]), axis=1).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.array(blobs, pa.binary()), pa.array(more, pa.binary())], names=["shard", "codes", "more"])
 
-    def run(batches):
         for b in batches:
-            sets = [shingles(t.as_py(), words) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_hashes(s)[0] for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["h", "s"],
-            )
+            for t in b.column(0):
+                s = shingles(t.as_py(), words)
+                h = hash(s.tobytes())
+                if len(s) and h not in seen:
+                    seen.add(h)
+                    sets.append(s)
+                    held += len(s)
+                    if held >= BLOCK_ITEMS:
+                        yield from flush()
+                        sets, held = [], 0
+        if sets:
+            yield from flush()
 
-    sets = some.select("text").mapInArrow(run, "h long, s array<long>").dropDuplicates(["h"])
-    common = sets.select(F.explode("s").alias("f")).groupBy("f").count().where(F.col("count") >= FREQUENT)
-    got = common.orderBy(F.desc("count"), "f").limit(MOST_FREQUENT).select("f").toPandas()["f"].to_numpy(dtype=np.int64)
-    return np.sort(got.view(np.uint64))
+    def count(table: pa.Table) -> pa.Table:
+        top = np.uint64(table.column("shard")[0].as_py() << CODE_BITS)
+        codes = np.concatenate([_from_low_bytes(np.frombuffer(x.as_py(), dtype=np.uint8), size) for x in table.column("codes")]) | top
+        pairs = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64).reshape(-1, 2) for x in table.column("more")])
+        codes = np.sort(codes)
+        first = _runs(codes)
+        times = np.diff(np.concatenate((first, [len(codes)])))
+        codes = codes[first]
+        np.add.at(times, np.searchsorted(codes, pairs[:, 0].astype(np.uint64)), pairs[:, 1] - 1)
+        many = times >= FREQUENT
+        return pa.table({"code": codes[many].astype(np.int64), "times": times[many]})
+
+    sent = df.select("text").mapInArrow(run, "shard long, codes binary, more binary")
+    found = materialize(sent.groupBy("shard").applyInArrow(count, "code long, times long"), "frequent")
+    # how many have which count (large counts as one) tells the least count that keeps within the bound
+    steps = found.groupBy(F.least("times", F.lit(100_000)).alias("times")).count().orderBy(F.desc("times")).collect()
+    least, kept = None, 0
+    for r in steps:
+        kept += r["count"]
+        if kept > MOST_FREQUENT:
+            break
+        least = r["times"]
+    if least is None:
+        return np.empty(0, dtype=np.uint64)
+    return np.sort(found.where(F.col("times") >= least).select("code").toPandas()["code"].to_numpy(dtype=np.int64).astype(np.uint64))
 
 
-def _signed(df: DataFrame, frequent: np.ndarray, shards: int, words: int, percent: int) -> DataFrame:
-    """Rows of two sorts: blocks of documents (shard < 0: ids, set sizes, set hashes), and their
+_SIGN_NAMES = ["shard", "base", "ids", "ns", "sketches", "blob"]
+_SIGN_TYPES = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary()]
+_SIGN_SCHEMA = "shard long, base long, ids array<long>, ns array<long>, sketches array<binary>, blob binary"
+
+
+def _signed(df: DataFrame, frequent: np.ndarray, shift: int, bits: int, words: int, percent: int) -> DataFrame:
+    """Rows of two sorts: blocks of documents (shard < 0: ids, set sizes, set hashes and row marks), and their
     signatures by shard, each with the document's place in its block.
 
     A task signs equal sets once.
@@ -313,70 +390,67 @@ def _signed(df: DataFrame, frequent: np.ndarray, shards: int, words: int, percen
         places: list[np.ndarray] = []
 
         def flush():
-            rows = [[-1 - (31 * part + block) % 4096], [base], [ids], [[x[0] for x in info]], [[x[2] for x in info]], [np.array([x[1] for x in info], dtype=np.int64).tobytes()]]
+            marks = np.array([x[1] for x in info], dtype=np.int64)
+            rows = [[-1 - (31 * part + block) % 4096], [base], [ids], [[x[0] for x in info]], [[x[2] for x in info]], [marks.tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _SIGN_TYPES)], names=_SIGN_NAMES)
             if not sigs:
                 return
             sig, place = np.concatenate(sigs), np.concatenate(places)
             order = np.argsort(sig)
             sig, place = sig[order], place[order]
-            # shards are ranges of the hash: cut the sorted signatures at their edges
-            edges = np.array([(i << 64) // shards for i in range(1, shards)], dtype=np.uint64)
-            cut = np.concatenate(([0], np.searchsorted(sig, edges), [len(sig)]))
-            blobs = []
-            for s in range(shards):
-                a, b = int(cut[s]), int(cut[s + 1])
-                if a < b:
-                    blobs.append((s, sig[a:b].view(np.uint8).reshape(-1, 8)[:, :7].tobytes() + place[a:b].astype("<u2").tobytes()))
+            # shards are ranges of the hash: the sorted signatures are cut where they change
+            shard = (sig >> np.uint64(64 - bits)).astype(np.int64)
+            sig = sig >> np.uint64(64 - bits - KEY_BITS)
+            cut = _runs(shard)
+            ends = [*cut[1:].tolist(), len(sig)]
+            blobs = [(int(shard[x]), _low_bytes(sig[x:y], KEY_BITS // 8) + place[x:y].astype("<u2").tobytes()) for x, y in zip(cut.tolist(), ends)]
             for at in range(0, len(blobs), 256):
                 some = blobs[at : at + 256]
                 rows = [[x[0] for x in some], [base] * len(some), *[[None] * len(some)] * 3, [x[1] for x in some]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _SIGN_TYPES)], names=_SIGN_NAMES)
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for i, t, mark in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 s = shingles(t.as_py(), words)
                 h = set_hashes(s)
                 if len(s) and h not in seen:
                     seen.add(h)
-                    got = signatures(s, frequent, percent)
+                    got = signatures(s, frequent, percent, shift)
                     sigs.append(got)
                     places.append(np.full(len(got), len(ids), dtype=np.uint16))
                     held += len(got)
                 ids.append(i)
-                info.append((len(s), h, sketch(s)))
-                if len(ids) == BLOCK_DOCS or held >= BLOCK_SIGNATURES:
+                info.append((len(s), (*h, mark), sketch(s)))
+                if len(ids) == BLOCK_DOCS or held >= BLOCK_ITEMS:
                     yield from flush()
                     base, block, held = base + len(ids), block + 1, 0
                     ids, info, sigs, places = [], [], [], []
         if ids:
             yield from flush()
 
-    return df.select("id", "text").mapInArrow(run, _SIGN_SCHEMA)
+    return df.select("id", "text", "mark").mapInArrow(run, _SIGN_SCHEMA)
 
 
-_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("members", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("mark", pa.int64()), ("sketch", pa.binary())])
 
 
 def _bucketed(table: pa.Table) -> pa.Table:
-    """What a shard says: its documents (kind 0), pairs with the first of a bucket (1), buckets of three and more (2)."""
+    """What a shard says: its documents (kind 0), pairs with the first of a bucket (1), members of buckets of three and more (2)."""
     shard = table.column("shard")[0].as_py()
     if shard < 0:
-        rows = [[], [], [], [], [], []]
+        rows = [[], [], [], [], [], [], []]
         for base, ids, ns, sk, blob in zip(*(table.column(c) for c in ("base", "ids", "ns", "sketches", "blob"))):
-            h = np.frombuffer(blob.as_py(), dtype=np.int64).reshape(-1, 2)
-            for c, v in zip(rows, (range(base.as_py(), base.as_py() + len(h)), ids.as_py(), ns.as_py(), h[:, 0].tolist(), h[:, 1].tolist(), sk.as_py())):
+            h = np.frombuffer(blob.as_py(), dtype=np.int64).reshape(-1, 3)
+            for c, v in zip(rows, (range(base.as_py(), base.as_py() + len(h)), ids.as_py(), ns.as_py(), *h.T.tolist(), sk.as_py())):
                 c.extend(v)
-        n = len(rows[0])
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip([[0] * n, *rows, [None] * n], _FOUND.types)], schema=_FOUND)
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip([[0] * len(rows[0]), *rows], _FOUND.types)], schema=_FOUND)
+    wide = KEY_BITS // 8
     keys, uids = [], []
     for base, blob in zip(table.column("base"), table.column("blob")):
         raw = np.frombuffer(blob.as_py(), dtype=np.uint8)
-        n = len(raw) // 9
-        wide = np.zeros((n, 8), dtype=np.uint8)
-        wide[:, :7] = raw[: 7 * n].reshape(n, 7)
-        keys.append(wide.view("<u8").ravel())
-        uids.append(raw[7 * n :].view("<u2").astype(np.int64) + base.as_py())
+        n = len(raw) // (wide + 2)
+        keys.append(_from_low_bytes(raw[: wide * n], wide))
+        uids.append(raw[wide * n :].view("<u2").astype(np.int64) + base.as_py())
     key, uid = np.concatenate(keys), np.concatenate(uids)
     order = np.argsort(key, kind="stable")
     key = key[order]
@@ -387,7 +461,7 @@ def _bucketed(table: pa.Table) -> pa.Table:
     key, uid = key[order], uid[order]
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (uid[1:] != uid[:-1]))) if len(key) else np.empty(0, bool)
     key, uid = key[fresh], uid[fresh]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, int)
+    first = _runs(key)
     size = np.diff(np.concatenate((first, [len(key)])))
     # the document that shares most with others leads its buckets: it is likeliest to link to them
     names, slot = np.unique(uid, return_inverse=True)
@@ -400,60 +474,112 @@ def _bucketed(table: pa.Table) -> pa.Table:
     large = np.flatnonzero(size >= 3)
     _, once = np.unique(marks[large], return_index=True)
     told = large[once]
-    n, m = len(pairs), len(told)
+    members = np.concatenate([uid[first[j] : first[j] + size[j]] for j in told]) if len(told) else np.empty(0, np.int64)
+    n, m = len(pairs), len(members)
     cols = [
         np.concatenate((np.ones(n, np.int32), np.full(m, 2, np.int32))),
-        np.concatenate((pairs[:, 0], marks[told].view(np.int64))),
-        np.concatenate((pairs[:, 1], np.zeros(m, np.int64))),
+        np.concatenate((pairs[:, 0], np.repeat(marks[told].view(np.int64), size[told]))),
+        np.concatenate((pairs[:, 1], members)),
     ]
-    members = [None] * n + [uid[first[j] : first[j] + size[j]] for j in told]
     nothing = pa.nulls(n + m, pa.int64())
-    return pa.Table.from_arrays([*map(pa.array, cols), nothing, nothing, nothing, pa.nulls(n + m, pa.binary()), pa.array(members, pa.list_(pa.int64()))], schema=_FOUND)
+    return pa.Table.from_arrays([*map(pa.array, cols), nothing, nothing, nothing, nothing, pa.nulls(n + m, pa.binary())], schema=_FOUND)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of ``texts`` (node, text) that link: shingles of both whole texts are compared."""
+def _sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, n, part, features): the shingles of the nodes of ``pairs``, a bounded number a row."""
+    want = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    rows = materialize(want.join(nodes.select(F.col("uid").alias("node"), "id", "h1", "h2"), "node"), "wanted")
+    ids = sized_broadcast(rows.select(F.col("id").alias("want")).distinct(), rows.count(), BROADCAST_IDS)
+    names = ["h1", "h2", "n", "part", "features"]
 
     def run(batches):
         for b in batches:
-            keep = []
-            last, left = None, None
-            for j, (u, x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2), b.column(3))):
-                if u != last:
-                    last, left = u, shingles(x.as_py(), words)
-                right = shingles(y.as_py(), words)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                if len(left) and 100 * both >= percent * (len(left) + len(right) - both):
-                    keep.append(j)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), b.column(1).take(pa.array(keep, pa.int32()))], names=["u", "v"])
-
-    one = texts.select(F.col("node").alias("u"), F.col("text").alias("x"))
-    two = texts.select(F.col("node").alias("v"), F.col("text").alias("y"))
-    return pairs.select("u", "v").join(two, "v").join(one, "u").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+            out: list[list] = [[] for _ in names]
+            held = 0
+            for t in b.column(0):
+                s = shingles(t.as_py(), words)
+                h = set_hashes(s)
+                for part, at in enumerate(range(0, len(s), PART_SHINGLES)):
+                    for c, v in zip(out, (*h, len(s), part, s[at : at + PART_SHINGLES].tobytes())):
+                        c.append(v)
+                held += len(s)
+                if held >= BLOCK_ITEMS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+                    out, held = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    some = docs.join(ids, docs["id"].eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(run, "h1 long, h2 long, n long, part int, features binary")
+    got = some.join(rows.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "n", "part", "features").dropDuplicates(["node", "part"])
+    return materialize(got, "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that link, by the shingles of both.
+
+    The document of a pair that has more pairs leads; its pairs are dealt into groups of about
+    GROUP_PAIRS, and a group gets the leader's shingles once. Rows come sorted, the leader's
+    first, so a task holds one set and compares the others with it part by part.
+    """
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).groupBy("node").count()
+    one, two = ends.select(F.col("node").alias("u"), F.col("count").alias("cu")), ends.select(F.col("node").alias("v"), F.col("count").alias("cv"))
+    both = pairs.select("u", "v").join(one, "u").join(two, "v")
+    first = F.col("cu") >= F.col("cv")
+    led = both.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("v"), F.greatest("cu", "cv").alias("c"))
+    led = materialize(led.select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / GROUP_PAIRS)).alias("salt")), "led")
+    heads = led.select("u", "salt").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", "salt", F.lit(-1).cast("long").alias("v"), "n", "part", "features")
+    rest = led.join(sets.withColumnRenamed("node", "v"), "v").select("u", "salt", "v", "n", "part", "features")
 
+    def run(batches):
+        at, left, parts, now, hits, size = None, None, [], None, 0, 0
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles long, component_id): each row with the smallest id that links reach.
+        def linked() -> bool:
+            return now is not None and 100 * hits >= percent * (len(left) + size - hits)
 
-    Defined cases: null or blank text is an empty set, linked with nothing; rows with equal sets
-    are linked, however many; a null id takes part and is never the smallest unless alone;
-    repeated rows give repeated results; other columns are not read.
+        for b in batches:
+            keep: list[tuple[int, int]] = []
+            for u, salt, v, n, s in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 3)), b.column(5)):
+                f = np.frombuffer(s.as_py(), dtype=np.uint64)
+                if (u, salt, v) != now:
+                    if linked():
+                        keep.append((now[0], now[2]))
+                    now = None
+                if v < 0:
+                    if (u, salt) != at:
+                        at, parts = (u, salt), []
+                    parts.append(f)
+                    continue
+                if parts:
+                    left, parts = np.concatenate(parts), []
+                if now is None:
+                    now, hits, size = (u, salt, v), 0, n
+                spot = np.minimum(np.searchsorted(left, f), len(left) - 1)
+                hits += int((left[spot] == f).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in keep], pa.int64()), pa.array([max(x) for x in keep], pa.int64())], names=["u", "v"])
+        if linked():
+            yield pa.RecordBatch.from_arrays([pa.array([min(now[0], now[2])]), pa.array([max(now[0], now[2])])], names=["u", "v"])
+
+    rows = heads.unionByName(rest).repartition("u", "salt").sortWithinPartitions("u", "salt", "v", "part")
+    return rows.select("u", "salt", "v", "n", "part", "features").mapInArrow(run, "u long, v long")
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(uid, id, n, mark, component_id, component): every row, the smallest id that its links reach and a number of its component.
+
+    ``component_id`` and ``component`` are null for rows without words.
     """
-    spark = df.sparkSession
-    id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = df.count()
-    frequent = _frequent_shingles(docs, rows, words)
-    # about 0.7 signatures a shingle and 0.16 shingles a byte: a mean over the sample would do as well
-    size = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(min(1.0, SAMPLE_DOCS / max(rows, 1)) * 1_000_000)).agg(F.avg(F.octet_length("text"))).first()[0] or 0.0
-    shards = int(max(8, -(-size * rows * 0.14 // SHARD_SIGNATURES)))
-    signed = _signed(docs, frequent, shards, words, percent)
-    schema = "kind int, a long, b long, n long, h1 long, h2 long, sketch binary, members array<long>"
+    docs = docs.withColumn("mark", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = _bits(size * BY_BYTE)
+    frequent = _frequent_codes(docs, bits, words)
+    signed = _signed(docs, frequent, 64 - bits - CODE_BITS, bits, words, percent)
+    schema = "kind int, a long, b long, n long, h1 long, h2 long, mark long, sketch binary"
     found = materialize(signed.groupBy("shard").applyInArrow(_bucketed, schema), "found")
 
-    nodes = found.where("kind = 0").select(F.col("a").alias("uid"), F.col("b").alias("id"), "n", "h1", "h2")
+    nodes = found.where("kind = 0").select(F.col("a").alias("uid"), F.col("b").alias("id"), "n", "h1", "h2", "mark")
     # a class is a set; it is named by the first row that has it, and known by its smallest id
-    classes = materialize(nodes.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("node"), F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
+    classes = materialize(nodes.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("node"), F.min("id").alias("id"), F.max("n").alias("n")), "classes")
     named = nodes.where("n > 0").select("uid", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("uid", "node")
     to_node = materialize(named, "nodes")
     sketches = found.where("kind = 0 and n > 0").select(F.col("a").alias("node"), "n", "sketch")
@@ -462,12 +588,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left, right = to_node.select(F.col("uid").alias("p"), F.col("node").alias("u")), to_node.select(F.col("uid").alias("q"), F.col("node").alias("v"))
     pairs = raw.join(left, "p").join(right, "q").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = materialize(_near(pairs, sketches, percent), "pairs")
-    links = materialize(_verified(pairs, _texts(docs, pairs, nodes, words), words, percent), "links")
+    links = materialize(_verified(pairs, _sets(docs, pairs, nodes, words), percent), "links")
 
     # buckets whose members are still apart: their members are compared across components
     home = materialize(connected_components(links, "u", "v"), "components")
-    buckets = found.where("kind = 2").select(F.col("a").alias("bucket"), F.explode("members").alias("uid"))
-    members = buckets.join(to_node, "uid").select("bucket", "node").distinct()
+    members = found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("uid")).join(to_node, "uid").select("bucket", "node").distinct()
     members = materialize(members, "members")
     # links between components are sought by their nearest pairs first; the last round leaves none untried
     tried = pairs
@@ -481,7 +606,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 break
             continue
         tried = tried.unionByName(more)
-        fresh = materialize(_verified(more, _texts(docs, more, nodes, words), words, percent), "links")
+        fresh = materialize(_verified(more, _sets(docs, more, nodes, words), percent), "links")
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             home = materialize(connected_components(links, "u", "v"), "components")
@@ -489,13 +614,46 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # smallest id of each component, over the smallest ids of its classes
     placed = classes.join(home, "node", "left").select("h1", "h2", "id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    final = materialize(placed.join(least, "component").select("h1", "h2", "component_id"), "final")
-    out = nodes.join(final, ["h1", "h2"], "left").select(
+    final = materialize(placed.join(least, "component").select("h1", "h2", "component", "component_id"), "final")
+    return nodes.join(final, ["h1", "h2"], "left").select("uid", "id", "n", "mark", "component_id", "component")
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles long, component_id): each row with the smallest id that links reach.
+
+    Defined cases: null or blank text is an empty set, linked with nothing; rows with equal sets
+    are linked, however many; a null id takes part and is never the smallest unless alone;
+    repeated rows give repeated results; other columns are not read.
+    """
+    id_type = df.schema[id_col].dataType.simpleString()
+    return _components(df, id_col, text_col, words, percent).select(
         F.col("id").cast(id_type).alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).cast(id_type).alias("component_id"),
     )
-    return out
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``df``, all columns: of each component one row with the smallest id.
+
+    A row is known by its id and a 64-bit hash of its text, so unlike rows with one id are judged
+    apart. Defined cases: rows without words all stay; a null id comes after all others; of rows
+    that repeat id and text of the one that stays, one stays.
+    """
+    rows = materialize(_components(df, id_col, text_col, words, percent).where("component is not null"), "components")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark"))
+    best = rows.groupBy("component").agg(first.alias("first")).select("component", F.col("first.id").alias("best_id"), F.col("first.mark").alias("best_mark"))
+    told = rows.join(best, "component").withColumn("stays", F.col("id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark")))
+    sums = materialize(told.groupBy("id", "mark").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")), "judged")
+    key = F.col(id_col).cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_near_mark"))
+    marked = sums.select(F.col("id").alias("_near_id"), F.col("mark").alias("_near_mark"), "stays", "rows")
+    lost = marked.where("not stays or rows > 1").select("_near_id", "_near_mark")
+    out = df.join(sized_broadcast(lost, lost.count(), BROADCAST_IDS), key, "left_anti")
+    twice = marked.where("stays and rows > 1").select("_near_id", "_near_mark")
+    if twice.isEmpty():
+        return out
+    again = df.join(sized_broadcast(twice, twice.count(), BROADCAST_IDS), key, "left_semi")
+    return out.unionByName(again.dropDuplicates([id_col, text_col]))
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -581,20 +739,3 @@ def _across(members: DataFrame, percent: int, most: int | None, block: int = BLO
 
     dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "node")
     return dealt.mapInPandas(run, "u long, v long")
-
-
-def _texts(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, text) for the nodes of ``pairs``: the text of the row that names each."""
-    want = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    rows = materialize(want.join(nodes.select(F.col("uid").alias("node"), "id", "h1", "h2"), "node"), "wanted")
-    n = rows.count()
-    ids = sized_broadcast(rows.select(F.col("id").alias("want")).distinct(), n, BROADCAST_IDS)
-
-    def run(batches):
-        for b in batches:
-            h = [set_hashes(shingles(t.as_py(), words)) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.int64()), b.column(0)], names=["h1", "h2", "text"])
-
-    some = docs.join(ids, docs["id"].eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(run, "h1 long, h2 long, text string")
-    got = some.join(rows.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "text").dropDuplicates(["node"])
-    return materialize(got, "texts")
