@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
@@ -13,8 +13,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Large-star and small-star rounds: neighbours are hung below the smallest neighbour, so a
     path shrinks by a constant factor a round. Each round is written to the shared folder; the
-    loop ends when a round leaves count and checksum of the edges as they were. Self-loops and
-    repeated edges are harmless; null ends are dropped; a table without edges has no nodes.
+    loop ends when a round leaves count and checksum of the edges as they were, and raises if
+    ``most_rounds`` do not do (a path needs about its logarithm). Self-loops and repeated edges
+    are harmless; null ends are dropped; a table without edges has no nodes.
     """
     start = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     now = materialize(start.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -23,8 +24,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if mark["n"] == 0 or mark == before:
             break
-        before = mark
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, last = mark, now
+        now = materialize(_small_star(_large_star(last)), "edges")
+        release(last)
+    else:
+        raise RuntimeError(f"components are not found after {most_rounds} rounds")
     below = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = now.select(F.col("b").alias("node")).distinct().join(below.select("node"), "node", "left_anti")
     alone = start.where("a = b").select(F.col("a").alias("node")).distinct()

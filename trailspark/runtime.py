@@ -11,17 +11,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+#: Tables of materialize() by the identity of their frames, which are kept here so that it stays theirs.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (local tests) a temporary folder of this process is
-    made, and removed at exit.
+    Where the setting is absent, a local master (tests) gets a temporary folder of this process,
+    removed at exit; on a cluster executors would not see it, so there it is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="spark-trail-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
@@ -29,8 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; it is deleted when the driver's Python exits."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -41,17 +52,25 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; ``compression`` is the session's unless told.
 
     Lineage is cut by a table that outlives any executor; row counts of it come from file
     footers. The table is deleted when the driver's Python exits.
     """
     path = new_path(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
-    atexit.register(_delete, df.sparkSession, path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    stored = df.sparkSession.read.schema(schema).parquet(path)
+    _PATHS[id(stored)] = (stored, path)
+    return stored
+
+
+def release(stored: DataFrame) -> None:
+    """Delete a materialized table that nothing reads any more."""
+    _, path = _PATHS.pop(id(stored), (None, None))
+    if path:
+        _delete(stored.sparkSession, path)
 
 
 def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
