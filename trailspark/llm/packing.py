@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -48,7 +47,8 @@ class WordBpe:
 
     White space is dropped before the merges, so the ids of a text are those of its words one
     after another; each word is encoded once and its packed ids are kept. Texts with
-    characters outside the common range go through the tokenizers library itself.
+    characters outside the common range, or with an added token of the file written out, go
+    through the tokenizers library itself.
     """
 
     def __init__(self, path: str):
@@ -56,9 +56,9 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
+        self.added = [t["content"].lower() for t in spec["added_tokens"]]
         model, self.special = spec["model"], {}
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         # a word's last byte carries the end mark 0xff, which UTF-8 never holds; the marks join first
@@ -74,11 +74,11 @@ class WordBpe:
         self.cache = _Chunks(self)
 
     def encode(self, text: str) -> bytes:
-        """Packed little-endian ids of one text, special tokens of the file taken as plain text."""
-        if _ODD.search(text):
-            if not unicodedata.is_normalized("NFC", text) or _ODD.search(text):
-                return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.cache.__getitem__, text.lower().split()))
+        """Packed little-endian ids of one text, as the library gives them without adding special tokens."""
+        low = text.lower()
+        if _ODD.search(text) or any(t in low for t in self.added):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.cache.__getitem__, low.split()))
 
 
 class _Chunks(dict):
