@@ -84,11 +84,16 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
+def hash_bound(want: float, rows: int) -> int:
+    """The signed 64-bit hash up to which about ``want`` of ``rows`` rows have theirs."""
+    return min((1 << 63) - 1, int(want * (1 << 64) / max(rows, 1)) - (1 << 63))
+
+
 def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(lang, counts binary, fold): about ``rows`` labelled rows, even over languages, by a hash of the id.
 
-    Each language gives every row or a share of its rows; the share follows from its count, so
-    the sample stays within its bound at any table size.
+    Each language gives every row or a share of its rows; the share follows from its count and is
+    a bound on a 64-bit hash, so the sample stays near its bound, and never empty, at any table size.
     """
     usable = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang")).where(
         (crc32_of_id("id") % 5 != 0) & F.col("lang").isNotNull() & F.col("t").isNotNull()
@@ -97,10 +102,10 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, ro
     if not sizes:
         return usable.select("lang", F.lit(None).cast("binary").alias("counts"), F.lit(0).alias("fold"))
     each = rows / len(sizes)
-    share = F.lit(0)
+    bound = F.lit(-(1 << 63))
     for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, each / r["count"]) * 1_000_000)).otherwise(share)
-    pick = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1_000_000)) < share
+        bound = F.when(F.col("lang") == r["lang"], F.lit(hash_bound(each, r["count"]))).otherwise(bound)
+    pick = F.xxhash64(F.col("id").cast("string"), F.lit(7)) <= bound
 
     def run(frames):
         for pdf in frames:
@@ -177,7 +182,7 @@ def scorer(model: Model | None):
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", to: str = "language") -> DataFrame:
-    """``df`` with struct(lang_pred, score, accepted) of each whole text in column ``to``."""
+    """``df`` with struct(lang_pred, score, accepted) of each whole text in column ``to``; a column of that name is replaced."""
     return df.withColumn(to, scorer(model)(F.col(text_col)))
 
 
