@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import materialize, sized_broadcast
+from ..runtime import materialize, release, sized_broadcast
 
 #: Words of a shingle; similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -54,11 +54,11 @@ FREQUENT = 16
 #: Most frequent shingles kept (8 bytes each).
 MOST_FREQUENT = 1_000_000
 #: Shingles and signatures by byte of text, roughly, and how many of either a reduce group holds on average.
-BY_BYTE, SHARD_ITEMS = 0.15, 1_500_000
+BY_BYTE, SHARD_ITEMS = 0.15, 1_000_000
 #: Bits that tell apart the shingles and the signatures of a shard.
 CODE_BITS, KEY_BITS = 24, 40
 #: Documents and shingles or signatures of a block, which a task sends together.
-BLOCK_DOCS, BLOCK_ITEMS = 4096, 2_000_000
+BLOCK_DOCS, BLOCK_ITEMS = 4096, 1_000_000
 #: Shingles of a row, and pairs of one document that a group verifies on average.
 PART_SHINGLES, GROUP_PAIRS = 1024, 256
 #: Members of a bucket that a group compares at most.
@@ -563,6 +563,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("u", "salt", "v", "n", "part", "features").mapInArrow(run, "u long, v long")
 
 
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs that link, stored; the shingles that told so are dropped."""
+    sets = _sets(docs, pairs, nodes, words)
+    links = materialize(_verified(pairs, sets, percent), "links")
+    release(sets)
+    return links
+
+
 def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(uid, id, n, mark, component_id, component): every row, the smallest id that its links reach and a number of its component.
 
@@ -588,7 +596,7 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent:
     left, right = to_node.select(F.col("uid").alias("p"), F.col("node").alias("u")), to_node.select(F.col("uid").alias("q"), F.col("node").alias("v"))
     pairs = raw.join(left, "p").join(right, "q").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = materialize(_near(pairs, sketches, percent), "pairs")
-    links = materialize(_verified(pairs, _sets(docs, pairs, nodes, words), percent), "links")
+    links = _links(pairs, docs, nodes, words, percent)
 
     # buckets whose members are still apart: their members are compared across components
     home = materialize(connected_components(links, "u", "v"), "components")
@@ -606,7 +614,7 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent:
                 break
             continue
         tried = tried.unionByName(more)
-        fresh = materialize(_verified(more, _sets(docs, more, nodes, words), percent), "links")
+        fresh = _links(more, docs, nodes, words, percent)
         if not fresh.isEmpty():
             links = links.unionByName(fresh)
             home = materialize(connected_components(links, "u", "v"), "components")
