@@ -1,10 +1,15 @@
 """Media columns: lossless 8-bit audio and features of it as fixed-shape tensors with time spans.
 
-``store`` writes bytes as unsigned 8-bit mono WAV into a binary column; ``features`` reads the
-stored bytes back: a polyphase filter halves the rate, overlapped windows give log-mel
-filterbanks, cut into tensors of TENSOR_FRAMES x MELS, and energy with hysteresis gives time
-spans of activity. Long payloads run in blocks, so memory is bounded by the stored bytes and
-their features.
+``store`` gives bytes as unsigned 8-bit mono WAV in a binary column and writes them as a table;
+``features`` reads the stored bytes back: a polyphase filter halves the rate, overlapped windows
+give log-mel filterbanks, cut into tensors of TENSOR_FRAMES x MELS, and energy with hysteresis
+gives time spans of activity. Each task writes its tensors, with the time span of each, to an
+Arrow file of the shared folder whose column has Arrow's fixed-shape tensor type; rows of the
+features say which rows of which file are theirs, and ``read_tensors`` reads them back. Long
+payloads run in blocks, so memory is bounded by the stored bytes and their features.
+
+A file is named after its task attempt and told of only by rows that its task returned, so lost
+or repeated attempts leave nothing but unread files.
 
 Defined cases: null counts as empty; an empty payload is padded to one unit of 64 zero bytes;
 the last tensor is padded with the floor value; null or repeated ids give a row each; a table
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +28,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..runtime import materialize, new_path
 from .bpe import BATCH_BYTES, _arrow_type
+from .warc import open_path
 
 RATE, UNIT = 8000, 64
 #: The rate is halved by a filter of TAPS taps, half of them in each phase.
@@ -118,8 +127,8 @@ def active_spans(power: np.ndarray) -> list[tuple[float, float]]:
     return [(a * step, (b - 1) * step + WINDOW / (RATE / 2)) for a, b in edges.reshape(-1, 2).tolist()]
 
 
-def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes long, media binary): the UTF-8 bytes of each whole text, padded and stored."""
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes long, media binary): the UTF-8 bytes of each whole text, padded, as WAV."""
     kind, id_type = df.schema[id_col].dataType.simpleString(), _arrow_type(df, id_col)
     names, types = [id_col, "n_bytes", "media"], [id_type, pa.int64(), pa.binary()]
 
@@ -132,23 +141,63 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(id_col, text_col).mapInArrow(lambda batches: _batches(rows(batches), names, types, 2), f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-#: What features() adds to the stored columns.
+#: What features() tells of each row.
 FEATURE_SCHEMA = (
-    "payload_bytes long, payload_sha256 string, tail_crc32 long, frames long, tensors array<array<float>>, tensor_starts array<double>, span_starts array<double>, span_ends array<double>"
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, "
+    "file string, first long, count long, span_starts array<double>, span_ends array<double>"
 )
+#: Tensors of a batch of a tensor file.
+FILE_BATCH = 256
+#: Arrow's type of a tensor, and the columns of a tensor file.
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS))
+TENSOR_FILE = pa.schema([("tensor", TENSOR), ("start", pa.float64()), ("end", pa.float64())])
 
 
-def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Stored columns, digests of the payload read back, tensors with start times, active spans.
-
-    A tensor is TENSOR_FRAMES x MELS floats, row by row; :func:`tensor_array` gives the Arrow type.
-    """
+def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes long, media binary): the UTF-8 bytes of each whole text, padded, as a stored table."""
+    return materialize(encode(df, id_col, text_col), "media", "zstd")
+
+
+class _TensorFile:
+    """Writes tensors with their time spans to one Arrow file, in batches of FILE_BATCH."""
+
+    def __init__(self, path: str):
+        store, inner = open_path(path)
+        store.create_dir(inner.rpartition("/")[0], recursive=True)
+        self.path, self.sink, self.rows, self.held = path, store.open_output_stream(inner, compression=None), 0, []
+        self.out = pa.ipc.new_file(self.sink, TENSOR_FILE, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+
+    def add(self, tensors: np.ndarray, starts: list[float], ends: list[float]) -> int:
+        """Number of the first row of these tensors."""
+        first = self.rows
+        self.held += zip(tensors, starts, ends)
+        self.rows += len(starts)
+        while len(self.held) >= FILE_BATCH:
+            self._write(FILE_BATCH)
+        return first
+
+    def _write(self, n: int) -> None:
+        some, self.held = self.held[:n], self.held[n:]
+        columns = [tensor_array([x[0].ravel() for x in some]), pa.array([x[1] for x in some]), pa.array([x[2] for x in some])]
+        self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=TENSOR_FILE))
+
+    def close(self) -> None:
+        if self.held:
+            self._write(len(self.held))
+        self.out.close()
+        self.sink.close()
+
+
+def features(stored: DataFrame, id_col: str = "doc_id", folder: str | None = None) -> DataFrame:
+    """(id, n_bytes, digests of the payload read back and of the stored form, frames, place of the tensors, active spans), stored."""
     kind, id_type = stored.schema[id_col].dataType.simpleString(), _arrow_type(stored, id_col)
-    names = [id_col, "n_bytes", "media", *(x.split()[0] for x in FEATURE_SCHEMA.split(", "))]
+    folder = folder or new_path(stored.sparkSession, "tensors")
+    names = [id_col, "n_bytes", *(x.split()[0] for x in FEATURE_SCHEMA.split(", "))]
     floats = pa.list_(pa.float64())
-    types = [id_type, pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.float32())), floats, floats, floats]
+    types = [id_type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), floats, floats]
 
     def rows(batches):
+        step, file = HOP / (RATE / 2), None
         for b in batches:
             for i, n, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 media = m.as_py()
@@ -157,30 +206,67 @@ def features(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 count = -(-len(mel) // TENSOR_FRAMES)
                 full = np.full((count * TENSOR_FRAMES, MELS), np.log(FLOOR), dtype=np.float32)
                 full[: len(mel)] = mel
+                if file is None:
+                    file = _TensorFile(f"{folder}/part-{uuid.uuid4().hex}.arrow")
+                starts = [k * TENSOR_FRAMES * step for k in range(count)]
+                ends = [(min(len(mel), (k + 1) * TENSOR_FRAMES) - 1) * step + WINDOW / (RATE / 2) for k in range(count)]
+                first = file.add(full.reshape(count, TENSOR_FRAMES, MELS), starts, ends)
                 spans = active_spans(power)
-                starts = [k * TENSOR_FRAMES * HOP / (RATE / 2) for k in range(count)]
-                tensors = list(full.reshape(count, TENSOR_FRAMES * MELS))
-                yield i, n, media, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(mel), tensors, starts, [a for a, _ in spans], [e for _, e in spans]
+                told = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), len(mel))
+                yield i, n, *told, file.path, first, count, [a for a, _ in spans], [e for _, e in spans]
+        if file is not None:
+            file.close()
 
-    schema = f"`{id_col}` {kind}, n_bytes long, media binary, {FEATURE_SCHEMA}"
-    return stored.select(id_col, "n_bytes", "media").mapInArrow(lambda batches: _batches(rows(batches), names, types, 2), schema)
+    schema = f"`{id_col}` {kind}, n_bytes long, {FEATURE_SCHEMA}"
+    return materialize(stored.select(id_col, "n_bytes", "media").mapInArrow(lambda batches: _batches(rows(batches), names, types, None), schema), "features")
+
+
+def read_tensors(found: DataFrame) -> DataFrame:
+    """``found`` (rows of :func:`features`, other columns may follow) with ``tensors array<array<float>>``, row by row, read from their files."""
+    session = found.sparkSession
+    files = found.agg(F.count_distinct("file")).first()[0]
+    tasks = max(session.sparkContext.defaultParallelism, files)
+    at, names = {c: k for k, c in enumerate(found.columns)}, [*found.columns, "tensors"]
+    kind = pa.list_(pa.list_(pa.float32()))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        path, reader, number, batch = None, None, None, None
+        for b in batches:
+            start, out, held = 0, [], 0
+            for k, (file, first, count) in enumerate(zip(*(b.column(at[c]).to_pylist() for c in ("file", "first", "count")))):
+                if file != path:
+                    store, inner = open_path(file)
+                    path, reader, number = file, pa.ipc.open_file(store.open_input_file(inner)), None
+                got = []
+                for row in range(first, first + count):
+                    if row // FILE_BATCH != number:
+                        number = row // FILE_BATCH
+                        batch = reader.get_batch(number).column(0).to_numpy_ndarray()
+                    got.append(batch[row % FILE_BATCH].ravel())
+                out.append(got)
+                held += count
+                if held * TENSOR_FRAMES * MELS * 4 >= BATCH_BYTES or k + 1 == b.num_rows:
+                    part = b.slice(start, k + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], names=names)
+                    start, out, held = k + 1, [], 0
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
+    return found.repartition(tasks, "file").sortWithinPartitions("file", "first").mapInArrow(run, f"{fields}, tensors array<array<float>>")
 
 
 def tensor_array(tensors: list[np.ndarray]) -> pa.ExtensionArray:
     """Rows of TENSOR_FRAMES x MELS floats as an Array of Arrow's fixed-shape tensor type."""
     flat = np.concatenate(tensors) if tensors else np.empty(0, np.float32)
-    size = TENSOR_FRAMES * MELS
-    kind = pa.fixed_shape_tensor(pa.float32(), (TENSOR_FRAMES, MELS))
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), size))
+    return pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.float32()), TENSOR_FRAMES * MELS))
 
 
-def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], weight: int) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], weight: int | None) -> Iterator[pa.RecordBatch]:
     out: list[list] = [[] for _ in names]
     held = 0
     for row in rows:
         for c, v in zip(out, row):
             c.append(v)
-        held += len(row[weight]) + 64
+        held += 512 if weight is None else len(row[weight]) + 64
         if held >= BATCH_BYTES // 4:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
             out, held = [[] for _ in names], 0

@@ -145,7 +145,7 @@ def find_spans(text: Column) -> Column:
 
 
 def with_spans(df: DataFrame, text_col: str = "text", to: str = "pii") -> DataFrame:
-    """``df`` with the spans of ``text_col`` in column ``to``."""
+    """``df`` with the spans of ``text_col`` in column ``to``; a column of that name is replaced."""
     return df.withColumn(to, find_spans(F.col(text_col)))
 
 

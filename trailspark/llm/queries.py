@@ -78,13 +78,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes stored as audio, read back, with a digest of its features."""
-    out = audio.features(audio.store(_read(spark, sf_dir, "documents")))
+    out = audio.read_tensors(audio.features(audio.store(_read(spark, sf_dir, "documents"))))
     mean = F.transform("tensors", lambda t: F.bround(F.aggregate(t, F.lit(0.0), lambda a, x: a + x.cast("double")) / (audio.TENSOR_FRAMES * audio.MELS), 3).cast("string"))
     spans = F.zip_with("span_starts", "span_ends", lambda a, b: F.concat_ws("-", F.bround(a, 3).cast("string"), F.bround(b, 3).cast("string")))
     feature = F.concat_ws("|", F.col("frames").cast("string"), F.array_join(mean, ","), F.array_join(spans, ","))
-    return out.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature")
-    )
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

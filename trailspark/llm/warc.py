@@ -35,6 +35,8 @@ from ..runtime import materialize, new_path, sized_broadcast
 REVISIT_BYTES = 1000
 #: Captures of an index block, and of an index part on average.
 BLOCK_LINES, PART_LINES = 256, 200_000
+#: Records that a task of a lookup reads on average.
+TASK_LINES = 20_000
 #: Hashes of repeated payloads that are broadcast at most.
 BROADCAST_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
@@ -59,7 +61,7 @@ def capture_key(url: str | None, capture_id: int | None) -> str:
     return f"{url_key(url)} {'-' if capture_id is None else format(capture_id + (1 << 63), '020d')}"
 
 
-def _open(path: str):
+def open_path(path: str):
     """File system and inner path of a URI or a local path."""
     from pyarrow import fs
 
@@ -80,7 +82,7 @@ class Ranges:
         if path not in self.files:
             if len(self.files) >= 32:
                 self.files.pop(next(iter(self.files))).close()
-            store, inner = _open(path)
+            store, inner = open_path(path)
             self.files[path] = store.open_input_file(inner)
         return self.files[path].read_at(length, offset)
 
@@ -156,7 +158,7 @@ def write_archive(df: DataFrame, folder: str | None = None, id_col: str = "page_
                 i, refers = (None if pd.isna(x) else int(x) for x in (i, refers))
                 member = record("response" if refers is None else "revisit", url, i, bytes(payload), bytes(s1), refers)
                 if sink is None:
-                    store, inner = _open(name)
+                    store, inner = open_path(name)
                     store.create_dir(inner.rpartition("/")[0], recursive=True)
                     sink = store.open_output_stream(inner, compression=None)
                 sink.write(member)
@@ -197,7 +199,7 @@ def build_index(captures: DataFrame, folder: str | None = None, part_lines: int
         for pdf in frames:
             for key, file, offset, length in pdf.itertuples(index=False):
                 if sink is None:
-                    store, inner = _open(base + ".blocks")
+                    store, inner = open_path(base + ".blocks")
                     store.create_dir(inner.rpartition("/")[0], recursive=True)
                     sink, first = store.open_output_stream(inner, compression=None), key
                 lines.append(f"{key} {offset} {length} {file}")
@@ -208,7 +210,7 @@ def build_index(captures: DataFrame, folder: str | None = None, part_lines: int
             if lines:
                 close_block()
             sink.close()
-            store, inner = _open(base + ".directory")
+            store, inner = open_path(base + ".directory")
             with store.open_output_stream(inner, compression=None) as f:
                 f.write("\n".join(directory).encode())
             yield pd.DataFrame([(first, base + ".directory", base + ".blocks", total)], columns=["first", "directory", "blocks", "lines"])
@@ -227,7 +229,7 @@ class Index:
 
     def _directory(self, n: int) -> None:
         if self.part != n:
-            store, inner = _open(self.parts[n][1])
+            store, inner = open_path(self.parts[n][1])
             with store.open_input_file(inner) as f:
                 rows = [x.rsplit(" ", 2) for x in f.read().decode().split("\n")]
             self.part, self.block = n, None
@@ -292,8 +294,10 @@ def lookup(wanted: DataFrame, parts: list[tuple[str, str, str, int]], id_col: st
 
     safe = wanted.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"))
     key = safe.mapInPandas(keys, "key string")
-    # equal keys stay in one task, so the n-th of them takes the n-th capture
-    return key.repartitionByRange("key").sortWithinPartitions("key").mapInPandas(run, schema)
+    # equal keys stay in one task, so the n-th of them takes the n-th capture; keys are small beside
+    # the records they stand for, so the number of tasks follows from the lines of the index
+    tasks = max(wanted.sparkSession.sparkContext.defaultParallelism, -(-sum(p[3] for p in parts) // TASK_LINES))
+    return key.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
