@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trailspark.llm import exact_dedup, jaccard_join, langid, packing, pii
 from trailspark.llm.queries import tokenizer_file
-from trailspark.runtime import materialize, sized_broadcast
+from trailspark.runtime import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,11 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the smallest id; documents without words stay."""
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    gone = materialize(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = sized_broadcast(gone, gone.count(), exact_dedup.BROADCAST_ROWS)
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """Of documents that links join, one with the smallest id; documents without words stay.
+
+    Rows are told apart by id and text, so unlike documents that share an id are judged each for itself.
+    """
+    return jaccard_join.drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
