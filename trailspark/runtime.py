@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +75,18 @@ def release(stored: DataFrame) -> None:
         _delete(stored.sparkSession, path)
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of at most about ``size`` bytes for the jobs that run inside; the setting is put back after."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sized_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """``df`` with a broadcast hint when its counted ``rows`` are within ``limit``, else as it is."""
     return F.broadcast(df) if rows <= limit else df
