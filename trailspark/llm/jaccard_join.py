@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import materialize, release, sized_broadcast
+from ..runtime import batch_bytes, materialize, release, sized_broadcast
 
 #: Words of a shingle; similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -58,11 +58,15 @@ BY_BYTE, SHARD_ITEMS = 0.15, 1_000_000
 #: Bits that tell apart the shingles and the signatures of a shard.
 CODE_BITS, KEY_BITS = 24, 40
 #: Documents and shingles or signatures of a block, which a task sends together.
-BLOCK_DOCS, BLOCK_ITEMS = 4096, 1_000_000
+BLOCK_DOCS, BLOCK_ITEMS = 4096, 500_000
 #: Shingles of a row, and pairs of one document that a group verifies on average.
 PART_SHINGLES, GROUP_PAIRS = 1024, 256
-#: Members of a bucket that a group compares at most.
-BLOCK_MEMBERS = 2048
+#: Members of a bucket that a group compares at most, and sketch cells that it compares at a time.
+BLOCK_MEMBERS, BLOCK_CELLS = 512, 1 << 22
+#: Nearest pairs of two components in a bucket that a first round finds.
+NEAREST = 64
+#: Bytes of an Arrow batch of texts or sketches that goes to a Python worker.
+BATCH_BYTES = 8 << 20
 #: Candidate documents whose ids are broadcast at most.
 BROADCAST_IDS = 500_000
 
@@ -576,6 +580,11 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent:
 
     ``component_id`` and ``component`` are null for rows without words.
     """
+    with batch_bytes(df.sparkSession, BATCH_BYTES):
+        return _classes(df, id_col, text_col, words, percent)
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("mark", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -602,22 +611,26 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent:
     home = materialize(connected_components(links, "u", "v"), "components")
     members = found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("uid")).join(to_node, "uid").select("bucket", "node").distinct()
     members = materialize(members, "members")
-    # links between components are sought by their nearest pairs first; the last round leaves none untried
     tried = pairs
-    for most in (1, None):
+    for most in (NEAREST, None):
         now = members.join(home, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         apart = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
-        cross = _across(now.join(apart, "bucket").join(sketches, "node"), percent, most).distinct()
-        more = materialize(cross.join(tried, ["u", "v"], "left_anti"), "cross")
-        if more.isEmpty():
-            if most is None:
-                break
-            continue
-        tried = tried.unionByName(more)
-        fresh = _links(more, docs, nodes, words, percent)
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            home = materialize(connected_components(links, "u", "v"), "components")
+        cross = _across(now.join(apart, "bucket").join(sketches, "node"), percent, most)
+        cross = materialize(cross.groupBy("u", "v").agg(F.min("rank").alias("rank"), F.max("more").alias("more")), "cross")
+        # the nearest pair of two components goes first: where it links, the others need no look
+        for which in ("rank = 0", "rank > 0"):
+            place = lambda c: home.select(F.col("node").alias(c), F.col("component").alias(f"home_{c}"))  # noqa: E731, B023
+            fresh = cross.where(which).join(tried, ["u", "v"], "left_anti").join(place("u"), "u", "left").join(place("v"), "v", "left")
+            fresh = materialize(fresh.where(F.coalesce("home_u", "u") != F.coalesce("home_v", "v")).select("u", "v"), "untried")
+            if fresh.isEmpty():
+                continue
+            tried = tried.unionByName(fresh)
+            more = _links(fresh, docs, nodes, words, percent)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                home = materialize(connected_components(links, "u", "v"), "components")
+        if cross.where("more").isEmpty():  # no pair was left out
+            break
 
     # smallest id of each component, over the smallest ids of its classes
     placed = classes.join(home, "node", "left").select("h1", "h2", "id", F.coalesce("component", "node").alias("component"))
@@ -678,11 +691,18 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "v").join(one, "u").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+@lru_cache(maxsize=BLOCK_MEMBERS)
+def _upper(m: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(m, 1)
+
+
 def _across(members: DataFrame, percent: int, most: int | None, block: int = BLOCK_MEMBERS) -> DataFrame:
     """Pairs (u, v) of members of one bucket in different components that sketches do not rule out.
 
-    Of each two components in a bucket the ``most`` nearest pairs by sketch, or all. A bucket of more than ``block`` members is cut into blocks, and a group compares two of
-    them, so no group grows with a bucket.
+    Of each two components in a bucket the ``most`` nearest pairs by sketch, or all; ``rank`` is
+    a pair's place among them and ``more`` tells that others were left out. A bucket of more
+    than ``block`` members is cut into blocks, and a group compares two of them, so no group
+    grows with a bucket. A pair is told once for each bucket that shows it, or less.
     """
     count = F.greatest(F.lit(1), F.ceil(F.col("size") / block)).cast("int")
     own = F.pmod(F.xxhash64("node"), count).cast("int")
@@ -690,60 +710,58 @@ def _across(members: DataFrame, percent: int, most: int | None, block: int = BLO
     rows = members.withColumn("own", own).withColumn("other", F.explode(others))
     rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "component", "n", "sketch")
 
-    seen: set[tuple[int, int]] = set()
-
-    def pairs(g: pd.DataFrame) -> list[np.ndarray]:
-        size = 4 * min(map(len, g["sketch"]))
-        table = np.vstack([_folded(x, size) for x in g["sketch"]])
-        n, node, home, own = (g[c].to_numpy() for c in ("n", "node", "component", "own"))
-        ends = np.searchsorted(n, n * 100 // percent, side="right")
-        two, out = g["lo"].iloc[0] != g["hi"].iloc[0], []
-        for i in range(len(n)):
-            j = np.arange(i + 1, ends[i])
-            j = j[(home[j] != home[i]) & ((own[j] != own[i]) if two else True)]
-            if not len(j):
-                continue
-            apart = np.abs(table[j] - table[i]).sum(axis=1, dtype=np.int64)
-            ok = (100 + percent) * apart <= (100 - percent) * (n[j] + n[i])
-            j, apart = j[ok], apart[ok]
-            if len(j):
-                a, b = np.minimum(home[j], home[i]), np.maximum(home[j], home[i])
-                out.append(np.stack((a, b, apart, np.minimum(node[j], node[i]), np.maximum(node[j], node[i])), axis=1))
-        if not out:
-            return []
-        found = np.concatenate(out)
-        found = found[np.lexsort((found[:, 4], found[:, 3], found[:, 2], found[:, 1], found[:, 0]))]
-        if most is not None:  # the nearest of each two components
-            fresh = np.concatenate(([True], (found[1:, :2] != found[:-1, :2]).any(axis=1)))
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(found)), 0))
-            found = found[np.arange(len(found)) - start < most]
-        return [found[:, 3:]]
+    def pairs(g: dict[str, np.ndarray], x: int, y: int) -> np.ndarray | None:
+        """Rows (u, v, rank, more) of the group in rows x to y, which are sorted by size."""
+        home, n, own, node = (g[c][x:y] for c in ("component", "n", "own", "node"))
+        i, j = _upper(y - x) if y - x <= block else np.triu_indices(y - x, 1)
+        ok = (home[i] != home[j]) & (100 * n[i] >= percent * n[j])
+        if g["lo"][x] != g["hi"][x]:
+            ok &= own[i] != own[j]
+        i, j = i[ok], j[ok]
+        if not len(i):
+            return None
+        size = 4 * min(map(len, g["sketch"][x:y]))
+        table = np.vstack([_folded(s, size) for s in g["sketch"][x:y]])
+        step = max(1, BLOCK_CELLS // size)
+        apart = np.concatenate([np.abs(table[j[k : k + step]] - table[i[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step)])
+        ok = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
+        if not ok.any():
+            return None
+        i, j, apart = i[ok], j[ok], apart[ok]
+        a, b = np.minimum(home[i], home[j]), np.maximum(home[i], home[j])
+        u, v = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        order = np.lexsort((v, u, apart, b, a))
+        a, b, u, v = a[order], b[order], u[order], v[order]
+        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+        total = np.diff(np.concatenate((first, [len(a)])))
+        rank = np.arange(len(a)) - np.repeat(first, total)
+        if most is None:
+            return np.stack((u, v, rank, np.zeros_like(u)), axis=1)
+        keep = rank < most
+        return np.stack((u, v, rank, np.repeat(total > most, total).astype(np.int64)), axis=1)[keep]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups follow one another in sorted rows; the last of a frame may go on in the next."""
         rest = None
-        seen.clear()
         for pdf in frames:
             if not len(pdf):
                 continue
             pdf = pdf if rest is None else pd.concat((rest, pdf), ignore_index=True)
             key = pdf[["bucket", "lo", "hi"]].to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            last = int(cut[-1]) if len(cut) else 0
-            rest = pdf.iloc[last:]
+            rest = pdf.iloc[int(cut[-1]) if len(cut) else 0 :]
             yield told(pdf, cut)
         if rest is not None:
-            yield told(rest.reset_index(drop=True), np.array([len(rest)]))
+            yield told(rest, np.array([len(rest)]))
 
     def told(pdf: pd.DataFrame, cut: np.ndarray) -> pd.DataFrame:
-        out, at = [], 0
-        for end in cut.tolist():
-            out += pairs(pdf.iloc[at:end])
-            at = end
-        both = set(map(tuple, np.concatenate(out).tolist())) - seen if out else set()
-        if len(seen) < 1_000_000:  # buckets of a family repeat its pairs; the rest is left to distinct()
-            seen.update(both)
-        return pd.DataFrame(sorted(both), columns=["u", "v"], dtype="int64")
+        g = {c: pdf[c].to_numpy() for c in pdf.columns}
+        ends = cut.tolist()
+        out = [r for x, y in zip([0, *ends[:-1]], ends) if (r := pairs(g, x, y)) is not None]
+        # buckets of a family repeat its pairs: each is told once a frame
+        both = pd.DataFrame(np.concatenate(out) if out else np.empty((0, 4), np.int64), columns=["u", "v", "rank", "more"])
+        both = both.groupby(["u", "v"], as_index=False).agg({"rank": "min", "more": "max"})
+        return both.assign(more=both["more"] > 0)
 
     dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "n", "node")
-    return dealt.mapInPandas(run, "u long, v long")
+    return dealt.mapInPandas(run, "u long, v long, rank long, more boolean")
