@@ -18,8 +18,18 @@ from trailspark.llm.queries import tokenizer_file
 from trailspark.runtime import materialize
 
 
+#: Bytes of an Arrow batch: ten thousand rows of whole texts, Spark's default, take ten times as much in both processes.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of bounded size, for this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough confidence; the model rejects few that it knows."""
+    _small_batches(spark)
     score = langid.scorer(langid.train(docs))
     return docs.where(score(F.col("text"))["accepted"])
 
@@ -45,6 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 4096 tokens."""
+    _small_batches(spark)
     pieces = packing.tokenize_pieces(docs, tokenizer_file("word_bpe_49k.json"))
     told = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(told).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
