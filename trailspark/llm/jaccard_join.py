@@ -66,7 +66,7 @@ BLOCK_MEMBERS, BLOCK_CELLS = 512, 1 << 22
 #: Nearest pairs of two components in a bucket that a first round finds.
 NEAREST = 64
 #: Bytes of an Arrow batch of texts or sketches that goes to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Candidate documents whose ids are broadcast at most.
 BROADCAST_IDS = 500_000
 
@@ -412,6 +412,7 @@ def _signed(df: DataFrame, frequent: np.ndarray, shift: int, bits: int, words: i
                 some = blobs[at : at + 256]
                 rows = [[x[0] for x in some], [base] * len(some), *[[None] * len(some)] * 3, [x[1] for x in some]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _SIGN_TYPES)], names=_SIGN_NAMES)
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             for i, t, mark in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
