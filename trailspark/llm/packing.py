@@ -17,7 +17,7 @@ import json
 import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -37,7 +37,7 @@ GROUP_PIECES = 20_000
 #: Bins below this share of the capacity are packed again across groups.
 REPACK_BELOW = 0.98
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 100_000
 #: Characters for which lower-casing and white space may differ between Python and the tokenizer.
 _ODD = re.compile("[\x1c-\x1f\x85İɐ-\U0010ffff]")
 
@@ -53,9 +53,8 @@ class WordBpe:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(path)
+        self.path = path
         with open(path) as f:
             spec = json.load(f)
         self.added = [t["content"].lower() for t in spec["added_tokens"]]
@@ -73,6 +72,13 @@ class WordBpe:
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=rank, special_tokens={})._core_bpe.encode_single_piece
         self.cache = _Chunks(self)
 
+    @cached_property
+    def full(self):
+        """The library's tokenizer, loaded where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         """Packed little-endian ids of one text, as the library gives them without adding special tokens."""
         low = text.lower()
