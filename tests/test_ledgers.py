@@ -309,3 +309,58 @@ def test_relay_stream_equals_the_rule(spark, tmp_path):
 def test_resume_is_refused_when_spent(spark):
     df = spark.createDataFrame([("a", "partial", 10, 4), ("b", "done", 10, 4), ("c", "partial", 4, 4)], "case_id string, status string, max_nodes long, spent_nodes long")
     assert rows(cp.resumable(df), "case_id", "refused") == [("a", None), ("b", "not_partial"), ("c", "spent")]
+
+
+def test_values_past_38_digits_keep_their_digits(spark):
+    for text, want in (("0x0", "0"), ("0x", None), ("", None), ("zz", None), ("0x" + "0" * 60 + "1f", "31"), ("f" * 31, str(16**31 - 1)), ("0x" + "f" * 64, None), (None, None)):
+        got = spark.createDataFrame([(text,)], "h string").select(scalars.hex_to_decimal(F.col("h")).cast("string").alias("d")).first()["d"]
+        assert got == want, (text, got)
+    wide = spark.createDataFrame([("0x" + "f" * 64,), ("0x0a",)], "h string")
+    assert rows(ledgers._with_digits(wide, F.col("h")), "_digits") == [("10",), (str(2**256 - 1),)]
+
+
+def test_sweeps_compare_whole_numbers(spark):
+    big = 10**18
+    at = lambda tx, a, b, n, second: move(tx, a, b, n, f"2024-01-01 00:00:0{second}")
+    w = facts.comparable_window(ledger(spark, at("r", "a", "x", big, 0), at("o", "x", "b", big + 1, 1)))
+    assert detectors.sweep_pairs(w).count() == 0
+    w = facts.comparable_window(ledger(spark, at("r", "a", "x", big, 0), at("o", "x", "b", big, 1)))
+    assert rows(detectors.sweep_pairs(w), "in_amount", "out_amount") == [(Decimal(big), Decimal(big))]
+
+
+def test_nodes_past_a_budget_are_frontier(spark):
+    df = ledger(spark, *[move(f"t{k}", "root", f"n{k}", 10 - k) for k in range(6)])
+    cases = spark.createDataFrame([("k", "c", "root", "forward")], "case_id string, chain string, root string, direction string")
+    nodes, _ = cp.trace(cases, df, None, 1, max_nodes=3)
+    got = {r["address"]: r["state"] for r in nodes.collect()}
+    assert got == {"root": "expanded", "n0": "depth_horizon", "n1": "depth_horizon", "n2": "frontier", "n3": "frontier", "n4": "frontier", "n5": "frontier"}
+    told = answers.coverage_counters(nodes).first()
+    assert told["frontier"] == 4 and not told["complete"]
+
+
+def test_codes_without_a_known_ledger_are_skipped(spark):
+    one = lambda code, a: f"<sdnEntry><uid>1</uid><lastName>N</lastName><idList><id><idType>Digital Currency Address - {code}</idType><idNumber>{a}</idNumber></id></idList></sdnEntry>"
+    evm, btc = "0x" + "a" * 40, "1" + "Q" * 30
+    body = "<sdnList><Publish_Date>08/18/2024</Publish_Date>" + one("ETC", evm) + one("BCH", btc) + one("ARB", evm) + one("BSC", evm) + one("BTC", btc) + one("USDT", evm) + "</sdnList>"
+    docs = spark.createDataFrame([("p", body)], "path string, content string")
+    claims, _ = documents.sanctions(docs)
+    got = rows(claims, "chain", "address")
+    assert ("bitcoin", btc) in got and len(got) == 2 and {a for _, a in got} == {btc, evm}
+    assert rows(documents.skipped_codes(docs), "ticker", "n") == [("ARB", 1), ("BCH", 1), ("BSC", 1), ("ETC", 1)]
+
+
+def test_reserve_networks_and_harmful_tags(spark):
+    nets = ["ETH", "ETHEREUM", "BITCOIN", "TRON", "SOLANA", "POLYGON", "MATIC", "BSC"]
+    docs = spark.createDataFrame([("p", "Network,Address,Message\n" + "\n".join(f"{n},a{k},m" for k, n in enumerate(nets)))], "path string, content string")
+    claims, counts = documents.reserves(docs, "E", "s", "2024-01-01")
+    assert rows(claims, "chain") == sorted((c,) for c in ["ethereum", "ethereum", "bitcoin", "tron", "solana", "polygon", "polygon"])
+    assert counts.first()["unsupported"] == 1
+    tags = spark.createDataFrame([("v", "Bybit Victim", 1), ("f", "Fake Bybit", 1), ("b", "Bybit 3", 1), ("d", "Bybit dep: 9", 1), ("s", "Some Settlement", 1)], "address string, tag string, n int")
+    got = rows(documents.tag_claims(tags, spark.createDataFrame([("bybit", "Bybit"), ("bybit dep", "Bybit")], "prefix string, entity string")), "address", "category", "role")
+    assert got == [("b", "vasp", "unknown"), ("d", "vasp", "deposit"), ("s", "infrastructure", "unknown")]
+
+
+def test_machine_local_folders_are_for_local_masters():
+    from trailspark import runtime
+
+    assert [runtime.is_local(m) for m in ("local", "local[4]", "local[*]", "local-cluster[2,1,1024]", "yarn", "spark://x:7077")] == [True, True, True, False, False, False]

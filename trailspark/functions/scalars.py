@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,10 @@ EVM_ADDRESS = r"^0[xX][0-9a-fA-F]{40}$"
 BITCOIN_LEGACY = r"^[13][1-9A-HJ-NP-Za-km-z]{25,34}$"
 BITCOIN_BECH32 = r"^(?i)bc1[02-9ac-hj-np-z]{11,71}$"
 TRON_ADDRESS = r"^T[1-9A-HJ-NP-Za-km-z]{33}$"
-SOLANA_ADDRESS = r"^[1-9A-HJ-NP-Za-km-z]{32,44}$"
+SOLANA_ADDRESS = r"^[1-9A-HJ-NP-Za-km-z]{43,44}$"
 EVM_LEDGERS = ("ethereum", "bsc", "polygon", "arbitrum", "base", "optimism")
+#: Unsigned hex with or without 0x, at most 75 digits.
+HEX = "^(0[xX])?[0-9a-fA-F]{1,75}$"
 # Fixed value: the Base58 alphabet.
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
@@ -23,16 +26,21 @@ BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 def hex_to_decimal(text: Column) -> Column:
     """Unsigned hex (with or without 0x) as decimal(38,0) by built-ins; null past 38 digits or if it is no hex.
 
-    Five limbs of 15 digits go through ``conv``; sums and products that overflow give null.
+    The significant digits are taken once; up to 15 of them need one ``conv``. More are three
+    limbs of 15 digits; sums and products that overflow give null.
     """
-    bare = F.lower(F.regexp_replace(text, "^0[xX]", ""))
-    fine = bare.rlike("^[0-9a-f]{1,75}$")
-    full = F.lpad(F.when(fine, bare), 75, "0")
     d = lambda v: F.lit(v).cast("decimal(38,0)")
-    limb = lambda i: F.conv(F.substring(full, 75 - 15 * (i + 1) + 1, 15), 16, 10).cast("decimal(38,0)")
-    scaled = lambda i: F.expr("null").cast("decimal(38,0)") if i > 2 else F.try_multiply(limb(i), d(str(16 ** (15 * i)))).cast("decimal(38,0)")
-    total = F.try_add(F.try_add(limb(0), scaled(1)).cast("decimal(38,0)"), scaled(2)).cast("decimal(38,0)")
-    return F.when((limb(3) == 0) & (limb(4) == 0), total)
+
+    def told(sig: Column) -> Column:
+        full = F.lpad(sig, 45, "0")
+        limb = lambda i: F.conv(F.substring(full, 45 - 15 * (i + 1) + 1, 15), 16, 10).cast("decimal(38,0)")
+        scaled = lambda i: F.try_multiply(limb(i), d(str(16 ** (15 * i)))).cast("decimal(38,0)")
+        wide = F.try_add(F.try_add(limb(0), scaled(1)).cast("decimal(38,0)"), scaled(2)).cast("decimal(38,0)")
+        return F.when(F.length(sig) <= 15, F.conv(sig, 16, 10).cast("decimal(38,0)")).when(F.length(sig) <= 45, wide)
+
+    found = F.regexp_extract(text, "^(?:0[xX])?(?=[0-9a-fA-F])0*([0-9a-fA-F]*)$", 1)
+    bound = F.get(F.transform(F.array(F.when(text.rlike(HEX), F.when(found == "", "0").otherwise(found))), told), F.lit(0))
+    return bound
 
 
 @F.pandas_udf(T.StringType())
@@ -48,26 +56,35 @@ def hex_to_digits(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
+def _base58_digits(raw: np.ndarray) -> np.ndarray:
+    """Base-58 digits, most significant first, of rows of big-endian bytes: schoolbook division over the whole batch."""
+    width = -(-raw.shape[1] * 138 // 100) + 1
+    digits = np.zeros((len(raw), width), dtype=np.uint32)
+    for byte in raw.T:
+        carry = byte.astype(np.uint32)
+        for k in range(width - 1, -1, -1):
+            carry += digits[:, k] << np.uint32(8)
+            digits[:, k] = carry % 58
+            carry //= 58
+    return digits
+
+
 @F.pandas_udf(T.StringType())
 def base58check(text: pd.Series) -> pd.Series:
     """Base58Check of 21-byte hex that opens with 41; any other text is returned as it is."""
-
-    def one(t):
-        bare = (t or "").removeprefix("0x")
-        if len(bare) != 42 or not bare.startswith("41"):
-            return t
-        try:
-            raw = bytes.fromhex(bare)
-        except ValueError:
-            return t
-        raw += hashlib.sha256(hashlib.sha256(raw).digest()).digest()[:4]
-        n, out = int.from_bytes(raw, "big"), ""
-        while n:
-            n, r = divmod(n, 58)
-            out = BASE58[r] + out
-        return "1" * (len(raw) - len(raw.lstrip(b"\0"))) + out
-
-    return text.map(one, na_action="ignore")
+    bare = text.str.replace("^0x", "", regex=True)
+    fits = bare.str.fullmatch("41[0-9a-fA-F]{40}").fillna(False).astype(bool)
+    if not fits.any():
+        return text
+    plain = [bytes.fromhex(t) for t in bare[fits]]
+    ends = [hashlib.sha256(hashlib.sha256(b).digest()).digest()[:4] for b in plain]
+    digits = _base58_digits(np.frombuffer(b"".join(a + b for a, b in zip(plain, ends)), dtype=np.uint8).reshape(len(plain), 25))
+    letters = np.array(list(BASE58))[digits]
+    # the first byte is 0x41, so no leading zero byte has to be kept as a 1
+    first = (digits != 0).argmax(axis=1)
+    out = text.copy()
+    out[fits] = ["".join(row[k:]) for row, k in zip(letters, first)]
+    return out
 
 
 def with_base58(df: DataFrame, column: str, to: str) -> DataFrame:

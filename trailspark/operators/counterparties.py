@@ -92,7 +92,8 @@ def trace(
     ranks and caps counterparties, gives a new address its first parent by claim order (value
     descending, then address) and closes addresses of ``closed`` (chain, address, reason). An
     address reached before, or the root, gains an edge only. ``max_nodes`` and ``max_opened``
-    cut a level in claim order, per case. Each level is written to the shared folder; the
+    cut a level in claim order, per case; what they cut is a node in state ``frontier``, which
+    makes the coverage of its case incomplete. Each level is written to the shared folder; the
     driver reads one count a level. ``start`` has the nodes of an earlier run: those it left at
     its depth or frontier go on, the others keep their state (see :func:`resume`).
 
@@ -105,6 +106,7 @@ def trace(
     root = cases.select(*key, F.col("root").alias("address"), F.lit(0).alias("hop"), null.cast("decimal(38,0)").alias("value"), null.cast("string").alias("parent"), null.cast("string").alias("tx_hash"))
     edges: DataFrame | None = None
     states: list[DataFrame] = []
+    cut: DataFrame | None = None
     if start is None:
         nodes = level = materialize(root.distinct(), "trace")
         pending = None
@@ -115,6 +117,9 @@ def trace(
         states.append(start.where(~opens).select(*key, "address", "state", "reason", "dropped"))
         level = pending.where("hop = 0")
     opened = cases.select("case_id").distinct().withColumn("opened", F.lit(0).cast("long"))
+    if start is not None:  # what an earlier run expanded is spent
+        spent = start.where("state = 'expanded'").groupBy("case_id").agg(F.count("*").alias("opened"))
+        opened = materialize(opened.select("case_id").join(spent, "case_id", "left").na.fill(0, ["opened"]), "trace-opened")
     feeds = {d: exposures(movements, d) for d in ("backward", "forward")}
     for hop in range(max_depth + 1):
         if pending is not None and hop:
@@ -157,7 +162,11 @@ def trace(
         if max_nodes is not None:
             have = nodes.groupBy("case_id").agg(F.count("*").alias("_have"))
             w = Window.partitionBy("case_id").orderBy(F.desc_nulls_last("value"), "address", "direction")
-            fresh = fresh.join(have, "case_id").withColumn("_n", F.row_number().over(w) + F.col("_have")).where(F.col("_n") <= max_nodes).drop("_n", "_have")
+            fresh = materialize(fresh.join(have, "case_id").withColumn("_cut", F.row_number().over(w) + F.col("_have") > max_nodes).drop("_have"), "trace-fresh")
+            lost = fresh.where("_cut").drop("_cut")
+            cut = lost if cut is None else cut.unionByName(lost)
+            states.append(lost.select(*key, "address").withColumn("state", F.lit("frontier")))
+            fresh = fresh.where("not _cut").drop("_cut")
         level = materialize(fresh, "trace")
         nodes = nodes.unionByName(level)
         if pending is None and level.isEmpty():
@@ -168,6 +177,10 @@ def trace(
         state = wide if state is None else state.unionByName(wide)
     last = state.groupBy(*key, "address").agg(F.min(F.when(F.col("state") != "capped", F.col("state"))).alias("state"), F.max("reason").alias("reason"), F.max("dropped").alias("dropped"))
     empty = cases.sparkSession.createDataFrame([], "case_id string, chain string, direction string, src string, dst string, hop int, value decimal(38,0), tx_hash string")
+    if cut is not None:  # a node cut at several levels counts once, as first found
+        w = Window.partitionBy(*key, "address").orderBy("hop", F.desc_nulls_last("value"), "parent")
+        first = cut.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+        nodes = nodes.unionByName(first.join(nodes.select(*key, "address"), [*key, "address"], "left_anti"))
     return nodes.join(last, [*key, "address"], "left"), empty if edges is None else edges
 
 

@@ -6,6 +6,8 @@ Detectors read evidence-grade movements, at most 500 of the newest a side and ad
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,11 +87,16 @@ def peel_chain(window: DataFrame, seconds: int = 6 * 3600) -> DataFrame:
     return first.withColumn("ratio", F.bround(ratio("most"), 3)).withColumn("confidence", F.bround(F.least(0.55 + 0.25 * F.least(ratio("most"), F.lit(1.0)), F.lit(0.9)), 3)).drop("r", "in_us")
 
 
-_PAIRS = "chain string, address string, asset string, in_tx string, out_tx string, in_amount double, out_amount double, ratio double, delay_us long"
+_PAIRS = "chain string, address string, asset string, in_tx string, out_tx string, in_amount decimal(38,0), out_amount decimal(38,0), ratio double, delay_us long"
 
 
 def match_group(g: pd.DataFrame, low: float, high: float, width: int, same_tx: bool) -> list[tuple[int, int]]:
-    """Greedy pairs (receipt, send) of one address and asset, in time order; a send is used once."""
+    """Greedy pairs (receipt, send) of one address and asset, in time order; a send is used once.
+
+    Amounts are whole numbers and compared as such: a send one unit over a receipt is no part of
+    it. The lower bound is a share in millionths.
+    """
+    parts = round(low * 1_000_000)
     ins = g[g["side"] == "in"].sort_values(["us", "tx_hash", "idx"], kind="stable")
     outs = g[g["side"] == "out"].sort_values(["us", "tx_hash", "idx"], kind="stable")
     oi, ou, oa, ot = outs.index.tolist(), outs["us"].tolist(), outs["value"].tolist(), outs["tx_hash"].tolist()
@@ -100,7 +107,7 @@ def match_group(g: pd.DataFrame, low: float, high: float, width: int, same_tx: b
         for k in range(first, len(oi)):
             if ou[k] - us > width:
                 break
-            if used[k] or (not same_tx and ot[k] == tx) or not low * value <= oa[k] <= high * value:
+            if used[k] or (not same_tx and ot[k] == tx) or oa[k] * 1_000_000 < parts * value or (high <= 1 and oa[k] > value):
                 continue
             used[k] = True
             pairs.append((i, oi[k]))
@@ -110,20 +117,22 @@ def match_group(g: pd.DataFrame, low: float, high: float, width: int, same_tx: b
 
 def _matched(window: DataFrame, seconds: int, low: float, high: float, same_tx: bool) -> DataFrame:
     """Greedy pairs over all addresses: groups that have a pair in range at all go to the matcher."""
-    value = F.col("amount").cast("double")
     near = onward(window, seconds)
+    # a sieve in doubles, with a margin; the matcher decides on whole numbers
     ratio = F.col("out_amount").cast("double") / F.col("in_amount").cast("double")
-    near = near.where(ratio.between(low, high) & (F.lit(same_tx) | (F.col("in_tx_hash") != F.col("out_tx_hash")))) if high < float("inf") else near
+    near = near.where(ratio.between(low - 1e-6, high + 1e-6) & (F.lit(same_tx) | (F.col("in_tx_hash") != F.col("out_tx_hash")))) if high < float("inf") else near
     groups = near.select("chain", "address", "asset").distinct()
-    rows = window.where("amount > 0").select("chain", "address", "asset", "side", "tx_hash", "idx", value.alias("value"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = window.where("amount > 0").select("chain", "address", "asset", "side", "tx_hash", "idx", F.col("amount").cast("decimal(38,0)").cast("string").alias("value"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     rows = rows.join(groups, ["chain", "address", "asset"], "left_semi")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for i, k in match_group(g, low, high, seconds * 1_000_000, same_tx):
-            a, b = g.loc[i], g.loc[k]
-            out.append((a["chain"], a["address"], a["asset"], a["tx_hash"], b["tx_hash"], a["value"], b["value"], b["value"] / a["value"], int(b["us"] - a["us"])))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _PAIRS.split(", ")])
+        g = g.reset_index(drop=True).assign(value=[int(v) for v in g["value"]])
+        found = match_group(g, low, high, seconds * 1_000_000, same_tx)
+        a, b = g.iloc[[i for i, _ in found]].reset_index(drop=True), g.iloc[[k for _, k in found]].reset_index(drop=True)
+        return pd.DataFrame({
+            "chain": a["chain"], "address": a["address"], "asset": a["asset"], "in_tx": a["tx_hash"], "out_tx": b["tx_hash"], "in_amount": a["value"].map(Decimal), "out_amount": b["value"].map(Decimal),
+            "ratio": [y / x for x, y in zip(a["value"], b["value"])], "delay_us": (b["us"] - a["us"]).astype("int64"),
+        })
 
     return rows.groupBy("chain", "address", "asset").applyInPandas(run, _PAIRS)
 

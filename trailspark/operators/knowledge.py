@@ -77,20 +77,17 @@ def case_probe(sides: DataFrame, labels: DataFrame, top: int | None = 10) -> Dat
 def valued(movements: DataFrame, prices: DataFrame) -> DataFrame:
     """Movements with the latest price of their asset at or before their day; without one, value 0.
 
-    An as-of join as one pass: prices and movements meet in one sorted window by asset and month;
-    the last price of the months before is carried in by a small table with a row an asset and
-    month. So no window holds more than one asset's month.
+    Prices of an asset and day are few; each holds from its day to the day before the next, or,
+    for the last, to the asset's last movement. Movements meet the filled days by an equi-join on
+    asset and day, so no task sorts an asset's movements, and a day's hot asset is split as
+    adaptive execution sees fit.
     """
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    p = prices.select("asset", F.col("day").cast("timestamp_ntz").alias("at"), "price").withColumn("m", month("at"))
-    last = p.groupBy("asset", "m").agg(F.max_by("price", "at").alias("last"))
-    w = Window.partitionBy("asset").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    months = movements.select("asset", month("ts").alias("m")).distinct().join(last, ["asset", "m"], "full")
-    carried = months.withColumn("before", F.last("last", ignorenulls=True).over(w)).select("asset", "m", "before")
-    rows = movements.withColumn("m", month("ts")).withColumn("at", F.col("ts")).withColumn("_p", F.lit(1))
-    both = rows.unionByName(p.withColumn("_p", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy("asset", "m").orderBy("at", "_p").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("_last", F.last("price", ignorenulls=True).over(w)).where("_p = 1").drop("price")
-    out = seen.join(carried, ["asset", "m"], "left")
-    price = F.coalesce("_last", "before", F.lit(0.0))
-    return out.withColumn("price", price).withColumn("usd", F.col("amount").cast("double") * price).drop("m", "at", "_p", "_last", "before")
+    day = F.to_date("ts")
+    p = prices.groupBy("asset", F.to_date("day").alias("d")).agg(F.max("price").alias("price"))
+    ends = movements.groupBy("asset").agg(F.max(day).alias("end"))
+    after = F.lead("d").over(Window.partitionBy("asset").orderBy("d"))
+    spans = p.withColumn("until", after).join(ends, "asset").withColumn("until", F.coalesce(F.date_sub("until", 1), "end")).where("d <= until")
+    filled = spans.select("asset", F.explode(F.sequence("d", F.least("until", F.greatest("end", "d")))).alias("_day"), "price")
+    out = movements.withColumn("_day", day).join(filled, ["asset", "_day"], "left").drop("_day")
+    price = F.coalesce("price", F.lit(0.0))
+    return out.withColumn("price", price).withColumn("usd", F.col("amount").cast("double") * F.col("price"))

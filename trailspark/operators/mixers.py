@@ -66,11 +66,14 @@ def exits(movements: DataFrame, events: DataFrame, anchor: DataFrame, direction:
     far = _far(events, direction)
     key = ["chain", "mixer", "party"]
     base = [*key, "asset", "tx_hash", "unanchored", "far", "far_tx", "far_ts", "far_amount"]
-    joined = anchor.join(far, POOL).where(_later(direction))
-    one = joined.where("far = party").select(*base, F.lit(1).alias("rung"))
+    # each rung finds which far addresses it allows, then meets the pool's events by address: no
+    # rung joins all anchors of a pool with all its events
+    meet = lambda allowed: anchor.join(allowed, key).join(far, [*POOL, "far"]).where(_later(direction))
+    one = meet(anchor.select(*key, F.col("party").alias("far")).distinct()).select(*base, F.lit(1).alias("rung"))
     ends = movements.where("from_addr is not null and to_addr is not null and from_addr <> to_addr")
     ties = ends.select("chain", F.least("from_addr", "to_addr").alias("lo"), F.greatest("from_addr", "to_addr").alias("hi")).distinct()
-    two = joined.where("far <> party").withColumn("lo", F.least("far", "party")).withColumn("hi", F.greatest("far", "party")).join(ties, ["chain", "lo", "hi"], "left_semi").select(*base, F.lit(2).alias("rung"))
+    tied = ties.select("chain", F.col("lo").alias("party"), F.col("hi").alias("far")).unionByName(ties.select("chain", F.col("hi").alias("party"), F.col("lo").alias("far")))
+    two = meet(anchor.select(*key).distinct().join(tied, ["chain", "party"])).select(*base, F.lit(2).alias("rung"))
     own_side, far_side = ("deposit", "withdrawal") if direction == "forward" else ("withdrawal", "deposit")
     priced = events.where("gas_price > 0").groupBy("chain", "mixer", "gas_price").agg(F.count_if(F.col("side") == far_side).alias("n_far"), F.count_if(F.col("side") == own_side).alias("n_own"))
     single = priced.where("n_far = 1 and n_own = 1").select("chain", "mixer", "gas_price")
@@ -79,7 +82,7 @@ def exits(movements: DataFrame, events: DataFrame, anchor: DataFrame, direction:
     prints = lambda side: events.where(F.col("side") == side).groupBy("chain", "mixer", "party", "asset").agg(F.count("*").alias("n")).groupBy("chain", "mixer", "party").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "asset", F.col("n").cast("string")))), ",").alias("print"), F.count("*").alias("pools")).where("pools >= 2")
     theirs = prints(far_side).withColumn("same", F.count("*").over(Window.partitionBy("chain", "mixer", "print"))).where("same = 1").select("chain", "mixer", "print", F.col("party").alias("far"))
     four = prints(own_side).select(*key, "print").join(theirs, ["chain", "mixer", "print"]).select(*key, "far")
-    four = joined.join(four, [*key, "far"], "left_semi").select(*base, F.lit(4).alias("rung"))
+    four = meet(four.distinct()).select(*base, F.lit(4).alias("rung"))
     early = one.unionByName(two).unionByName(three).unionByName(four)
     left = anchor.join(early.select(*key).distinct(), key, "left_anti")
     near = crowd(left, events, direction, days)

@@ -250,13 +250,13 @@ def c4d(spark, d):
     return nodes.select("case_id", "direction", "address", "hop", long("value"), "parent", "state")
 
 
-@query("c6_budgeted_trace", TRACE + """, q AS (SELECT n1.*, row_number() OVER (PARTITION BY case_id ORDER BY value DESC, address, direction) + 2 AS k FROM n1 QUALIFY k <= 20)
-SELECT case_id, direction, address, hop, value FROM q UNION ALL SELECT case_id, direction, address, hop, value FROM nodes WHERE hop = 0""")
+@query("c6_budgeted_trace", TRACE + """, q AS (SELECT n1.*, row_number() OVER (PARTITION BY case_id ORDER BY value DESC, address, direction) + 2 AS k FROM n1)
+SELECT case_id, direction, address, hop, value, k > 20 AS cut FROM q UNION ALL SELECT case_id, direction, address, hop, value, false FROM nodes WHERE hop = 0""")
 def c6(spark, d):
-    """One hop of all cases under a budget of 20 nodes each, cut in claim order."""
+    """One hop of all cases under a budget of 20 nodes each, cut in claim order; what is cut stays as frontier."""
     c = cp.expand_objectives(cases(spark, d)).select("case_id", "chain", "root", "direction")
     nodes, _ = cp.trace(c, materialize(movements(spark, d), "movements"), closed_by(labels(spark, d)), 1, 15, 6, max_nodes=20)
-    return nodes.select("case_id", "direction", "address", "hop", long("value"))
+    return nodes.select("case_id", "direction", "address", "hop", long("value"), (F.col("state") == "frontier").alias("cut"))
 
 
 @query("c7_resumed_trace", TRACE + " SELECT case_id, direction, address, hop, value, parent, state FROM st")

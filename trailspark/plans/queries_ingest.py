@@ -111,8 +111,8 @@ def a7(spark, d):
     return ledgers.stamped(ledgers.internal_transfers(feeds[2], "ethereum"), ledgers.transactions(*feeds)).select("tx_hash", long("amount"), long("gas_price"))
 
 
-@query("a6_receipt_logs", raw=f"""WITH {LINES} SELECT lower(concat('0xCD', l_orderkey)) AS tx_hash, concat('log:', l_linenumber) AS dedup_key, amt AS amount, concat('0x', lpad(lower(to_hex(l_suppkey)), 40, '0')) AS from_addr, concat('0x', lpad(lower(to_hex(l_partkey)), 40, '0')) AS to_addr
-FROM ln WHERE l_linestatus = 'O' AND l_linenumber <> 5 UNION ALL SELECT lower(concat('0xCD', l_orderkey)), 'native', amt, concat('0x', lpad(lower(to_hex(l_suppkey)), 40, '0')), concat('0x', lpad(lower(to_hex(l_partkey)), 40, '0')) FROM ln WHERE l_linestatus = 'O' AND l_linenumber = 1""")
+@query("a6_receipt_logs", raw=f"""WITH {LINES} SELECT lower(concat('0xCD', l_orderkey)) AS tx_hash, concat('log:', l_linenumber) AS dedup_key, CASE WHEN l_partkey % 11 > 0 THEN amt END AS amount, CASE WHEN l_partkey % 11 > 0 THEN CAST(amt AS VARCHAR) ELSE '115792089237316195423570985008687907853269984665640564039457584007913129639935' END AS amount_str, concat('0x', lpad(lower(to_hex(l_suppkey)), 40, '0')) AS from_addr, concat('0x', lpad(lower(to_hex(l_partkey)), 40, '0')) AS to_addr
+FROM ln WHERE l_linestatus = 'O' AND l_linenumber <> 5 UNION ALL SELECT lower(concat('0xCD', l_orderkey)), 'native', amt, CAST(amt AS VARCHAR), concat('0x', lpad(lower(to_hex(l_suppkey)), 40, '0')), concat('0x', lpad(lower(to_hex(l_partkey)), 40, '0')) FROM ln WHERE l_linestatus = 'O' AND l_linenumber = 1""")
 def a6(spark, d):
     """Transfers decoded from receipts: one log a line, hex amounts by limbs."""
     t = lines(spark, d)
@@ -120,11 +120,11 @@ def a6(spark, d):
     addr = lambda c: F.concat(F.lit("0x"), F.lpad(F.hex(c), 40, "0"))
     log = F.struct(
         addr(F.col("l_partkey") + 7).alias("address"), F.when(F.col("l_linenumber") == 5, F.array(F.lit(ledgers.TRANSFER), word(F.col("l_suppkey")))).otherwise(F.array(F.lit(ledgers.TRANSFER), word(F.col("l_suppkey")), word(F.col("l_partkey")))).alias("topics"),
-        word(F.col("amt")).alias("data"), F.concat(F.lit("0x"), F.hex("l_linenumber")).alias("logIndex"),
+        F.when(F.col("l_partkey") % 11 > 0, word(F.col("amt"))).otherwise(F.lit("0x" + "f" * 64)).alias("data"), F.concat(F.lit("0x"), F.hex("l_linenumber")).alias("logIndex"),
     )
     receipt = F.struct(F.when(F.col("l_linestatus") == "O", "0x1").otherwise("0x0").alias("status"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("string").alias("contractAddress"), F.array(log).alias("logs"))
     r = t.select(F.concat(F.lit("0xCD"), F.col("l_orderkey").cast("string")).alias("hash"), addr(F.col("l_suppkey")).alias("from"), addr(F.col("l_partkey")).alias("to"), F.when(F.col("l_linenumber") == 1, F.concat(F.lit("0x"), F.hex("amt"))).otherwise("0x0").alias("value"), F.lit("0x10").alias("blockNumber"), F.col("secs").alias("time"), receipt.alias("receipt"))
-    return ledgers.receipt_movements(r, "ethereum").select("tx_hash", "dedup_key", long("amount"), "from_addr", "to_addr")
+    return ledgers.receipt_movements(r, "ethereum").select("tx_hash", "dedup_key", long("amount"), "amount_str", "from_addr", "to_addr")
 
 
 @query("a8_balance_deltas", raw=f"""WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) - 1 AS pos FROM ln WHERE o_orderstatus <> 'F'),
@@ -165,12 +165,12 @@ def a10b(spark, d):
     return scalars.with_base58(k.select(F.concat(F.lit("41"), F.lpad(F.lower(F.hex("k")), 40, "0")).alias("hex")), "hex", "address")
 
 
-@query("a11_families", raw="""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ethereum,bsc,polygon,arbitrum,base,optimism' WHEN 1 THEN 'bitcoin' WHEN 2 THEN 'bitcoin' ELSE '' END AS families FROM customer""")
+@query("a11_families", raw="""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'ethereum,bsc,polygon,arbitrum,base,optimism' WHEN 1 THEN 'bitcoin' WHEN 2 THEN 'bitcoin' ELSE CASE WHEN c_custkey % 8 = 3 THEN 'solana' ELSE '' END END AS families FROM customer""")
 def a11(spark, d):
     """Ledgers that address shapes made of customer keys fit."""
     k = F.col("c_custkey")
     hexed = F.lower(F.hex(k))
-    shape = F.when(k % 4 == 0, F.concat(F.lit("0x"), F.lpad(hexed, 40, "a"))).when(k % 4 == 1, F.concat(F.lit("bc1q"), F.lpad(F.translate(hexed, "b1", "20"), 38, "p"))).when(k % 4 == 2, F.concat(F.lit("1"), F.lpad(F.translate(hexed, "0", "9"), 30, "Q"))).otherwise(F.concat(F.lit("?"), hexed))
+    shape = F.when(k % 4 == 0, F.concat(F.lit("0x"), F.lpad(hexed, 40, "a"))).when(k % 4 == 1, F.concat(F.lit("bc1q"), F.lpad(F.translate(hexed, "b1", "20"), 38, "p"))).when(k % 4 == 2, F.concat(F.lit("1"), F.lpad(F.translate(hexed, "0", "9"), 30, "Q"))).when(k % 8 == 3, F.lpad(F.translate(hexed, "0", "9"), 44, "Q")).otherwise(F.lpad(F.translate(hexed, "0", "9"), 40, "Q"))
     return table(spark, d, "customer").select("c_custkey", F.array_join(scalars.families(shape), ",").alias("families"))
 
 
@@ -244,11 +244,11 @@ def e2(spark, d):
     return documents.labelpacks(keyed, spec)[1].select("path", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("e3_reserves", raw="""SELECT c_nationkey AS nation, CASE c_custkey % 4 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'bitcoin' ELSE 'tron' END AS chain, concat('addr', c_custkey) AS address FROM customer WHERE c_custkey % 4 < 3 AND c_custkey % 9 > 0""")
+@query("e3_reserves", raw="""SELECT c_nationkey AS nation, ['ethereum', 'bitcoin', 'tron', 'ethereum', 'polygon', 'solana'][c_custkey % 7 + 1] AS chain, concat('addr', c_custkey) AS address FROM customer WHERE c_custkey % 7 < 6 AND c_custkey % 9 > 0""")
 def e3(spark, d):
     """Claims of reserve tables below a summary block, one document a nation."""
     c = table(spark, d, "customer")
-    net = F.get(F.array(*map(F.lit, ("ETH", "BTC", "TRC20", "DOGE"))), (F.col("c_custkey") % 4).cast("int"))
+    net = F.get(F.array(*map(F.lit, ("ETH", "BTC", "TRON", "ETHEREUM", "MATIC", "SOL", "TRC20"))), (F.col("c_custkey") % 7).cast("int"))
     line = F.concat_ws(",", net, F.when(F.col("c_custkey") % 9 > 0, F.concat(F.lit("addr"), F.col("c_custkey").cast("string"))).otherwise(""), F.lit("I own this"), F.lit("sig"))
     g = c.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(line)).alias("rows"))
     docs = g.select(F.concat(F.lit("por/"), F.col("c_nationkey").cast("string")).alias("path"), F.concat(F.lit("Coin,Balance\nBTC,1\n\nNetwork,Address,Message,Signature1\n"), F.array_join("rows", "\n")).alias("content"))
@@ -256,19 +256,38 @@ def e3(spark, d):
     return claims.select(F.element_at(F.split("path", "/"), -1).cast("int").alias("nation"), "chain", "address")
 
 
-@query("e4_sanctions", raw="""SELECT DISTINCT concat('0x', lpad(lower(to_hex(s_suppkey)), 40, '0')) AS address, 'ethereum' AS chain, concat('Sup ', s_name, ' (PROG', s_suppkey % 3, ')', CASE WHEN s_suppkey % 5 = 0 THEN ' [listed as XBT]' ELSE '' END) AS entity FROM supplier""")
+@query("e4_sanctions", raw="""SELECT DISTINCT concat('0x', lpad(lower(to_hex(s_suppkey)), 40, '0')) AS address, 'ethereum' AS chain, concat('Sup ', s_name, ' (PROG', s_suppkey % 3, ')', CASE WHEN s_suppkey % 5 = 0 THEN ' [listed as XBT]' ELSE '' END) AS entity FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 > 0""")
 def e4(spark, d):
-    """Claims of sanctions XML, one document a nation; some currency codes contradict the address."""
-    s = table(spark, d, "supplier")
+    """Claims of sanctions XML; some currency codes contradict the address, others name no known ledger."""
+    return documents.sanctions(sdn_documents(spark, d))[0].select("address", "chain", "entity")
+
+
+@query("e4_skipped_codes", raw="""SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'ETC' ELSE 'BSC' END AS ticker, count(*) AS n FROM supplier WHERE s_suppkey % 5 > 0 AND s_suppkey % 7 = 0 GROUP BY 1""")
+def e4s(spark, d):
+    """Addresses of that XML whose code names no known ledger, by code."""
+    return documents.skipped_codes(sdn_documents(spark, d)).groupBy("ticker").agg(F.sum("n").alias("n"))
+
+
+#: Rows that a made document holds on average.
+DOCUMENT_ROWS = 500
+
+
+def _numbered(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``doc``: a document number by key, so that no document grows with the table."""
+    return rows.withColumn("doc", F.floor(F.col(key) / DOCUMENT_ROWS))
+
+
+def sdn_documents(spark, d) -> DataFrame:
+    """Sanctions XML of the suppliers, a bounded number in each document of a nation."""
+    s = _numbered(table(spark, d, "supplier"), "s_suppkey")
     k = F.col("s_suppkey")
-    code = F.when(k % 5 == 0, "XBT").otherwise("ETH")
+    code = F.when(k % 5 == 0, "XBT").when(k % 7 > 0, "ETH").when(k % 2 == 0, "ETC").otherwise("BSC")
     entry = F.concat(
         F.lit("<sdnEntry><uid>"), k.cast("string"), F.lit("</uid><firstName>Sup</firstName><lastName>"), "s_name", F.lit("</lastName><sdnType>Entity</sdnType><programList><program>PROG"), (k % 3).cast("string"),
         F.lit("</program></programList><idList><id><idType>Digital Currency Address - "), code, F.lit("</idType><idNumber>0x"), F.lpad(F.hex(k), 40, "0"), F.lit("</idNumber></id></idList></sdnEntry>"),
     )
-    g = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    docs = g.select(F.concat(F.lit("sdn/"), F.col("s_nationkey").cast("string")).alias("path"), F.concat(F.lit("<sdnList><publshInformation><Publish_Date>08/18/2024</Publish_Date></publshInformation>"), F.array_join("e", ""), F.lit("</sdnList>")).alias("content"))
-    return documents.sanctions(docs)[0].select("address", "chain", "entity")
+    g = s.groupBy("s_nationkey", "doc").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return g.select(F.concat_ws("-", F.lit("sdn/"), F.col("s_nationkey").cast("string"), F.col("doc").cast("string")).alias("path"), F.concat(F.lit("<sdnList><publshInformation><Publish_Date>08/18/2024</Publish_Date></publshInformation>"), F.array_join("e", ""), F.lit("</sdnList>")).alias("content"))
 
 
 @query("e5_page_scripts", raw=r"""SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '(?s)<script[^>]*>(.*?)</script>')) AS n_scripts, coalesce(list_sum(list_transform(regexp_extract_all(coalesce(html, ''), '(?s)<script[^>]*>(.*?)</script>'), lambda x: length(x))), 0) AS chars FROM pages""")
@@ -313,6 +332,16 @@ def e6(spark, d):
     return documents.tag_claims(tags, seg)
 
 
+@query("e6_tag_slugs", raw="""SELECT concat('a', c_custkey) AS address, concat(c_mktsegment, CASE c_custkey % 5 WHEN 1 THEN ' settlement' ELSE ' desk' END) AS entity FROM customer WHERE c_custkey % 5 = 1 OR (c_custkey % 5 <> 2 AND c_custkey % 3 = 0)""")
+def e6s(spark, d):
+    """Contracts without custody by word or slug; tags of victims are left out."""
+    c = table(spark, d, "customer")
+    word = F.get(F.array(*map(F.lit, (" desk", " settlement", " victim", " desk", " desk"))), (F.col("c_custkey") % 5).cast("int"))
+    tags = c.select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("address"), F.col("c_custkey").alias("n"), F.concat("c_mktsegment", word).alias("tag"), F.when(F.col("c_custkey") % 3 == 0, "dex").alias("slug"))
+    none = c.select(F.col("c_mktsegment").alias("prefix"), F.lit("x").alias("entity")).where("prefix = 'no such'")
+    return documents.tag_claims(tags, none).select("address", "entity")
+
+
 @query("e8_address_lists", raw="""SELECT concat('0x', lpad(lower(to_hex(c_custkey)), 40, '0')) AS address, count(*) AS n FROM customer WHERE c_custkey % 3 > 0 GROUP BY 1""")
 def e8(spark, d):
     """Addresses of lists with comments, one list a nation; those whose shape fits."""
@@ -324,9 +353,21 @@ def e8(spark, d):
 @query("e9_newest_drops", raw="""SELECT concat('src', o_custkey % 50) AS source, strftime(max(o_orderdate), '%Y-%m-%d') AS dropped_on FROM orders GROUP BY 1""")
 def e9(spark, d):
     """The newest document of each of fifty sources, by file name."""
+    return documents.newest_drops(_drops(spark, d)).select("source", F.col("dropped_on").cast("string").alias("dropped_on"))
+
+
+@query("e10_routed_drops", raw="""WITH x AS (SELECT concat('src', o_custkey % 50) AS source, strftime(o_orderdate, '%Y-%m-%d') AS dropped_on, ['json', 'csv', 'pdf'][o_orderkey % 3 + 1] AS media FROM orders)
+SELECT source, dropped_on, media, CASE media WHEN 'json' THEN 'pack' WHEN 'csv' THEN 'reserves' END AS parser FROM x QUALIFY row_number() OVER (PARTITION BY source ORDER BY dropped_on DESC, media DESC) = 1""")
+def e10(spark, d):
+    """Those documents with the parser that their media call for; null is refused."""
+    r = documents.routed(documents.newest_drops(_drops(spark, d)))
+    return r.select("source", F.col("dropped_on").cast("string").alias("dropped_on"), "media", "parser")
+
+
+def _drops(spark, d) -> DataFrame:
     o = table(spark, d, "orders")
-    docs = o.select(F.concat(F.lit("/drops/src"), (F.col("o_custkey") % 50).cast("string"), F.lit("__"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("."), F.when(F.col("o_orderkey") % 2 == 0, "json").otherwise("csv")).alias("path"))
-    return documents.routed(documents.newest_drops(docs)).select("source", F.col("dropped_on").cast("string").alias("dropped_on"))
+    media = F.get(F.array(*map(F.lit, ("json", "csv", "pdf"))), (F.col("o_orderkey") % 3).cast("int"))
+    return o.select(F.concat(F.lit("/drops/src"), (F.col("o_custkey") % 50).cast("string"), F.lit("__"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("."), media).alias("path"))
 
 
 @query("e11_metadata_rules", raw="""SELECT lower(n_name) AS stem, concat_ws(',', CASE WHEN (n_nationkey % 4 = 0 OR n_nationkey % 3 = 0) AND n_nationkey % 2 = 1 THEN 'note' END) AS reasons FROM nation""")

@@ -342,10 +342,10 @@ def f11(spark, d):
     return lifecycle.sync_status(runs, labels(spark, d), "2024-03-01 00:00:00")
 
 
-@query("e12_collisions", "SELECT chain, lower(address) AS address, source, count(*) AS n FROM lab GROUP BY ALL HAVING count(*) > 1")
+@query("e12_collisions", "SELECT chain, lower(address) AS address, 'all' AS source, count(*) AS n FROM lab GROUP BY ALL HAVING count(*) > 1")
 def e12(spark, d):
-    """Keys that several claims share."""
-    return lifecycle.collisions(labels(spark, d))
+    """Keys that several claims share, were all sources one."""
+    return lifecycle.collisions(labels(spark, d).withColumn("source", F.lit("all")))
 
 
 # ---------------------------------------------------------------- answers

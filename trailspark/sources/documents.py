@@ -74,7 +74,11 @@ def inert(claims: DataFrame) -> DataFrame:
     return claims.where(~F.col("category").isin(*ACTIONABLE)).groupBy("category").agg(F.count("*").alias("n"))
 
 
-NETWORKS = {"ETH": "ethereum", "ERC20": "ethereum", "BTC": "bitcoin", "TRX": "tron", "TRC20": "tron", "SOL": "solana", "BSC": "bsc", "BEP20": "bsc"}
+# Fixed value: ledgers of the network column of reserve tables.
+NETWORKS = {
+    "ETH": "ethereum", "ETHEREUM": "ethereum", "POLYGON": "polygon", "MATIC": "polygon", "TRON": "tron", "TRX": "tron",
+    "BTC": "bitcoin", "BITCOIN": "bitcoin", "SOL": "solana", "SOLANA": "solana",
+}
 
 
 def reserves(documents: DataFrame, entity: str, source: str, source_date: str) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +105,7 @@ def reserves(documents: DataFrame, entity: str, source: str, source_date: str) -
 
 
 # Fixed value: ledgers of the currency codes of sanctions lists.
-TICKERS = {"XBT": "bitcoin", "ETH": "ethereum", "TRX": "tron", "SOL": "solana", "ARB": "arbitrum", "BSC": "bsc"}
+TICKERS = {"XBT": "bitcoin", "BTC": "bitcoin", "ETH": "ethereum", "TRX": "tron", "SOL": "solana"}
 TOKEN_TICKERS = ("USDT", "USDC")
 _ENTRY = (
     "struct<uid:string,firstName:string,lastName:string,sdnType:string,programList:struct<program:array<string>>,"
@@ -116,7 +120,8 @@ def sanctions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     that does not close its root, or has no publish date, is refused whole: a cut between
     entries would otherwise pass silently. The ledger follows the currency code, for token
     codes the address's shape; a shape that contradicts the code wins and is told in the entity
-    (Solana and Bitcoin shapes overlap, there the code wins). The first claim of an address wins.
+    (Solana and Bitcoin shapes overlap, there the code wins). Codes of ledgers that are not known
+    give no claim; :func:`skipped_codes` counts them. The first claim of an address wins.
     """
     closed = F.col("content").rlike(r"</(\w+:)?sdnList>\s*$")
     day = F.to_date(F.regexp_extract("content", r"<(?:\w+:)?Publish_Date>\s*(\d{2}/\d{2}/\d{4})\s*<", 1).alias("d"), "MM/dd/yyyy")
@@ -129,7 +134,7 @@ def sanctions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     programs = F.array_join(F.col("e.programList.program"), ", ")
     name = F.when(F.length(programs) > 0, F.concat(person, F.lit(" ("), programs, F.lit(")"))).otherwise(person)
     ids = e.where(F.length(person) > 0).select("path", "published", "n", name.alias("entity"), F.posexplode("e.idList.id").alias("k", "i"))
-    code = F.regexp_extract("i.idType", r"^Digital Currency Address - (\w+)$", 1)
+    code = F.upper(F.regexp_extract("i.idType", CODE, 1))
     rows = ids.withColumn("ticker", code).where("ticker <> ''").withColumn("address", F.trim("i.idNumber")).where("address <> ''")
     table = F.create_map(*[F.lit(x) for kv in TICKERS.items() for x in kv])
     shape = families(F.col("address"))
@@ -137,7 +142,7 @@ def sanctions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("told", told).withColumn("seen", seen).withColumn("fits", F.array_contains(shape, told))
     overlap = F.col("told").isin("solana", "bitcoin") & F.col("seen").isin("solana", "bitcoin")
     over = F.col("told").isNotNull() & F.col("seen").isNotNull() & ~F.col("fits") & ~overlap
-    chain = F.when(F.col("ticker").isin(*TOKEN_TICKERS), F.col("seen")).when(over, F.col("seen")).otherwise(F.coalesce("told", "seen"))
+    chain = F.when(F.col("ticker").isin(*TOKEN_TICKERS), F.col("seen")).when(over, F.col("seen")).otherwise(F.col("told"))
     rows = rows.withColumn("chain", chain).withColumn("entity", F.when(over, F.concat("entity", F.lit(" [listed as "), "ticker", F.lit("]"))).otherwise(F.col("entity"))).where("chain is not null")
     canon = F.when(F.col("address").rlike("^0[xX]"), F.lower("address")).otherwise(F.col("address"))
     w = Window.partitionBy("path", "chain", "address").orderBy("n", "k")
@@ -146,6 +151,17 @@ def sanctions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return claims, d.where("size(reasons) > 0").select("path", "reasons")
 
 
+# Fixed value: how a sanctions list writes the code of an address.
+CODE = r"(?i)^Digital Currency Address\s*-\s*([A-Za-z0-9]+)$"
+
+
+def skipped_codes(documents: DataFrame) -> DataFrame:
+    """(path, ticker, n): addresses of sanctions XML whose code names no known ledger."""
+    types = F.regexp_extract_all("content", F.lit(r"(?s)<idType>\s*(.*?)\s*</idType>"), F.lit(1))
+    rows = documents.select("path", F.explode(types).alias("t")).withColumn("ticker", F.upper(F.regexp_extract("t", CODE, 1)))
+    return rows.where((F.col("ticker") != "") & ~F.col("ticker").isin(*TICKERS, *TOKEN_TICKERS)).groupBy("path", "ticker").agg(F.count("*").alias("n"))
+
+
 def address_files(documents: DataFrame) -> DataFrame:
     """Claims of vendored lists, JSON arrays named ``<anything>_<CODE>.json``; an address of several files counts once.
 
@@ -188,26 +204,36 @@ def scripts(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataF
     return pages.select(key, F.size(got).alias("n_scripts"), F.size(ids).alias("n_with_id"), F.aggregate(got, F.lit(0), lambda a, x: a + F.length(x)).alias("chars"))
 
 
-HARM = r"(?i)exploit|hack|phish|scam|heist|drainer"
-PLUMBING = r"(?i)router|factory|multisig|contract|token|pool|bridge|deployer"
+# Words of tags that name a harm, words and slugs of contracts without custody, the mark of deposits.
+HARM = r"(?i)\b(exploiter|hacker|hack|drainer|scam|phish|fake|victim|attacker)\b"
+PLUMBING = r"(?i)\b(router|settlement|aggregator|proxy|relayer|vault|pool)\b"
+PLUMBING_SLUGS = (
+    "dex", "mev-protection", "cow-protocol", "sushiswap", "uniswap", "curve", "balancer", "1inch", "0x-protocol", "paraswap", "aave", "compound",
+    "lido", "maker", "bridge", "defi", "yearn", "convex", "pancakeswap", "dydx", "synthetix", "oracle", "nft-marketplace",
+)
+DEPOSIT = r"(?i)\bdep\b\s*:"
 
 
 def tag_claims(tags: DataFrame, exchanges: DataFrame) -> DataFrame:
-    """Claims of a public tag list (address, tag, n): exchange prefixes to entities, plumbing by name.
+    """Claims of a public tag list (address, tag, n, optional slug): exchange prefixes to entities, plumbing by name or slug.
 
     Tags of harm are left out; the first tag of an address wins; an address that is both keeps
     ``vasp`` only when its exchange tag is a pool, else it is infrastructure. ``exchanges``
-    (prefix, entity) is a small list.
+    (prefix, entity): tags meet them by equal text of each length that a prefix has.
     """
     clean = tags.where(~F.col("tag").rlike(HARM))
-    hit = clean.join(exchanges, F.lower("tag").startswith(F.lower("prefix")))
+    lengths = [r[0] for r in exchanges.select(F.length("prefix").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
+    low = F.lower(F.trim("tag"))
+    starts = F.array(*[F.when(F.length(low) >= n, F.substring(low, 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    hit = clean.withColumn("_start", F.explode(F.array_compact(starts))).join(exchanges.withColumn("_start", F.lower("prefix")), "_start").drop("_start")
     longest = Window.partitionBy("address").orderBy("n", F.desc(F.length("prefix")), "tag")
     named = hit.withColumn("_r", F.row_number().over(longest)).where("_r = 1").select("address", "entity", F.col("tag").alias("named_tag"))
-    first = clean.where(F.col("tag").rlike(PLUMBING)).groupBy("address").agg(F.min_by("tag", "n").alias("plumb_tag"))
+    slug = F.coalesce(F.col("slug").isin(*PLUMBING_SLUGS), F.lit(False)) if "slug" in tags.columns else F.lit(False)
+    first = clean.where(F.col("tag").rlike(PLUMBING) | slug).groupBy("address").agg(F.min_by("tag", "n").alias("plumb_tag"))
     out = named.join(first, "address", "full")
     contested = F.col("named_tag").isNotNull() & F.col("plumb_tag").isNotNull()
     vasp = F.col("named_tag").isNotNull() & (~contested | F.lower("named_tag").contains("pool"))
-    return out.select("address", F.when(vasp, F.col("entity")).otherwise(F.coalesce("plumb_tag", "named_tag")).alias("entity"), F.when(vasp, "vasp").otherwise("infrastructure").alias("category"), F.when(F.lower("named_tag").contains("dep :"), "deposit").otherwise("unknown").alias("role"))
+    return out.select("address", F.when(vasp, F.col("entity")).otherwise(F.coalesce("plumb_tag", "named_tag")).alias("entity"), F.when(vasp, "vasp").otherwise("infrastructure").alias("category"), F.when(F.col("named_tag").rlike(DEPOSIT), "deposit").otherwise("unknown").alias("role"))
 
 
 def listed(documents: DataFrame, chain: str) -> DataFrame:

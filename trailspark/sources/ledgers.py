@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hex_to_decimal
+from ..functions.scalars import hex_to_decimal, hex_to_digits
 
 # Fixed value: topic of the ERC-20 Transfer event.
 TRANSFER = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
@@ -99,24 +99,35 @@ def stamped(movements: DataFrame, txs: DataFrame) -> DataFrame:
     return movements.join(txs.select("tx_hash", "gas_price"), "tx_hash", "left")
 
 
+def _with_digits(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with ``_digits``: the exact decimal digits of hex of any width.
+
+    Built-ins decode what fits 38 digits; only the few rows past that go through Python.
+    """
+    small = rows.withColumn("_digits", hex_to_decimal(text).cast("string"))
+    wide = small.where(F.col("_digits").isNull() & text.isNotNull()).withColumn("_digits", hex_to_digits(text))
+    return small.where("_digits is not null").unionByName(wide.where("_digits is not null"))
+
+
 def receipt_movements(receipts: DataFrame, chain: str) -> DataFrame:
     """Native and Transfer-log movements of receipts that succeeded.
 
     A log counts with exactly three topics, the Transfer topic and 64 hex digits of data; its
-    ends are the last 40 digits of topics 1 and 2.
+    ends are the last 40 digits of topics 1 and 2. Values past 38 digits keep their digits in
+    ``amount_str``; ``amount`` is null there.
     """
     status = hex_to_decimal(F.col("receipt.status"))
     good = receipts.where((status == 1) | (F.col("receipt.status").isNull() & F.col("receipt.root").isNotNull()))
     time, block = F.timestamp_seconds("time"), hex_to_decimal(F.col("blockNumber")).cast("long")
-    value = hex_to_decimal(F.col("value"))
     to = F.lower(F.coalesce(_filled("to"), F.col("receipt.contractAddress")))
-    native = _row(good.where((value > 0) & to.isNotNull()), chain, tx_hash=F.lower("hash"), dedup_key=F.lit("native"), kind=F.lit("native"), amount_str=value.cast("string"), from_addr=F.lower("from"), to_addr=to, ts=time, block_number=block)
+    paid = _with_digits(good.where(to.isNotNull()), F.col("value"))
+    native = _row(paid.where("_digits <> '0'"), chain, tx_hash=F.lower("hash"), dedup_key=F.lit("native"), kind=F.lit("native"), amount_str=F.col("_digits"), from_addr=F.lower("from"), to_addr=to, ts=time, block_number=block)
     logs = good.select("hash", "time", "blockNumber", F.explode("receipt.logs").alias("l"))
     logs = logs.where((F.size("l.topics") == 3) & (F.lower(F.col("l.topics")[0]) == TRANSFER) & F.col("l.data").rlike("^0x[0-9a-fA-F]{64}$"))
     end = lambda i: F.concat(F.lit("0x"), F.lower(F.right(F.col("l.topics")[i], F.lit(40))))
     idx = hex_to_decimal(F.col("l.logIndex")).cast("int")
-    amount = hex_to_decimal(F.col("l.data"))
-    token = _row(logs, chain, tx_hash=F.lower("hash"), dedup_key=F.concat(F.lit("log:"), idx.cast("string")), idx=idx, kind=F.lit("token"), asset_kind=F.lit("token"), contract=F.lower("l.address"), amount_str=amount.cast("string"), from_addr=end(1), to_addr=end(2), ts=time, block_number=block)
+    logs = _with_digits(logs, F.col("l.data"))
+    token = _row(logs, chain, tx_hash=F.lower("hash"), dedup_key=F.concat(F.lit("log:"), idx.cast("string")), idx=idx, kind=F.lit("token"), asset_kind=F.lit("token"), contract=F.lower("l.address"), amount_str=F.col("_digits"), from_addr=end(1), to_addr=end(2), ts=time, block_number=block)
     return native.unionByName(token)
 
 
