@@ -56,7 +56,7 @@ MOST_FREQUENT = 1_000_000
 #: Shingles and signatures by byte of text, roughly, and how many of either a reduce group holds on average.
 BY_BYTE, SHARD_ITEMS = 0.15, 1_000_000
 #: Bits that tell apart the shingles and the signatures of a shard.
-CODE_BITS, KEY_BITS = 24, 40
+CODE_BITS, KEY_BITS = 24, 32
 #: Documents and shingles or signatures of a block, which a task sends together.
 BLOCK_DOCS, BLOCK_ITEMS = 4096, 500_000
 #: Shingles of a row, and pairs of one document that a group verifies on average.
@@ -379,7 +379,7 @@ def _signed(df: DataFrame, frequent: np.ndarray, shift: int, bits: int, words: i
     """Rows of two sorts: blocks of documents (shard < 0: ids, set sizes, set hashes and row marks), and their
     signatures by shard, each with the document's place in its block.
 
-    A task signs equal sets once.
+    A task signs and sketches equal sets once, where their first row is, which names the class.
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -418,14 +418,15 @@ def _signed(df: DataFrame, frequent: np.ndarray, shift: int, bits: int, words: i
             for i, t, mark in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 s = shingles(t.as_py(), words)
                 h = set_hashes(s)
-                if len(s) and h not in seen:
+                fresh = len(s) > 0 and h not in seen
+                if fresh:
                     seen.add(h)
                     got = signatures(s, frequent, percent, shift)
                     sigs.append(got)
                     places.append(np.full(len(got), len(ids), dtype=np.uint16))
                     held += len(got)
                 ids.append(i)
-                info.append((len(s), (*h, mark), sketch(s)))
+                info.append((len(s), (*h, mark), sketch(s) if fresh else None))
                 if len(ids) == BLOCK_DOCS or held >= BLOCK_ITEMS:
                     yield from flush()
                     base, block, held = base + len(ids), block + 1, 0
@@ -600,7 +601,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     classes = materialize(nodes.where("n > 0").groupBy("h1", "h2").agg(F.min("uid").alias("node"), F.min("id").alias("id"), F.max("n").alias("n")), "classes")
     named = nodes.where("n > 0").select("uid", "h1", "h2").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("uid", "node")
     to_node = materialize(named, "nodes")
-    sketches = found.where("kind = 0 and n > 0").select(F.col("a").alias("node"), "n", "sketch")
+    sketches = found.where("kind = 0 and sketch is not null").select(F.col("a").alias("node"), "n", "sketch")
 
     raw = found.where("kind = 1").select(F.col("a").alias("p"), F.col("b").alias("q")).distinct()
     left, right = to_node.select(F.col("uid").alias("p"), F.col("node").alias("u")), to_node.select(F.col("uid").alias("q"), F.col("node").alias("v"))
@@ -612,17 +613,18 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     home = materialize(connected_components(links, "u", "v"), "components")
     members = found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("uid")).join(to_node, "uid").select("bucket", "node").distinct()
     members = materialize(members, "members")
-    tried = pairs
+    tried, cut = pairs, None
     for most in (NEAREST, None):
         now = members.join(home, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        if cut is not None:
+            now = now.join(cut, "component", "left_semi")
         apart = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
         cross = _across(now.join(apart, "bucket").join(sketches, "node"), percent, most)
         cross = materialize(cross.groupBy("u", "v").agg(F.min("rank").alias("rank"), F.max("more").alias("more")), "cross")
         # the nearest pair of two components goes first: where it links, the others need no look
         for which in ("rank = 0", "rank > 0"):
-            place = lambda c: home.select(F.col("node").alias(c), F.col("component").alias(f"home_{c}"))  # noqa: E731, B023
-            fresh = cross.where(which).join(tried, ["u", "v"], "left_anti").join(place("u"), "u", "left").join(place("v"), "v", "left")
-            fresh = materialize(fresh.where(F.coalesce("home_u", "u") != F.coalesce("home_v", "v")).select("u", "v"), "untried")
+            fresh = _still_apart(cross.where(which).join(tried, ["u", "v"], "left_anti"), home)
+            fresh = materialize(fresh.select("u", "v"), "untried")
             if fresh.isEmpty():
                 continue
             tried = tried.unionByName(fresh)
@@ -630,7 +632,10 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
             if not more.isEmpty():
                 links = links.unionByName(more)
                 home = materialize(connected_components(links, "u", "v"), "components")
-        if cross.where("more").isEmpty():  # no pair was left out
+        # pairs were left out between these components, and nothing has joined them since
+        left_out = _still_apart(cross.where("more"), home)
+        cut = materialize(left_out.select(F.explode(F.array("home_u", "home_v")).alias("component")).distinct(), "open")
+        if cut.isEmpty():
             break
 
     # smallest id of each component, over the smallest ids of its classes
@@ -640,6 +645,14 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     return nodes.join(final, ["h1", "h2"], "left").select("uid", "id", "n", "mark", "component_id", "component")
 
 
+def _still_apart(pairs: DataFrame, home: DataFrame) -> DataFrame:
+    """The pairs (u, v, ...) whose ends lie in different components, named home_u and home_v; a node without links is its own."""
+    for c in ("u", "v"):
+        place = home.select(F.col("node").alias(c), F.col("component").alias(f"home_{c}"))
+        pairs = pairs.join(place, c, "left").withColumn(f"home_{c}", F.coalesce(f"home_{c}", c))
+    return pairs.where("home_u <> home_v")
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles long, component_id): each row with the smallest id that links reach.
 
