@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..runtime import batch_bytes, materialize, release, sized_broadcast
+from .memory import give_back
 
 #: Words of a shingle; similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -342,6 +343,7 @@ def _frequent_codes(df: DataFrame, bits: int, words: int) -> np.ndarray:
                         sets, held = [], 0
         if sets:
             yield from flush()
+        give_back()
 
     def count(table: pa.Table) -> pa.Table:
         top = np.uint64(table.column("shard")[0].as_py() << CODE_BITS)
@@ -414,6 +416,7 @@ def _signed(df: DataFrame, frequent: np.ndarray, shift: int, bits: int, words: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _SIGN_TYPES)], names=_SIGN_NAMES)
             pa.default_memory_pool().release_unused()
 
+        give_back()
         for b in batches:
             for i, t, mark in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 s = shingles(t.as_py(), words)
@@ -433,6 +436,8 @@ def _signed(df: DataFrame, frequent: np.ndarray, shift: int, bits: int, words: i
                     ids, info, sigs, places = [], [], [], []
         if ids:
             yield from flush()
+        sigs, places = [], []
+        give_back()
 
     return df.select("id", "text", "mark").mapInArrow(run, _SIGN_SCHEMA)
 
@@ -441,6 +446,13 @@ _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
 
 
 def _bucketed(table: pa.Table) -> pa.Table:
+    """The rows of a shard; what its arrays took goes back before the next one comes."""
+    out = _shard_rows(table)
+    give_back()
+    return out
+
+
+def _shard_rows(table: pa.Table) -> pa.Table:
     """What a shard says: its documents (kind 0), pairs with the first of a bucket (1), members of buckets of three and more (2)."""
     shard = table.column("shard")[0].as_py()
     if shard < 0:
@@ -513,6 +525,8 @@ def _sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, words: int) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
                     out, held = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+            out = []
+        give_back()
 
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     some = docs.join(ids, docs["id"].eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(run, "h1 long, h2 long, n long, part int, features binary")
@@ -564,6 +578,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in keep], pa.int64()), pa.array([max(x) for x in keep], pa.int64())], names=["u", "v"])
         if linked():
             yield pa.RecordBatch.from_arrays([pa.array([min(now[0], now[2])]), pa.array([max(now[0], now[2])])], names=["u", "v"])
+        left, parts = None, []
+        give_back()
 
     rows = heads.unionByName(rest).repartition("u", "salt").sortWithinPartitions("u", "salt", "v", "part")
     return rows.select("u", "salt", "v", "n", "part", "features").mapInArrow(run, "u long, v long")
@@ -705,9 +721,18 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "v").join(one, "u").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-@lru_cache(maxsize=BLOCK_MEMBERS)
+@lru_cache(maxsize=1)
+def _block_pairs() -> tuple[np.ndarray, np.ndarray]:
+    j, i = np.tril_indices(BLOCK_MEMBERS, -1)
+    return i, j
+
+
 def _upper(m: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(m, 1)
+    """Places i < j of m rows; by j, so that those of fewer rows come first and one table serves all sizes of a block."""
+    if m > BLOCK_MEMBERS:
+        return np.triu_indices(m, 1)
+    i, j = _block_pairs()
+    return i[: m * (m - 1) // 2], j[: m * (m - 1) // 2]
 
 
 def _across(members: DataFrame, percent: int, most: int | None, block: int = BLOCK_MEMBERS) -> DataFrame:
@@ -727,7 +752,7 @@ def _across(members: DataFrame, percent: int, most: int | None, block: int = BLO
     def pairs(g: dict[str, np.ndarray], x: int, y: int) -> np.ndarray | None:
         """Rows (u, v, rank, more) of the group in rows x to y, which are sorted by size."""
         home, n, own, node = (g[c][x:y] for c in ("component", "n", "own", "node"))
-        i, j = _upper(y - x) if y - x <= block else np.triu_indices(y - x, 1)
+        i, j = _upper(y - x)
         ok = (home[i] != home[j]) & (100 * n[i] >= percent * n[j])
         if g["lo"][x] != g["hi"][x]:
             ok &= own[i] != own[j]
@@ -767,6 +792,8 @@ def _across(members: DataFrame, percent: int, most: int | None, block: int = BLO
             yield told(pdf, cut)
         if rest is not None:
             yield told(rest, np.array([len(rest)]))
+        rest = None
+        give_back()
 
     def told(pdf: pd.DataFrame, cut: np.ndarray) -> pd.DataFrame:
         g = {c: pdf[c].to_numpy() for c in pdf.columns}

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from .bpe import _arrow_type
+from .memory import give_back
 
 CAPACITY = 4096
 END_ID = 1
@@ -38,6 +39,8 @@ GROUP_PIECES = 20_000
 REPACK_BELOW = 0.98
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 100_000
+#: Bytes of pieces that a task gathers before it sends them.
+PIECE_BYTES = 2 << 20
 #: Characters for which lower-casing and white space may differ between Python and the tokenizer.
 _ODD = re.compile("[\x1c-\x1f\x85İɐ-\U0010ffff]")
 
@@ -132,6 +135,7 @@ def tokenize_pieces(
     types = [id_type, pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
+        give_back()  # an earlier job of the worker may have left much
         bpe, end = word_bpe(tokenizer_path), np.uint32(end_id).tobytes()
         out: list[list] = [[] for _ in names]
         held = 0
@@ -143,7 +147,7 @@ def tokenize_pieces(
                     for c, v in zip(out, (i, k, at // 4, len(part) // 4, part)):
                         c.append(v)
                     held += len(part) + 64
-                    if held >= 8 << 20:
+                    if held >= PIECE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(out, types)], names=names)
                         out, held = [[] for _ in names], 0
         if out[0]:
