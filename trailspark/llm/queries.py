@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables: one query each, with production parameters."""
+"""The thirteen operators over their whole tables: one query each, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, exact_dedup, jaccard_join, langid, packing, pii, quality, secret_scan, warc
+from ..runtime import crc32_of_id
+from . import audio, bpe, exact_dedup, jaccard_join, langid, packing, pii, quality, resharding, runs, search, secret_scan, warc
 
 
 def tokenizer_file(name: str) -> str:
@@ -93,8 +94,46 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_scan.KINDS[:3]), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op11_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents from six shards by id to eight of even bytes, as read back from the rewritten layout."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    path, schema = resharding.write_layout(docs, F.pmod(F.xxhash64("doc_id"), F.lit(6)), size, "doc_id")
+    out, _ = resharding.reshard(spark, path, schema, lambda total: resharding.even_capacities(total, 8))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.rank_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents whose id has a checksum divisible by ten repeat p of their words from word a on."""
+    h = crc32_of_id("doc_id")
+    words = F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    told = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    told = told.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    told = told.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = F.array_join(F.transform("words", lambda w, i: F.get("words", place(i))), " ")
+    return told.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four and more periods in every document, and what is left without their repeats."""
+    found = runs.periodic_runs(_with_planted_runs(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = found.select("doc_id", "periodic.runs", "periodic.collapsed").withColumn("best", runs.best_run(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_exact_dedup, op4_pii, op5_language_id, op6_warc, op7_quality, op8_jaccard_join, op9_media, op10_secrets)
+    f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_exact_dedup, op4_pii, op5_language_id, op6_warc, op7_quality, op8_jaccard_join, op9_media, op10_secrets, op11_resharding, op12_ranked_search, op13_periodic_runs)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,4 +149,15 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
         FROM g""",
+    "op12_ranked_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+             n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+             s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM n),
+             f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+             w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, s GROUP BY term, docs),
+             q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+             r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // length))))) AS BIGINT) AS score
+                   FROM q JOIN f USING (term) JOIN w USING (term) JOIN n USING (doc_id), s GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM r WHERE score > 0 QUALIFY rank <= 10""",
 }
