@@ -84,15 +84,16 @@ def even_capacities(total: int, shards: int) -> dict[int, int]:
 
 
 def write_layout(df: DataFrame, old: Column, size: Column, id_col: str) -> tuple[str, StructType]:
-    """Store ``df`` by its old shards, with columns ``size`` and ``shard``; path and schema."""
-    rows = df.drop("old_shard", "slot").withColumns({"shard": old.cast("int"), "size": size.cast("long")})
-    return _write(rows.withColumn("_spread", F.xxhash64(id_col)), "shard", "layout"), StructType([f for f in rows.schema if f.name != "shard"]).add("shard", "integer")
+    """Store ``df`` by its old shards, as ``row`` (its columns), ``size`` and ``shard``; path and schema."""
+    own = [c for c in df.columns if c not in ("shard", "size", "old_shard", "slot")]
+    rows = df.select(F.struct(*own).alias("row"), size.cast("long").alias("size"), old.cast("int").alias("shard"), F.xxhash64(id_col).alias("spread"))
+    return _write(rows, "shard", "layout"), rows.drop("spread").schema
 
 
 def _write(rows: DataFrame, by: str, name: str) -> str:
-    """Store rows by ``by``, in files of even numbers of rows by ranges of ``_spread``."""
+    """Store rows by ``by``, in files of even numbers of rows by ranges of ``spread``."""
     path = new_path(rows.sparkSession, name)
-    rows.repartitionByRange(by, "_spread").drop("_spread").write.partitionBy(by).parquet(path)
+    rows.repartitionByRange(by, "spread").drop("spread").write.partitionBy(by).parquet(path)
     return path
 
 
@@ -160,11 +161,10 @@ def reshard(spark: SparkSession, path: str, schema: StructType, capacity: Callab
     ``capacity`` gives the new shards' capacities for a total. The result has the layout's columns,
     ``old_shard``, and ``slot``, the row's place in its shard, gapless from 0.
     """
-    names = [f.name for f in schema if f.name != "shard"]
     at = _stored(spark, path, schema).select("shard", "size", "file", "at")
     supply = {r["shard"]: r["bytes"] for r in at.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}
     if not supply:
-        return _stored(spark, path, schema).select(*names, F.col("shard").alias("old_shard"), "shard", F.col("at").alias("slot")), {"moved_bytes": 0, "files_kept": 0, "files_rewritten": 0}
+        return _stored(spark, path, schema).select("row.*", "size", F.col("shard").alias("old_shard"), "shard", F.col("at").alias("slot")), {"moved_bytes": 0, "files_kept": 0, "files_rewritten": 0}
     flow = min_cost_flow(supply, capacity(sum(supply.values())), cost)
     whole, dealt = _destinations(spark, at, flow)
     goes = whole.select("file", "dest").unionByName(dealt.select("file", "dest")).distinct()
@@ -177,10 +177,9 @@ def reshard(spark: SparkSession, path: str, schema: StructType, capacity: Callab
         one = whole.withColumnRenamed("dest", "whole")
         rows = rows.join(sized_broadcast(one, one.count(), BROADCAST_BLOCKS), ["file", "block"], "left")
         rows = rows.join(sized_broadcast(dealt, dealt.count(), BROADCAST_BLOCKS), ["file", "at"], "left")
-        new = rows.select(*names, F.col("shard").alias("old_shard"), F.coalesce("whole", "dest").alias("shard"), F.xxhash64("file", "at").alias("_spread"))
+        new = rows.select("row", "size", F.col("shard").alias("old_shard"), F.coalesce("whole", "dest").alias("shard"), F.xxhash64("file", "at").alias("spread"))
         fresh = _write(new, "shard", "resharded")
-        layout = StructType([*(f for f in schema if f.name != "shard")]).add("old_shard", "integer").add("shard", "integer")
-        out = _stored(spark, fresh, layout)
+        out = _stored(spark, fresh, StructType([*schema.fields]).add("old_shard", "integer"))
     if kept:
         old = _stored(spark, path, schema, kept).withColumn("old_shard", F.col("shard"))
         out = old if out is None else out.unionByName(old, allowMissingColumns=True)
@@ -188,4 +187,4 @@ def reshard(spark: SparkSession, path: str, schema: StructType, capacity: Callab
     base = _before(files, ["shard"], "file", "held", "base").select("file", "base")
     slots = out.join(sized_broadcast(base, len(told) + len(flow), BROADCAST_BLOCKS), "file").withColumn("slot", F.col("base") + F.col("at"))
     moved = sum(x for (i, j), x in flow.items() if i != j)
-    return slots.select(*names, "old_shard", "shard", "slot"), {"moved_bytes": moved, "files_kept": len(kept), "files_rewritten": len(touched)}
+    return slots.select("row.*", "size", "old_shard", "shard", "slot"), {"moved_bytes": moved, "files_kept": len(kept), "files_rewritten": len(touched)}
