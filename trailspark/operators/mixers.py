@@ -60,28 +60,30 @@ def crowd(anchor: DataFrame, events: DataFrame, direction: str = "forward", days
 def exits(movements: DataFrame, events: DataFrame, anchor: DataFrame, direction: str = "forward", days: int = 7, keep: int = 20) -> DataFrame:
     """The first rung of the ladder with matches for each anchor: candidates with shared confidence.
 
-    Rungs 1 to 3 are equi-joins for all anchors; 4 compares sets of pools; 5, the crowd in time,
-    runs for anchors that none of them answers and is ranked by value, nearness and transaction.
+    An anchor is known by mixer, party and transaction. Rungs 1 to 3 are equi-joins for all anchors;
+    4 compares sets of pools; 5, the crowd in time, runs for anchors that none of them answers and
+    is ranked by value, nearness and transaction.
     """
     far = _far(events, direction)
-    key = ["chain", "mixer", "party"]
-    base = [*key, "asset", "tx_hash", "unanchored", "far", "far_tx", "far_ts", "far_amount"]
+    own = ["chain", "mixer", "party"]
+    key = [*own, "tx_hash"]
+    base = [*key, "asset", "unanchored", "far", "far_tx", "far_ts", "far_amount"]
     # each rung finds which far addresses it allows, then meets the pool's events by address: no
     # rung joins all anchors of a pool with all its events
-    meet = lambda allowed: anchor.join(allowed, key).join(far, [*POOL, "far"]).where(_later(direction))
-    one = meet(anchor.select(*key, F.col("party").alias("far")).distinct()).select(*base, F.lit(1).alias("rung"))
+    meet = lambda allowed: anchor.join(allowed, own).join(far, [*POOL, "far"]).where(_later(direction))
+    one = meet(anchor.select(*own, F.col("party").alias("far")).distinct()).select(*base, F.lit(1).alias("rung"))
     ends = movements.where("from_addr is not null and to_addr is not null and from_addr <> to_addr")
     ties = ends.select("chain", F.least("from_addr", "to_addr").alias("lo"), F.greatest("from_addr", "to_addr").alias("hi")).distinct()
     tied = ties.select("chain", F.col("lo").alias("party"), F.col("hi").alias("far")).unionByName(ties.select("chain", F.col("hi").alias("party"), F.col("lo").alias("far")))
-    two = meet(anchor.select(*key).distinct().join(tied, ["chain", "party"])).select(*base, F.lit(2).alias("rung"))
+    two = meet(anchor.select(*own).distinct().join(tied, ["chain", "party"])).select(*base, F.lit(2).alias("rung"))
     own_side, far_side = ("deposit", "withdrawal") if direction == "forward" else ("withdrawal", "deposit")
     priced = events.where("gas_price > 0").groupBy("chain", "mixer", "gas_price").agg(F.count_if(F.col("side") == far_side).alias("n_far"), F.count_if(F.col("side") == own_side).alias("n_own"))
     single = priced.where("n_far = 1 and n_own = 1").select("chain", "mixer", "gas_price")
     three = anchor.join(single, ["chain", "mixer", "gas_price"]).join(far, (far["far_gas"] == F.col("gas_price")) & (far["chain"] == anchor["chain"]) & (far["mixer"] == anchor["mixer"]) & (far["asset"] == anchor["asset"]))
-    three = three.where(_later(direction)).select(*[anchor[c] for c in (*key, "asset", "tx_hash", "unanchored")], "far", "far_tx", "far_ts", "far_amount", F.lit(3).alias("rung"))
+    three = three.where(_later(direction)).select(*[anchor[c] for c in (*key, "asset", "unanchored")], "far", "far_tx", "far_ts", "far_amount", F.lit(3).alias("rung"))
     prints = lambda side: events.where(F.col("side") == side).groupBy("chain", "mixer", "party", "asset").agg(F.count("*").alias("n")).groupBy("chain", "mixer", "party").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "asset", F.col("n").cast("string")))), ",").alias("print"), F.count("*").alias("pools")).where("pools >= 2")
     theirs = prints(far_side).withColumn("same", F.count("*").over(Window.partitionBy("chain", "mixer", "print"))).where("same = 1").select("chain", "mixer", "print", F.col("party").alias("far"))
-    four = prints(own_side).select(*key, "print").join(theirs, ["chain", "mixer", "print"]).select(*key, "far")
+    four = prints(own_side).select(*own, "print").join(theirs, ["chain", "mixer", "print"]).select(*own, "far")
     four = meet(four.distinct()).select(*base, F.lit(4).alias("rung"))
     early = one.unionByName(two).unionByName(three).unionByName(four)
     left = anchor.join(early.select(*key).distinct(), key, "left_anti")
@@ -92,7 +94,7 @@ def exits(movements: DataFrame, events: DataFrame, anchor: DataFrame, direction:
     both = early.withColumn("crowd", F.lit(None).cast("long")).unionByName(five)
     best = both.withColumn("first", F.min("rung").over(w)).where("rung = first").drop("first")
     # one row a candidate address; confidence is shared by distinct addresses
-    cand = best.groupBy(*key, "asset", "tx_hash", "unanchored", "rung", "far").agg(F.min("far_tx").alias("far_tx"), F.max("crowd").alias("crowd"))
+    cand = best.groupBy(*key, "asset", "unanchored", "rung", "far").agg(F.min("far_tx").alias("far_tx"), F.max("crowd").alias("crowd"), F.max("far_amount").alias("far_amount"))
     n = F.count("*").over(w)
     shared = F.when(F.col("rung") == 5, F.least(F.lit(0.5), 1 / F.col("crowd"))).otherwise(F.element_at(F.create_map(*[F.lit(x) for k, (_, c) in RUNGS.items() for x in (k, c)]), F.col("rung")) / n)
     return cand.withColumn("confidence", F.greatest(F.bround(shared, 3), F.lit(0.001))).withColumn("capped", F.coalesce(F.col("crowd") > keep, F.lit(False)))
