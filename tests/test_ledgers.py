@@ -360,6 +360,61 @@ def test_reserve_networks_and_harmful_tags(spark):
     assert got == [("b", "vasp", "unknown"), ("d", "vasp", "deposit"), ("s", "infrastructure", "unknown")]
 
 
+def sdn(body, root="sdnList", day="<publshInformation><Publish_Date>08/18/2024</Publish_Date></publshInformation>"):
+    return f"<{root}>{day}{body}</{root}>"
+
+
+def sdn_entry(*ids, name="Evil", attribute=""):
+    rows = "".join(f"<id><idType>Digital Currency Address - {c}</idType><idNumber>{a}</idNumber></id>" for c, a in ids)
+    return f"<sdnEntry{attribute}><lastName>{name}</lastName><akaList><aka><lastName>Alias</lastName></aka></akaList><idList>{rows}</idList></sdnEntry>"
+
+
+def test_sanctions_by_encoding_and_form(spark):
+    evm, tron, btc, sol = "0x" + "aB" * 20, "T" + "z" * 33, "1" + "Q" * 30, "S" + "x" * 40
+    shapes = sdn_entry(("USDT", sol), ("ETH", sol), ("XBT", tron), ("SOL", btc), ("USDC", evm), ("ETH", evm.lower()), ("ETC", evm)) + sdn_entry(("ETH", evm), name="Later") + sdn_entry(("XBT", btc), name=" ")
+    prefixed = '<n:sdnList xmlns:n="urn:x"><n:Publish_Date>2024-08-18</n:Publish_Date><n:sdnEntry lang="en"><n:lastName>P &amp; Q</n:lastName><n:idList><n:id><n:idType>Digital Currency Address - ETH</n:idType><n:idNumber>' + evm + "</n:idNumber></n:id></n:idList></n:sdnEntry></n:sdnList>"
+    good = sdn_entry(("ETH", evm), attribute=' lang="en"')
+    docs = spark.createDataFrame(
+        [("shapes", sdn(shapes)), ("prefixed", prefixed), ("attribute", sdn(good)), ("middle", sdn("<sdnEntry><uid>1</uix></sdnEntry>" + good)), ("amp", sdn(good.replace("Evil", "A & B"))), ("tail", sdn(good) + "<x>"), ("root", sdn(good, root="list")), ("silent", sdn(sdn_entry(("ETC", evm)))),
+         ("day", sdn(good, day="<publshInformation><Publish_Date>today</Publish_Date></publshInformation>")), ("none", None), ("void", "")], "path string, content string",
+    )
+    claims, bad = documents.sanctions(docs)
+    assert rows(claims.where("path = 'shapes'"), "chain", "address", "entity") == sorted([("ethereum", sol, "Evil"), ("tron", tron, "Evil (listed by OFAC as XBT; filed on tron from the address encoding)"), ("solana", btc, "Evil"), ("ethereum", evm.lower(), "Evil")])
+    assert rows(claims.where("path <> 'shapes'"), "path", "entity") == [("attribute", "Evil"), ("prefixed", "P & Q")]
+    assert rows(bad.withColumn("why", F.array_join("reasons", ",")), "path", "why") == sorted([("middle", "malformed"), ("amp", "malformed"), ("tail", "open"), ("root", "root"), ("silent", "empty"), ("day", "date"), ("none", "root"), ("void", "root")])
+    assert rows(documents.skipped_codes(docs), "path", "ticker", "n") == [("shapes", "ETC", 1), ("shapes", "USDT", 1), ("silent", "ETC", 1)]
+    assert documents.sanctions(docs.limit(0))[0].count() == 0
+
+
+def test_reserve_cells_are_csv(spark):
+    text = '\ufeffCoin,Balance\r\nBTC,1\r\nCoin, Message ,"Network",Address\r\nBTC,"hello, I own",ETH,0xab\r\nBTC,"he said ""a, b""\r\nand address, message",BTC," 1Q "\r\n\r\nBTC,it is 5" long,TRX,T1\r\nshort\r\nBTC,"open,ETH,0xcd'
+    claims, counts = documents.reserves(spark.createDataFrame([("p", text), ("n", None), ("h", "Address,Message")], "path string, content string"), "E", "s", "2024-01-01")
+    assert rows(claims, "path", "chain", "address") == [("p", "bitcoin", "1Q"), ("p", "ethereum", "0xab"), ("p", "tron", "T1")]
+    assert rows(counts, "path", "empty", "kept", "refused") == [("h", 0, 0, True), ("n", 0, 0, True), ("p", 2, 3, False)]
+
+
+def test_contested_tags(spark):
+    tags = [("a", "Binance 14", 1, None), ("a", "Binance Pool", 2, None), ("b", "Binance Poolside", 1, None), ("b", "Proxy", 2, None), ("c", "Fake Router", 1, None), ("d", None, 1, "dex"), ("e", "Binance dep: 3", 1, None), ("e", "OKX: DEX Router", 2, None), ("f", None, 1, None), ("g", "", 1, " aave ")]
+    df = spark.createDataFrame(tags, "address string, tag string, n int, slug string")
+    got = rows(documents.tag_claims(df, spark.createDataFrame([("binance", "Binance")], "prefix string, entity string")), "address", "entity", "category", "role")
+    infra = lambda a, e: (a, e, "infrastructure", "unknown")
+    assert got == [("a", "Binance", "vasp", "unknown"), infra("b", "Proxy"), infra("c", "Fake Router"), infra("d", "non-custodial contract"), infra("e", "OKX: DEX Router"), infra("g", "non-custodial contract")]
+
+
+def test_resume_admits_cut_nodes_up_to_the_new_budget(spark):
+    fan = [move(f"t{k}", f"n{k}", "root", 100 - k) for k in range(7)]
+    df = ledger(spark, *fan, move("u", "deep", "n0", 5), move("v", "late", "n3", 5))
+    cases = spark.createDataFrame([("c1", "c", "root", "backward")], "case_id string, chain string, root string, direction string")
+    nodes, edges = cp.trace(cases, df, None, 1, max_nodes=3)
+    assert rows(nodes.where("state = 'frontier'"), "address", "reason") == [(f"n{k}", "max_nodes") for k in range(2, 7)]
+    more, all_edges = cp.resume(nodes, edges, df, max_depth=2, max_nodes=6)
+    states = {r["address"]: r["state"] for r in more.collect()}
+    assert states == {"root": "expanded", "n0": "expanded", "n1": "expanded", "n2": "expanded", "n3": "expanded", "n4": "expanded", "n5": "frontier", "n6": "frontier", "deep": "frontier", "late": "frontier"}
+    assert rows(all_edges, "src", "dst") == sorted([("root", f"n{k}") for k in range(7)] + [("n0", "deep"), ("n3", "late")])
+    last = {r["address"]: r["state"] for r in cp.resume(more, all_edges, df, max_depth=2, max_nodes=10)[0].collect()}
+    assert set(last) == set(states) and "frontier" not in last.values()
+
+
 def test_machine_local_folders_are_for_local_masters():
     from trailspark import runtime
 

@@ -93,9 +93,11 @@ def trace(
     descending, then address) and closes addresses of ``closed`` (chain, address, reason). An
     address reached before, or the root, gains an edge only. ``max_nodes`` and ``max_opened``
     cut a level in claim order, per case; what they cut is a node in state ``frontier``, which
-    makes the coverage of its case incomplete. Each level is written to the shared folder; the
+    makes the coverage of its case incomplete; where ``max_nodes`` cut it, its reason says so and
+    it was not admitted, so that it counts for no budget. Each level is written to the shared folder; the
     driver reads one count a level. ``start`` has the nodes of an earlier run: those it left at
-    its depth or frontier go on, the others keep their state (see :func:`resume`).
+    its depth or frontier go on, those it did not admit compete with what is found at their hop,
+    and the others keep their state (see :func:`resume`).
 
     nodes: case_id, chain, direction, address, hop, value, parent, tx_hash, state, reason,
     dropped; edges: case_id, chain, direction, src, dst, hop, value, tx_hash.
@@ -109,11 +111,12 @@ def trace(
     cut: DataFrame | None = None
     if start is None:
         nodes = level = materialize(root.distinct(), "trace")
-        pending = None
+        pending = waiting = None
     else:
-        nodes = start.select(*root.columns)
+        unadmitted = (F.col("state") == "frontier") & F.col("reason").eqNullSafe("max_nodes")
+        nodes, waiting = start.where(~unadmitted).select(*root.columns), start.where(unadmitted).select(*root.columns)
         opens = F.col("state").isin("frontier", "depth_horizon")
-        pending = start.where(opens).select(*root.columns)
+        pending = start.where(opens & ~unadmitted).select(*root.columns)
         states.append(start.where(~opens).select(*key, "address", "state", "reason", "dropped"))
         level = pending.where("hop = 0")
     opened = cases.select("case_id").distinct().withColumn("opened", F.lit(0).cast("long"))
@@ -159,13 +162,16 @@ def trace(
         w = Window.partitionBy(*key, "address").orderBy(F.desc_nulls_last("_pv"), "parent")
         fresh = found.join(order, [*key, "focus"]).select(*key, F.col("counterparty").alias("address"), F.lit(hop + 1).alias("hop"), "value", F.col("focus").alias("parent"), F.col("largest_tx").alias("tx_hash"), "_pv")
         fresh = fresh.join(nodes.select(*key, "address"), [*key, "address"], "left_anti").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_pv")
+        if waiting is not None:  # what an earlier run found first keeps the parent it had
+            then = waiting.where(F.col("hop") == hop + 1)
+            fresh = then.unionByName(fresh.join(waiting.where(F.col("hop") <= hop + 1).select(*key, "address"), [*key, "address"], "left_anti"))
         if max_nodes is not None:
             have = nodes.groupBy("case_id").agg(F.count("*").alias("_have"))
             w = Window.partitionBy("case_id").orderBy(F.desc_nulls_last("value"), "address", "direction")
             fresh = materialize(fresh.join(have, "case_id").withColumn("_cut", F.row_number().over(w) + F.col("_have") > max_nodes).drop("_have"), "trace-fresh")
             lost = fresh.where("_cut").drop("_cut")
             cut = lost if cut is None else cut.unionByName(lost)
-            states.append(lost.select(*key, "address").withColumn("state", F.lit("frontier")))
+            states.append(lost.select(*key, "address").withColumn("state", F.lit("frontier")).withColumn("reason", F.lit("max_nodes")))
             fresh = fresh.where("not _cut").drop("_cut")
         level = materialize(fresh, "trace")
         nodes = nodes.unionByName(level)

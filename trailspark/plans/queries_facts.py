@@ -269,6 +269,17 @@ def c7(spark, d):
     return nodes.select("case_id", "direction", "address", "hop", long("value"), "parent", "state")
 
 
+@query("c7_resumed_budget", TRACE + """, q AS (SELECT n1.*, row_number() OVER (PARTITION BY case_id ORDER BY value DESC, address, direction) + 2 AS k FROM n1)
+SELECT case_id, direction, address, hop, value, CASE WHEN k > 14 THEN 'frontier' WHEN reason IS NOT NULL THEN 'closed' ELSE 'depth_horizon' END AS state FROM q LEFT JOIN stop USING (address) UNION ALL SELECT case_id, direction, address, hop, value, 'expanded' FROM nodes WHERE hop = 0""")
+def c7b(spark, d):
+    """All cases stopped at eight nodes and resumed with fourteen: what was cut is admitted in claim order up to the new budget."""
+    c = cp.expand_objectives(cases(spark, d)).select("case_id", "chain", "root", "direction")
+    mv, stop = materialize(movements(spark, d), "movements"), closed_by(labels(spark, d))
+    nodes, edges = cp.trace(c, mv, stop, 1, 15, 6, max_nodes=8)
+    nodes, _ = cp.resume(nodes, edges, mv, stop, max_depth=1, cap_over=15, cap_keep=6, max_nodes=14)
+    return nodes.select("case_id", "direction", "address", "hop", long("value"), "state")
+
+
 @query("c8_paths", TRACE + """ SELECT a.case_id, a.direction, a.address, a.hop AS hops, CASE a.hop WHEN 0 THEN '' WHEN 1 THEN a.tx_hash ELSE concat(b.tx_hash, ',', a.tx_hash) END AS path
 FROM nodes a LEFT JOIN n1 b ON a.hop = 2 AND a.case_id = b.case_id AND a.direction = b.direction AND a.parent = b.address""")
 def c8(spark, d):

@@ -256,7 +256,7 @@ def e3(spark, d):
     return claims.select(F.element_at(F.split("path", "/"), -1).cast("int").alias("nation"), "chain", "address")
 
 
-@query("e4_sanctions", raw="""SELECT DISTINCT concat('0x', lpad(lower(to_hex(s_suppkey)), 40, '0')) AS address, 'ethereum' AS chain, concat('Sup ', s_name, ' (PROG', s_suppkey % 3, ')', CASE WHEN s_suppkey % 5 = 0 THEN ' [listed as XBT]' ELSE '' END) AS entity FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 > 0""")
+@query("e4_sanctions", raw="""SELECT DISTINCT concat('0x', lpad(lower(to_hex(s_suppkey)), 40, '0')) AS address, 'ethereum' AS chain, concat('Sup ', s_name, ' (PROG', s_suppkey % 3, ')', CASE WHEN s_suppkey % 5 = 0 THEN ' (listed by OFAC as XBT; filed on ethereum from the address encoding)' ELSE '' END) AS entity FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 > 0""")
 def e4(spark, d):
     """Claims of sanctions XML; some currency codes contradict the address, others name no known ledger."""
     return documents.sanctions(sdn_documents(spark, d))[0].select("address", "chain", "entity")
@@ -272,9 +272,9 @@ def e4s(spark, d):
 DOCUMENT_ROWS = 500
 
 
-def _numbered(rows: DataFrame, key: str) -> DataFrame:
+def _numbered(rows: DataFrame, key: str, size: int = DOCUMENT_ROWS) -> DataFrame:
     """``rows`` with ``doc``: a document number by key, so that no document grows with the table."""
-    return rows.withColumn("doc", F.floor(F.col(key) / DOCUMENT_ROWS))
+    return rows.withColumn("doc", F.floor(F.col(key) / size))
 
 
 def sdn_documents(spark, d) -> DataFrame:
@@ -308,6 +308,63 @@ def e5b(spark, d):
     return documents.reserve_island(pages, "Reserve", "island").select("page_id", "chain", "address", F.col("source_date").cast("string").alias("source_date"))
 
 
+@query("e3_quoted_reserves", raw="""SELECT concat('q', c_custkey // 50) AS doc, ['ethereum', 'bitcoin', 'tron', 'polygon'][c_custkey % 5 + 1] AS chain, concat('addr', c_custkey) AS address FROM customer WHERE c_custkey % 5 < 4 AND c_custkey // 50 % 3 < 2""")
+def e3q(spark, d):
+    """Claims of reserve tables whose messages are quoted, with commas, quotes and line ends, and stand before the network; a third have no header."""
+    return documents.reserves(_quoted_tables(spark, d), "Reserve", "por", "2024-01-01")[0].select(F.col("path").alias("doc"), "chain", "address")
+
+
+@query("e3_refused_reserves", raw="""SELECT concat('q', c_custkey // 50) AS doc, CASE WHEN c_custkey // 50 % 3 < 2 THEN count(*) FILTER (c_custkey % 5 = 4) ELSE 0 END AS unsupported, c_custkey // 50 % 3 = 2 OR count(*) FILTER (c_custkey % 5 < 4) = 0 AS refused FROM customer GROUP BY c_custkey // 50""")
+def e3r(spark, d):
+    """Those tables with rows of unsupported networks counted, and which are refused."""
+    return documents.reserves(_quoted_tables(spark, d), "Reserve", "por", "2024-01-01")[1].select(F.col("path").alias("doc"), "unsupported", "refused")
+
+
+def _quoted_tables(spark, d) -> DataFrame:
+    c = _numbered(table(spark, d, "customer"), "c_custkey", 50)
+    net = F.get(F.array(*map(F.lit, ("ETH", "BTC", "TRON", "MATIC", "DOGE"))), (F.col("c_custkey") % 5).cast("int"))
+    said = F.get(F.array(*map(F.lit, ('"hello, I own"', '"he said ""mine, all"""', '"two\nlines, address and message"', "plain"))), (F.col("c_custkey") % 4).cast("int"))
+    line = F.concat_ws(",", F.lit("XX"), said, net, F.concat(F.lit("addr"), F.col("c_custkey").cast("string")))
+    head = F.when(F.col("doc") % 3 < 2, 'Coin,"Message",Network,Address').otherwise("Coin,Text,Network,Wallet")
+    g = c.groupBy("doc").agg(F.sort_array(F.collect_list(line)).alias("rows"))
+    # without a header line, no message may look like one
+    body = F.when(F.col("doc") % 3 < 2, F.array_join("rows", "\r\n")).otherwise(F.regexp_replace(F.array_join("rows", "\r\n"), "message", "text"))
+    return g.select(F.concat(F.lit("q"), F.col("doc").cast("string")).alias("path"), F.concat(F.lit("Coin,Balance\r\nBTC,1\r\n"), head, F.lit("\r\n"), body).alias("content"))
+
+
+@query("e4_shapes", raw="""WITH t AS (SELECT s_suppkey AS k, s_suppkey // 5 AS doc, s_suppkey % 8 AS m, ['USDT', 'ETH', 'XBT', 'SOL', 'XBT', 'USDC', 'TRX', 'USDT'][s_suppkey % 8 + 1] AS code FROM supplier WHERE s_suppkey // 5 % 4 < 2)
+SELECT concat('x', doc) AS doc, CASE m WHEN 1 THEN 'ethereum' WHEN 3 THEN 'solana' WHEN 4 THEN 'tron' WHEN 6 THEN 'bitcoin' WHEN 5 THEN 'ethereum' WHEN 7 THEN 'tron' ELSE 'bitcoin' END AS chain, k AS party,
+CASE m WHEN 4 THEN concat('Party ', k, ' (P, Q) (listed by OFAC as XBT; filed on tron from the address encoding)') WHEN 6 THEN concat('Party ', k, ' (P, Q) (listed by OFAC as TRX; filed on bitcoin from the address encoding)') ELSE concat('Party ', k, ' (P, Q)') END AS entity FROM t WHERE m <> 0""")
+def e4x(spark, d):
+    """Claims by code and shape from XML with prefixes, attributes and aliases; documents of broken form give none."""
+    party = F.regexp_extract("entity", "^Party ([0-9]+)", 1).cast("long")
+    return documents.sanctions(_odd_sdn(spark, d))[0].select(F.col("path").alias("doc"), "chain", party.alias("party"), "entity")
+
+
+@query("e4_refused_documents", raw="""SELECT DISTINCT concat('x', s_suppkey // 5) AS doc, CASE WHEN s_suppkey // 5 % 4 = 2 THEN 'malformed' ELSE 'empty' END AS reasons FROM supplier WHERE s_suppkey // 5 % 4 >= 2""")
+def e4r(spark, d):
+    """Sanctions XML that is refused, and why: broken in the middle, or without any claim."""
+    return documents.sanctions(_odd_sdn(spark, d))[1].select(F.col("path").alias("doc"), F.array_join("reasons", ",").alias("reasons"))
+
+
+def _odd_sdn(spark, d) -> DataFrame:
+    """Sanctions XML, five suppliers each: by document number plain, with prefixes, broken in the middle, or with codes that name no ledger."""
+    s = _numbered(table(spark, d, "supplier"), "s_suppkey", 5)
+    k = F.col("s_suppkey").cast("string")
+    digits = F.translate(F.lpad(k, 12, "0"), "0", "o")
+    evm, tron, btc, sol = F.concat(F.lit("0x"), F.lpad(k, 40, "0")), F.concat(F.lit("T" + "x" * 21), digits), F.concat(F.lit("1" + "x" * 20), digits), F.concat(F.lit("S" + "x" * 27), digits)
+    code = F.when(F.col("doc") % 4 == 3, "ETC").otherwise(F.get(F.array(*map(F.lit, ("USDT", "ETH", "XBT", "SOL", "XBT", "USDC", "TRX", "USDT"))), (F.col("s_suppkey") % 8).cast("int")))
+    shape = F.get(F.array(sol, sol, btc, btc, tron, evm, btc, tron), (F.col("s_suppkey") % 8).cast("int"))
+    entry = F.concat(
+        F.lit('<sdnEntry lang="en"><uid>'), k, F.lit("</uid><firstName>Party</firstName><lastName>"), k, F.lit("</lastName><akaList><aka><lastName>Alias</lastName></aka></akaList><programList><program>P</program><program> Q </program></programList><idList><id><idType>Digital Currency Address - "),
+        code, F.lit("</idType><idNumber> "), shape, F.lit(" </idNumber></id></idList></sdnEntry>"),
+    )
+    g = s.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_list(entry)), "\n").alias("e"))
+    body = F.concat(F.lit("<sdnList><publshInformation><Publish_Date>08/18/2024</Publish_Date></publshInformation>"), F.when(F.col("doc") % 4 == 2, F.lit("<sdnEntry><uid>1</uix></sdnEntry>")).otherwise(""), "e", F.lit("</sdnList>"))
+    prefixed = F.regexp_replace(F.regexp_replace(body, "<(/?)([a-zA-Z_]+)", "<$1ns:$2"), "<ns:sdnList>", '<ns:sdnList xmlns:ns="urn:list">')
+    return g.select(F.concat(F.lit("x"), F.col("doc").cast("string")).alias("path"), F.concat(F.lit('<?xml version="1.0"?>\n'), F.when(F.col("doc") % 4 == 1, prefixed).otherwise(body)).alias("content"))
+
+
 @query("e7_address_files", raw="""SELECT DISTINCT CASE c_nationkey % 4 WHEN 0 THEN 'bitcoin' WHEN 1 THEN 'ethereum' ELSE 'tron' END AS chain, concat('0x', lpad(lower(to_hex(c_custkey // 3)), 40, '0')) AS address FROM customer WHERE c_nationkey % 4 < 3""")
 def e7(spark, d):
     """Claims of vendored lists, one a nation; a quarter have a code that names no ledger."""
@@ -320,9 +377,9 @@ def e7(spark, d):
 TAG = "tg AS (SELECT concat('a', c_custkey // 2) AS address, c_custkey AS n, concat(c_mktsegment, CASE c_custkey % 4 WHEN 0 THEN ' dep : 1' WHEN 1 THEN ' pool' WHEN 2 THEN ' hack' ELSE ' hot' END) AS tag, c_mktsegment AS seg FROM customer)"
 
 
-@query("e6_tag_claims", raw=f"""WITH {TAG}, cl AS (SELECT * FROM tg WHERE tag NOT LIKE '% hack'), nm AS (SELECT address, arg_min(tag, n) AS t, arg_min(seg, n) AS s FROM cl WHERE seg IN ('BUILDING', 'MACHINERY') GROUP BY 1), pl AS (SELECT address, arg_min(tag, n) AS p FROM cl WHERE tag LIKE '% pool' GROUP BY 1),
-j AS (SELECT coalesce(nm.address, pl.address) AS address, t, s, p, t IS NOT NULL AND (p IS NULL OR t LIKE '%pool%') AS v FROM nm FULL JOIN pl ON nm.address = pl.address)
-SELECT address, CASE WHEN v THEN concat('X', s) ELSE coalesce(p, t) END AS entity, CASE WHEN v THEN 'vasp' ELSE 'infrastructure' END AS category, CASE WHEN t LIKE '%dep :%' THEN 'deposit' ELSE 'unknown' END AS role FROM j""")
+@query("e6_tag_claims", raw=f"""WITH {TAG}, nm AS (SELECT address, arg_min(tag, n) AS t, arg_min(seg, n) AS s FROM tg WHERE seg IN ('BUILDING', 'MACHINERY') AND tag NOT LIKE '% hack' GROUP BY 1), pl AS (SELECT address, arg_min(tag, n) AS p FROM tg WHERE tag LIKE '% pool' GROUP BY 1),
+j AS (SELECT coalesce(nm.address, pl.address) AS address, t, s, p, t IS NOT NULL AND (p IS NULL OR regexp_matches(p, '\\bpool\\b', 'i')) AS v FROM nm FULL JOIN pl ON nm.address = pl.address)
+SELECT address, CASE WHEN v THEN concat('X', s) ELSE p END AS entity, CASE WHEN v THEN 'vasp' ELSE 'infrastructure' END AS category, CASE WHEN v AND t LIKE '%dep :%' THEN 'deposit' ELSE 'unknown' END AS role FROM j""")
 def e6(spark, d):
     """Claims of a tag list made of customers: two segments are exchanges."""
     c = table(spark, d, "customer")
@@ -332,16 +389,29 @@ def e6(spark, d):
     return documents.tag_claims(tags, seg)
 
 
-@query("e6_tag_slugs", raw="""SELECT concat('a', c_custkey) AS address, concat(c_mktsegment, CASE c_custkey % 5 WHEN 1 THEN ' settlement' ELSE ' desk' END) AS entity FROM customer WHERE c_custkey % 5 = 1 OR (c_custkey % 5 <> 2 AND c_custkey % 3 = 0)""")
+@query("e6_tag_slugs", raw="""SELECT concat('a', c_custkey) AS address, CASE WHEN c_custkey % 5 = 3 THEN 'non-custodial contract' ELSE concat(c_mktsegment, CASE c_custkey % 5 WHEN 1 THEN ' settlement' WHEN 2 THEN ' victim' ELSE ' desk' END) END AS entity FROM customer WHERE c_custkey % 5 = 1 OR c_custkey % 3 = 0""")
 def e6s(spark, d):
-    """Contracts without custody by word or slug; tags of victims are left out."""
+    """Contracts without custody by word or slug, whatever else their tag says; some have a slug and no tag."""
     c = table(spark, d, "customer")
-    word = F.get(F.array(*map(F.lit, (" desk", " settlement", " victim", " desk", " desk"))), (F.col("c_custkey") % 5).cast("int"))
+    word = F.get(F.array(*map(F.lit, (" desk", " settlement", " victim", None, " desk"))), (F.col("c_custkey") % 5).cast("int"))
     tags = c.select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("address"), F.col("c_custkey").alias("n"), F.concat("c_mktsegment", word).alias("tag"), F.when(F.col("c_custkey") % 3 == 0, "dex").alias("slug"))
     none = c.select(F.col("c_mktsegment").alias("prefix"), F.lit("x").alias("entity")).where("prefix = 'no such'")
     return documents.tag_claims(tags, none).select("address", "entity")
 
 
+@query("e6_contested_tags", raw=r"""WITH t AS (SELECT concat('a', c_custkey) AS address, [' Pool', ': Router 4', ' Poolside', ' Whirlpool Proxy', ' Fake Router', ' Vault pool'][c_custkey % 6 + 1] AS tail FROM customer)
+SELECT address, CASE WHEN v THEN 'B' ELSE concat('Binance', tail) END AS entity, CASE WHEN v THEN 'vasp' ELSE 'infrastructure' END AS category FROM (SELECT *, tail IN (' Pool', ' Vault pool', ' Poolside') AS v FROM t)""")
+def e6c(spark, d):
+    """Addresses with a plumbing tag of an exchange's name, most with a plain tag of it as well: the plumbing tag's word pool decides."""
+    c = table(spark, d, "customer")
+    tail = F.get(F.array(*map(F.lit, (" Pool", ": Router 4", " Poolside", " Whirlpool Proxy", " Fake Router", " Vault pool"))), (F.col("c_custkey") % 6).cast("int"))
+    a = F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("address")
+    plain = c.where("c_custkey % 4 > 0").select(a, F.lit("Binance 14").alias("tag"), F.lit(2).alias("n"))
+    tags = c.select(a, F.concat(F.lit("Binance"), tail).alias("tag"), F.lit(1).alias("n")).unionByName(plain)
+    ex = table(spark, d, "region").agg(F.lit("binance").alias("prefix"), F.lit("B").alias("entity"))
+    return documents.tag_claims(tags, ex).select("address", "entity", "category")
+
+
 @query("e8_address_lists", raw="""SELECT concat('0x', lpad(lower(to_hex(c_custkey)), 40, '0')) AS address, count(*) AS n FROM customer WHERE c_custkey % 3 > 0 GROUP BY 1""")
 def e8(spark, d):
     """Addresses of lists with comments, one list a nation; those whose shape fits."""

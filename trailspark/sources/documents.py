@@ -81,21 +81,29 @@ NETWORKS = {
 }
 
 
+#: A cell of a CSV line: quoted, with doubled quotes and line ends inside, or plain.
+_CELL = r'(?:"(?:[^"]++|"")*+"?+[^,\n]*+|[^,\n]*+)'
+
+
 def reserves(documents: DataFrame, entity: str, source: str, source_date: str) -> tuple[DataFrame, DataFrame]:
     """Claims of reserve tables whose header follows a summary block; and counts by document.
 
-    The header is the first line that names both an address and a message; rows with an empty
-    address or a network that is not supported are dropped and counted; a document without a
-    claim is refused.
+    The header is the first line that names both an address and a message; what follows it is CSV, whose quoted cells
+    may hold commas, line ends and doubled quotes; of columns with one name the last counts. Rows with an empty
+    address or a network that is not supported are dropped and counted; a document without header or claim, an empty
+    and a null one are refused.
     """
-    lines = documents.select("path", F.posexplode(F.split("content", "\r?\n")).alias("n", "line"))
-    isHeader = F.lower("line").contains("address") & F.lower("line").contains("message")
-    head = lines.where(isHeader).groupBy("path").agg(F.min_by("line", "n").alias("header"), F.min("n").alias("at"))
-    body = lines.join(head, "path").where((F.col("n") > F.col("at")) & (F.trim("line") != ""))
-    names = F.transform(F.split("header", ","), lambda c: F.lower(F.trim(F.regexp_replace(c, '"', ""))))
-    cells = F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
-    at = lambda c: F.get(cells, F.array_position(names, F.lit(c)).cast("int") - 1)
-    rows = body.select("path", F.upper(at("network")).alias("network"), F.nullif(at("address"), F.lit("")).alias("address"))
+    lines = F.split(F.regexp_replace("content", "^\ufeff|\r(?=\n)", ""), "[\n\r]")
+    is_header = F.transform("lines", lambda x: F.lower(x).contains("address") & F.lower(x).contains("message"))
+    d = documents.select("path", lines.alias("lines")).withColumn("at", F.array_position(is_header, F.lit(True)).cast("int"))
+    table_text = F.array_join(F.slice("lines", F.col("at"), F.size("lines")), "\n")
+    records = F.regexp_extract_all(table_text, F.lit(f"(?md)^{_CELL}(?:,{_CELL})*+$"), F.lit(0))
+    cells = lambda r: F.transform(F.regexp_extract_all(F.concat(F.lit(","), r), F.lit(f",{_CELL}"), F.lit(0)), lambda c: F.trim(_cell(c)))
+    d = d.where("at > 0").select("path", F.filter(records, lambda r: r != "").alias("records"))
+    d = d.select("path", F.reverse(F.transform(cells(F.get("records", F.lit(0))), F.lower)).alias("names"), F.explode(F.slice("records", F.lit(2), F.greatest(F.size("records"), F.lit(1)))).alias("r"))
+    d = d.withColumn("cells", cells(F.col("r")))
+    at = lambda c: F.when(F.array_contains("names", c), F.get("cells", F.size("names") - F.array_position("names", F.lit(c)).cast("int")))
+    rows = d.select("path", F.upper(at("network")).alias("network"), F.nullif(at("address"), F.lit("")).alias("address"))
     table = F.create_map(*[F.lit(x) for kv in NETWORKS.items() for x in kv])
     rows = rows.withColumn("chain", F.element_at(table, F.col("network")))
     good = rows.where("address is not null and chain is not null")
@@ -104,62 +112,83 @@ def reserves(documents: DataFrame, entity: str, source: str, source_date: str) -
     return claims, counts.withColumn("refused", F.col("kept") == 0)
 
 
+def _cell(c: Column) -> Column:
+    """The value of a cell with the comma before it: its quotes off, doubled ones halved."""
+    bare = F.substring(c, 2, 1 << 30)
+    inner = F.regexp_replace(F.regexp_extract(bare, r'(?s)^"((?:[^"]++|"")*+)', 1), '""', '"')
+    return F.when(bare.startswith('"'), F.concat(inner, F.regexp_extract(bare, r'(?s)^"(?:[^"]++|"")*+"(.*)$', 1))).otherwise(bare)
+
+
 # Fixed value: ledgers of the currency codes of sanctions lists.
 TICKERS = {"XBT": "bitcoin", "BTC": "bitcoin", "ETH": "ethereum", "TRX": "tron", "SOL": "solana"}
 TOKEN_TICKERS = ("USDT", "USDC")
-_ENTRY = (
-    "struct<uid:string,firstName:string,lastName:string,sdnType:string,programList:struct<program:array<string>>,"
-    "idList:struct<id:array<struct<idType:string,idNumber:string>>>>"
+# Addresses whose own encoding tells their ledger; other shapes tell none.
+ENCODINGS = {
+    "ethereum": r"^0x[0-9a-fA-F]{40}$",
+    "tron": r"^T[1-9A-HJ-NP-Za-km-z]{33}$",
+    "bitcoin": r"^([13][a-km-zA-HJ-NP-Z1-9]{25,34}|(bc1|BC1)[a-zA-Z0-9]{11,71})$",
+}
+# Fixed value: how a sanctions list writes the code of an address.
+CODE = r"(?i)^Digital Currency Address\s*-\s*([A-Za-z0-9]+)$"
+_SDN = (
+    "struct<publshInformation:array<struct<Publish_Date:string>>,Publish_Date:string,sdnEntry:array<struct<firstName:string,lastName:string,"
+    "programList:struct<program:array<string>>,idList:struct<id:array<struct<idType:string,idNumber:string>>>>>,_malformed:string>"
 )
 
 
+def _sdn_rows(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents with published and reasons; rows path, published, n, k, entity, ticker, address, chain, refiled) of sanctions XML."""
+    told = documents.withColumn("x", F.from_xml("content", _SDN, {"columnNameOfCorruptRecord": "_malformed", "ignoreNamespace": "true"}))
+    days = F.filter(F.transform("x.publshInformation", lambda p: F.trim(p["Publish_Date"])), lambda t: t != "")
+    day = F.coalesce(F.get(days, F.size(days) - 1), F.trim("x.Publish_Date"))
+    text = F.coalesce("content", F.lit(""))
+    rooted = text.rlike(r"^\ufeff?\s*(?:<[?!][^>]*>\s*)*<(?:[\w.-]+:)?sdnList[\s>/]")
+    closed = text.rlike(r"</(?:[\w.-]+:)?sdnList\s*>\s*(?:<!--[^>]*-->\s*)*\z")
+    d = told.withColumn("published", F.coalesce(F.try_to_timestamp(day, F.lit("M/d/yyyy")), F.try_to_timestamp(day, F.lit("yyyy-M-d"))).cast("date"))
+    bad = F.col("x").isNull() | F.col("x._malformed").isNotNull()
+    d = _refusals(d, {"root": ~rooted, "open": rooted & ~closed, "malformed": rooted & closed & bad, "date": rooted & closed & ~bad & F.col("published").isNull()})
+    e = d.where("size(reasons) = 0").select("path", "published", F.posexplode("x.sdnEntry").alias("n", "e"))
+    person = F.concat_ws(" ", F.nullif(F.trim("e.firstName"), F.lit("")), F.nullif(F.trim("e.lastName"), F.lit("")))
+    programs = F.array_join(F.filter(F.transform("e.programList.program", lambda t: F.trim(t)), lambda t: t != ""), ", ")
+    name = F.when(F.length(programs) > 0, F.concat(person, F.lit(" ("), programs, F.lit(")"))).otherwise(person)
+    ids = e.where(F.length(person) > 0).select("path", "published", "n", name.alias("entity"), F.posexplode("e.idList.id").alias("k", "i"))
+    rows = ids.withColumn("ticker", F.upper(F.regexp_extract(F.trim("i.idType"), CODE, 1))).where("ticker <> ''").withColumn("address", F.trim("i.idNumber")).where("address <> ''")
+    ledger = F.element_at(F.create_map(*[F.lit(x) for kv in TICKERS.items() for x in kv]), F.col("ticker"))
+    seen = F.coalesce(*[F.when(F.col("address").rlike(shape), F.lit(chain)) for chain, shape in ENCODINGS.items()])
+    rows = rows.withColumn("told", ledger).withColumn("seen", seen)
+    stands = F.col("seen").isNull() | ((F.col("told") == "solana") & (F.col("seen") == "bitcoin"))
+    chain = F.when(F.col("told").isNotNull(), F.when(stands, F.col("told")).otherwise(F.col("seen"))).when(F.col("ticker").isin(*TOKEN_TICKERS), F.col("seen"))
+    rows = rows.withColumn("chain", chain)
+    return d, rows.withColumn("refiled", F.coalesce(F.col("told") != F.col("chain"), F.lit(False)))
+
+
 def sanctions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Claims of sanctions XML and refused documents.
 
-    Entries are cut out by tag and parsed one by one, so a document spreads over rows. A document
-    that does not close its root, or has no publish date, is refused whole: a cut between
-    entries would otherwise pass silently. The ledger follows the currency code, for token
-    codes the address's shape; a shape that contradicts the code wins and is told in the entity
-    (Solana and Bitcoin shapes overlap, there the code wins). Codes of ledgers that are not known
-    give no claim; :func:`skipped_codes` counts them. The first claim of an address wins.
+    A document is parsed to its end before it gives a claim; names count without their namespace,
+    attributes are passed over. Refused whole, with a reason: another root (``root``; so null and
+    empty ones), a root that is not closed at the end (``open``), other errors of form
+    (``malformed``), no publish date or one of unknown form (``date``), and no claim at all
+    (``empty``). The ledger follows the currency code unless the address's own encoding contradicts
+    it: then the encoding wins, and the entity says so. Solana addresses have no encoding of their
+    own, so a token code on one gives no claim, and a Solana code on a Bitcoin shape stands.
+    :func:`skipped_codes` counts what gives none. The first claim of an address in a document wins.
     """
-    closed = F.col("content").rlike(r"</(\w+:)?sdnList>\s*$")
-    day = F.to_date(F.regexp_extract("content", r"<(?:\w+:)?Publish_Date>\s*(\d{2}/\d{2}/\d{4})\s*<", 1).alias("d"), "MM/dd/yyyy")
-    found = F.regexp_extract("content", r"<(?:\w+:)?Publish_Date>\s*(\d{2}/\d{2}/\d{4})\s*<", 1)
-    d = _refusals(documents, {"open": ~closed, "date": found == ""})
-    good = d.where("size(reasons) = 0").withColumn("published", day)
-    entries = good.select("path", "published", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<sdnEntry>.*?</sdnEntry>"), F.lit(0))).alias("n", "x"))
-    e = entries.withColumn("e", F.from_xml("x", _ENTRY))
-    person = F.trim(F.concat_ws(" ", F.trim("e.firstName"), F.trim("e.lastName")))
-    programs = F.array_join(F.col("e.programList.program"), ", ")
-    name = F.when(F.length(programs) > 0, F.concat(person, F.lit(" ("), programs, F.lit(")"))).otherwise(person)
-    ids = e.where(F.length(person) > 0).select("path", "published", "n", name.alias("entity"), F.posexplode("e.idList.id").alias("k", "i"))
-    code = F.upper(F.regexp_extract("i.idType", CODE, 1))
-    rows = ids.withColumn("ticker", code).where("ticker <> ''").withColumn("address", F.trim("i.idNumber")).where("address <> ''")
-    table = F.create_map(*[F.lit(x) for kv in TICKERS.items() for x in kv])
-    shape = families(F.col("address"))
-    told, seen = F.element_at(table, F.col("ticker")), F.get(shape, F.lit(0))
-    rows = rows.withColumn("told", told).withColumn("seen", seen).withColumn("fits", F.array_contains(shape, told))
-    overlap = F.col("told").isin("solana", "bitcoin") & F.col("seen").isin("solana", "bitcoin")
-    over = F.col("told").isNotNull() & F.col("seen").isNotNull() & ~F.col("fits") & ~overlap
-    chain = F.when(F.col("ticker").isin(*TOKEN_TICKERS), F.col("seen")).when(over, F.col("seen")).otherwise(F.col("told"))
-    rows = rows.withColumn("chain", chain).withColumn("entity", F.when(over, F.concat("entity", F.lit(" [listed as "), "ticker", F.lit("]"))).otherwise(F.col("entity"))).where("chain is not null")
+    d, rows = _sdn_rows(documents)
+    note = F.concat(F.lit(" (listed by OFAC as "), "ticker", F.lit("; filed on "), "chain", F.lit(" from the address encoding)"))
+    rows = rows.where("chain is not null").withColumn("entity", F.when(F.col("refiled"), F.concat("entity", note)).otherwise(F.col("entity")))
     canon = F.when(F.col("address").rlike("^0[xX]"), F.lower("address")).otherwise(F.col("address"))
     w = Window.partitionBy("path", "chain", "address").orderBy("n", "k")
     first = rows.withColumn("address", canon).withColumn("_r", F.row_number().over(w)).where("_r = 1")
     claims = first.select("path", "chain", "address", "entity", F.lit("sanctioned").alias("category"), F.lit("unknown").alias("role"), F.lit(0.99).alias("confidence"), F.lit("official").alias("method"), F.lit("sanctions").alias("source"), F.col("published").alias("source_date"))
-    return claims, d.where("size(reasons) > 0").select("path", "reasons")
-
-
-# Fixed value: how a sanctions list writes the code of an address.
-CODE = r"(?i)^Digital Currency Address\s*-\s*([A-Za-z0-9]+)$"
+    silent = d.where("size(reasons) = 0").select("path").join(rows.select("path"), "path", "left_anti").select("path", F.array(F.lit("empty")).alias("reasons"))
+    return claims, d.where("size(reasons) > 0").select("path", "reasons").unionByName(silent)
 
 
 def skipped_codes(documents: DataFrame) -> DataFrame:
-    """(path, ticker, n): addresses of sanctions XML whose code names no known ledger."""
-    types = F.regexp_extract_all("content", F.lit(r"(?s)<idType>\s*(.*?)\s*</idType>"), F.lit(1))
-    rows = documents.select("path", F.explode(types).alias("t")).withColumn("ticker", F.upper(F.regexp_extract("t", CODE, 1)))
-    return rows.where((F.col("ticker") != "") & ~F.col("ticker").isin(*TICKERS, *TOKEN_TICKERS)).groupBy("path", "ticker").agg(F.count("*").alias("n"))
+    """(path, ticker, n): addresses of accepted sanctions XML that give no claim: an unknown code, or a token code on a shape that tells no ledger."""
+    _, rows = _sdn_rows(documents)
+    return rows.where("chain is null").groupBy("path", "ticker").agg(F.count("*").alias("n"))
 
 
 def address_files(documents: DataFrame) -> DataFrame:
@@ -212,28 +241,32 @@ PLUMBING_SLUGS = (
     "lido", "maker", "bridge", "defi", "yearn", "convex", "pancakeswap", "dydx", "synthetix", "oracle", "nft-marketplace",
 )
 DEPOSIT = r"(?i)\bdep\b\s*:"
+POOL = r"(?i)\bpool\b"
 
 
 def tag_claims(tags: DataFrame, exchanges: DataFrame) -> DataFrame:
     """Claims of a public tag list (address, tag, n, optional slug): exchange prefixes to entities, plumbing by name or slug.
 
-    Tags of harm are left out; the first tag of an address wins; an address that is both keeps
-    ``vasp`` only when its exchange tag is a pool, else it is infrastructure. ``exchanges``
-    (prefix, entity): tags meet them by equal text of each length that a prefix has.
+    An exchange's tag of harm names no exchange; plumbing keeps its own first tag, whatever it says, and one without
+    a tag is a ``non-custodial contract``. The first tag of each kind wins. An address that is both is ``vasp`` when
+    its plumbing tag has the word pool, since exchanges run pools that take funds in; else it is infrastructure, and
+    then of no role. ``exchanges`` (prefix, entity): tags meet them by equal text of each length that a prefix has.
     """
-    clean = tags.where(~F.col("tag").rlike(HARM))
+    tags = tags.withColumn("tag", F.trim(F.coalesce("tag", F.lit(""))))
+    clean = tags.where((F.col("tag") != "") & ~F.col("tag").rlike(HARM))
     lengths = [r[0] for r in exchanges.select(F.length("prefix").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
     low = F.lower(F.trim("tag"))
     starts = F.array(*[F.when(F.length(low) >= n, F.substring(low, 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
     hit = clean.withColumn("_start", F.explode(F.array_compact(starts))).join(exchanges.withColumn("_start", F.lower("prefix")), "_start").drop("_start")
     longest = Window.partitionBy("address").orderBy("n", F.desc(F.length("prefix")), "tag")
     named = hit.withColumn("_r", F.row_number().over(longest)).where("_r = 1").select("address", "entity", F.col("tag").alias("named_tag"))
-    slug = F.coalesce(F.col("slug").isin(*PLUMBING_SLUGS), F.lit(False)) if "slug" in tags.columns else F.lit(False)
-    first = clean.where(F.col("tag").rlike(PLUMBING) | slug).groupBy("address").agg(F.min_by("tag", "n").alias("plumb_tag"))
+    slug = F.coalesce(F.trim("slug").isin(*PLUMBING_SLUGS), F.lit(False)) if "slug" in tags.columns else F.lit(False)
+    plumb = F.when(F.col("tag") == "", "non-custodial contract").otherwise(F.col("tag"))
+    first = tags.where(F.col("tag").rlike(PLUMBING) | slug).groupBy("address").agg(F.min_by(plumb, F.struct("n", "tag")).alias("plumb_tag"))
     out = named.join(first, "address", "full")
     contested = F.col("named_tag").isNotNull() & F.col("plumb_tag").isNotNull()
-    vasp = F.col("named_tag").isNotNull() & (~contested | F.lower("named_tag").contains("pool"))
-    return out.select("address", F.when(vasp, F.col("entity")).otherwise(F.coalesce("plumb_tag", "named_tag")).alias("entity"), F.when(vasp, "vasp").otherwise("infrastructure").alias("category"), F.when(F.col("named_tag").rlike(DEPOSIT), "deposit").otherwise("unknown").alias("role"))
+    vasp = F.col("named_tag").isNotNull() & (~contested | F.col("plumb_tag").rlike(POOL))
+    return out.select("address", F.when(vasp, F.col("entity")).otherwise(F.col("plumb_tag")).alias("entity"), F.when(vasp, "vasp").otherwise("infrastructure").alias("category"), F.when(vasp & F.col("named_tag").rlike(DEPOSIT), "deposit").otherwise("unknown").alias("role"))
 
 
 def listed(documents: DataFrame, chain: str) -> DataFrame:
