@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailspark.functions import scalars
-from trailspark.operators import answers, clusters, counterparties as cp, detectors, facts, knowledge, lifecycle
+from trailspark.operators import answers, clusters, counterparties as cp, detectors, facts, knowledge, lifecycle, paths
 from trailspark.operators.components import connected_components
 from trailspark.sources import documents, ledgers
 
@@ -415,6 +415,27 @@ def test_resume_admits_cut_nodes_up_to_the_new_budget(spark):
     assert set(last) == set(states) and "frontier" not in last.values()
 
 
+def test_search_of_links_both_ways(spark):
+    links = [("r", "a", "t1"), ("b", "a", "t2"), ("b", "c", "t3"), ("c", "w", "t4"), ("w", "x", "t5"), ("z", "r", "t6"), ("a", "a", "t7"), ("r", None, "t8"), ("b", "a", "t0"), ("q", "y", "t9"), ("b", "r", "u1")]
+    df = spark.createDataFrame([("k", *x) for x in links] + [("m", "b", "a", "t2"), ("m", "r", "a", "t1")], "case_id string, payer string, payee string, tx_hash string")
+    roots = spark.createDataFrame([("k", "r"), ("k", "r"), ("m", "r"), ("n", "lone"), ("o", None)], "case_id string, root string")
+    walls = spark.createDataFrame([("k", "w"), ("m", "r")], "case_id string, address string")
+    told = lambda f, case: {r["address"]: (r["hops"], r["level"], ",".join(r["path"])) for r in f.where(F.col("case_id") == case).collect()}
+    found = paths.linked_search(df, roots, walls)
+    assert told(found, "k") == {"r": (0, 0, ""), "a": (1, 1, "t1"), "b": (1, -1, "u1"), "z": (1, -1, "t6"), "c": (2, 0, "u1,t3"), "w": (3, 1, "u1,t3,t4")}
+    assert told(found, "m") == {"r": (0, 0, ""), "a": (1, 1, "t1"), "b": (2, 0, "t1,t2")} and told(found, "n") == {"lone": (0, 0, "")}
+    assert "x" in told(paths.linked_search(df, roots), "k") and "c" not in told(paths.linked_search(df, roots, max_levels=1), "k")
+    nodes = spark.createDataFrame([("k", a) for a in "rabzcwy"], "case_id string, address string")
+    assert rows(paths.drawing_levels(nodes, found), "address", "level", "place") == [("a", 1, 1), ("b", -1, 1), ("c", 0, 1), ("r", 0, 2), ("w", 1, 2), ("y", 0, 3), ("z", -1, 2)]
+    assert paths.linked_search(df.limit(0), roots.limit(0)).count() == 0
+
+
+def test_a_long_path_tells_its_first_transactions(spark):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}", f"t{k:02}") for k in range(12)], "payer string, payee string, tx_hash string")
+    last = paths.linked_search(chain, spark.createDataFrame([("k", "n0")], "case_id string, root string")).where("address = 'n12'").first()
+    assert (last["hops"], last["level"], last["path"]) == (12, 12, [f"t{k:02}" for k in range(10)])
+
+
 def test_machine_local_folders_are_for_local_masters():
     from trailspark import runtime
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answers, counterparties as cp, facts, knowledge
+from ..operators import answers, counterparties as cp, facts, knowledge, paths
 from ..runtime import materialize
 from .views import labels, movements, raw_movements, sql, table, utxo_halves
 
@@ -317,6 +317,57 @@ def c13(spark, d):
     return answers.signed_levels(nodes).select("case_id", "address", "level", F.col("place").cast("long").alias("place"))
 
 
+def _search_sql(levels: int, own: bool, walls: bool) -> str:
+    """CTEs of a breadth-first search over both(parent, address, sign, tx_hash), unrolled; f has all that is found."""
+    told = ["f0 AS MATERIALIZED (SELECT DISTINCT case_id, root AS address, 0 AS hops, 0 AS level, CAST([] AS VARCHAR[]) AS path FROM cases)"]
+    for k in range(1, levels + 1):
+        wall = f"AND ({k} = 1 OR NOT EXISTS (SELECT 1 FROM walls w WHERE w.case_id = a.case_id AND w.address = a.address))" if walls else ""
+        told.append(f"""g{k} AS MATERIALIZED (SELECT a.case_id, b.address, {k} AS hops, a.level + b.sign AS level, list_append(a.path, b.tx_hash) AS path FROM f{k - 1} a JOIN both_ways b ON a.address = b.parent {'AND a.case_id = b.case_id' if own else ''}
+WHERE a.hops = {k - 1} {wall} AND NOT EXISTS (SELECT 1 FROM f{k - 1} o WHERE o.case_id = a.case_id AND o.address = b.address) QUALIFY row_number() OVER (PARTITION BY a.case_id, b.address ORDER BY b.parent, b.sign DESC, b.tx_hash) = 1),
+f{k} AS MATERIALIZED (SELECT * FROM f{k - 1} UNION ALL SELECT * FROM g{k})""")
+    return ",\n".join(told)
+
+
+CASE_LINKS = """, ed AS MATERIALIZED (SELECT case_id, direction, parent AS src, address AS dst, tx_hash FROM n1 UNION ALL SELECT case_id, direction, parent, address, tx_hash FROM e2),
+li AS (SELECT case_id, CASE direction WHEN 'backward' THEN dst ELSE src END AS payer, CASE direction WHEN 'backward' THEN src ELSE dst END AS payee, tx_hash FROM ed),
+both_ways AS MATERIALIZED (SELECT case_id, payer AS parent, payee AS address, 1 AS sign, tx_hash FROM li UNION SELECT case_id, payee, payer, -1, tx_hash FROM li),
+walls AS MATERIALIZED (SELECT DISTINCT case_id, st.address FROM st JOIN stop ON st.address = stop.address WHERE state = 'closed' AND stop.reason = 'mixer'), """
+
+
+def _case_search(spark, d) -> tuple[DataFrame, DataFrame]:
+    nodes, edges = traced(spark, d)
+    nodes = materialize(nodes, "nodes")
+    walls = nodes.where("state = 'closed' and reason = 'mixer'").select("case_id", "address")
+    return nodes, paths.linked_search(paths.case_links(edges), cases(spark, d).select("case_id", "root"), walls)
+
+
+@query("c8_linked_paths", TRACE + CASE_LINKS + _search_sql(3, True, True) + " SELECT case_id, address, hops, array_to_string(path, ',') AS path FROM f3")
+def c8l(spark, d):
+    """Shortest paths over all edges of a case, walked both ways; a mixer where a branch was closed ends a path and carries none."""
+    _, found = _case_search(spark, d)
+    return found.select("case_id", "address", F.col("hops").cast("long").alias("hops"), F.array_join("path", ",").alias("path"))
+
+
+@query("c13_case_levels", TRACE + CASE_LINKS + _search_sql(3, True, True) + ", l AS (SELECT n.case_id, n.address, coalesce(f3.level, 0) AS level FROM (SELECT DISTINCT case_id, address FROM nodes) n LEFT JOIN f3 USING (case_id, address)) SELECT *, row_number() OVER (PARTITION BY case_id, level ORDER BY address) AS place FROM l")
+def c13l(spark, d):
+    """Drawing levels of every case by the same search: recipients above zero, funders below, turns counted back."""
+    nodes, found = _case_search(spark, d)
+    return paths.drawing_levels(nodes, found).select("case_id", "address", F.col("level").cast("long").alias("level"), F.col("place").cast("long").alias("place"))
+
+
+#: Links from a root that the search over the whole ledger goes.
+LEDGER_LEVELS = 3
+
+
+@query("c13_ledger_levels", CASES + """, li AS (SELECT from_addr AS payer, to_addr AS payee, min(tx_hash) AS tx_hash FROM mv WHERE from_addr <> to_addr GROUP BY ALL),
+both_ways AS MATERIALIZED (SELECT payer AS parent, payee AS address, 1 AS sign, tx_hash FROM li UNION ALL SELECT payee, payer, -1, tx_hash FROM li), """ + _search_sql(LEDGER_LEVELS, False, False) + f" SELECT case_id, address, hops, level, array_to_string(path, ',') AS path FROM f{LEDGER_LEVELS}")
+def c13g(spark, d):
+    """Addresses within three links of each case's root over the whole ledger, most of them reached by turning round; hops, level, path."""
+    links = movements(spark, d).select(F.col("from_addr").alias("payer"), F.col("to_addr").alias("payee"), "tx_hash")
+    found = paths.linked_search(links, cases(spark, d).select("case_id", "root"), max_levels=LEDGER_LEVELS)
+    return found.select("case_id", "address", F.col("hops").cast("long").alias("hops"), F.col("level").cast("long").alias("level"), F.array_join("path", ",").alias("path"))
+
+
 # ---------------------------------------------------------------- knowledge
 ENDS = "ends AS (SELECT DISTINCT to_addr AS address FROM mv UNION SELECT from_addr FROM mv)"
 
