@@ -209,21 +209,21 @@ def traced(spark: SparkSession, d: str, depth: int = 2) -> tuple[DataFrame, Data
 
 TRACE = CASES + """,
 dirs AS (SELECT *, unnest(['backward', 'forward']) AS direction FROM cases),
-stop AS (SELECT address, min(category) AS reason FROM lab WHERE status = 'active' AND category IN ('mixer', 'vasp') GROUP BY address),
-bt AS (SELECT 'backward' AS direction, to_addr AS focus, from_addr AS cp, * FROM mv UNION ALL SELECT 'forward', from_addr, to_addr, * FROM mv),
-par AS (SELECT direction, focus, cp, CAST(sum(CASE WHEN verified THEN amount ELSE 0 END) AS BIGINT) AS value,
+stop AS MATERIALIZED (SELECT address, min(category) AS reason FROM lab WHERE status = 'active' AND category IN ('mixer', 'vasp') GROUP BY address),
+bt AS MATERIALIZED (SELECT 'backward' AS direction, to_addr AS focus, from_addr AS cp, * FROM mv UNION ALL SELECT 'forward', from_addr, to_addr, * FROM mv),
+par AS MATERIALIZED (SELECT direction, focus, cp, CAST(sum(CASE WHEN verified THEN amount ELSE 0 END) AS BIGINT) AS value,
           arg_max(tx_hash, {'a': amount, 't': ts, 'h': tx_hash, 'i': idx}) AS tx_hash FROM bt WHERE focus <> cp GROUP BY ALL),
-rk AS (SELECT *, row_number() OVER (PARTITION BY direction, focus ORDER BY value DESC, cp) AS rank, count(*) OVER (PARTITION BY direction, focus) AS n FROM par),
-n1 AS (SELECT d.case_id, d.direction, rk.cp AS address, 1 AS hop, rk.value, d.root AS parent, rk.tx_hash FROM dirs d JOIN rk ON rk.direction = d.direction AND rk.focus = d.root),
-o1 AS (SELECT n1.* FROM n1 LEFT JOIN stop USING (address) WHERE stop.reason IS NULL),
-e2 AS (SELECT o1.case_id, o1.direction, o1.address AS parent, o1.value AS pv, rk.cp AS address, rk.value, rk.tx_hash, CASE WHEN rk.n > 15 THEN rk.n - 6 ELSE 0 END AS dropped
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY direction, focus ORDER BY value DESC, cp) AS rank, count(*) OVER (PARTITION BY direction, focus) AS n FROM par),
+n1 AS MATERIALIZED (SELECT d.case_id, d.direction, rk.cp AS address, 1 AS hop, rk.value, d.root AS parent, rk.tx_hash FROM dirs d JOIN rk ON rk.direction = d.direction AND rk.focus = d.root),
+o1 AS MATERIALIZED (SELECT n1.* FROM n1 LEFT JOIN stop USING (address) WHERE stop.reason IS NULL),
+e2 AS MATERIALIZED (SELECT o1.case_id, o1.direction, o1.address AS parent, o1.value AS pv, rk.cp AS address, rk.value, rk.tx_hash, CASE WHEN rk.n > 15 THEN rk.n - 6 ELSE 0 END AS dropped
        FROM o1 JOIN rk ON rk.direction = o1.direction AND rk.focus = o1.address WHERE rk.n <= 15 OR rk.rank <= 6),
-n2 AS (SELECT case_id, direction, address, 2 AS hop, value, parent, tx_hash FROM e2
+n2 AS MATERIALIZED (SELECT case_id, direction, address, 2 AS hop, value, parent, tx_hash FROM e2
        WHERE NOT EXISTS (SELECT 1 FROM n1 WHERE n1.case_id = e2.case_id AND n1.direction = e2.direction AND n1.address = e2.address)
          AND NOT EXISTS (SELECT 1 FROM dirs WHERE dirs.case_id = e2.case_id AND dirs.root = e2.address)
        QUALIFY row_number() OVER (PARTITION BY case_id, direction, address ORDER BY pv DESC, parent) = 1),
-nodes AS (SELECT case_id, direction, root AS address, 0 AS hop, NULL::BIGINT AS value, NULL::VARCHAR AS parent, NULL::VARCHAR AS tx_hash FROM dirs UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2),
-st AS (SELECT nodes.*, CASE WHEN hop > 0 AND reason IS NOT NULL THEN 'closed' WHEN hop = 2 THEN 'depth_horizon' ELSE 'expanded' END AS state FROM nodes LEFT JOIN stop USING (address))"""
+nodes AS MATERIALIZED (SELECT case_id, direction, root AS address, 0 AS hop, NULL::BIGINT AS value, NULL::VARCHAR AS parent, NULL::VARCHAR AS tx_hash FROM dirs UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2),
+st AS MATERIALIZED (SELECT nodes.*, CASE WHEN hop > 0 AND reason IS NOT NULL THEN 'closed' WHEN hop = 2 THEN 'depth_horizon' ELSE 'expanded' END AS state FROM nodes LEFT JOIN stop USING (address))"""
 
 
 @query("c4_trace", TRACE + " SELECT case_id, direction, address, hop, value, parent, tx_hash, state FROM st")

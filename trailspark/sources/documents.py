@@ -27,13 +27,17 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def newest_drops(documents: DataFrame) -> DataFrame:
-    """The newest document of each source from names ``<source>__<YYYY-MM-DD>.<ext>``; ties go to the later name."""
+    """The newest document of each source from names ``<source>__<YYYY-MM-DD>.<ext>``; ties go to the later name, then path.
+
+    A few sources may hold most documents: what is newest combines before the shuffle. Other names have no source.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     found = r"^(.+)__(\d{4}-\d{2}-\d{2})\.([A-Za-z0-9]+)$"
     d = documents.withColumn("name", name).where(F.col("name").rlike(found))
     d = d.withColumn("source", F.regexp_extract("name", found, 1)).withColumn("dropped_on", F.regexp_extract("name", found, 2).try_cast("date")).withColumn("media", F.lower(F.regexp_extract("name", found, 3)))
-    w = Window.partitionBy("source").orderBy(F.desc("dropped_on"), F.desc("name"))
-    return d.where("dropped_on is not null").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    d = d.where("dropped_on is not null")
+    newest = d.groupBy("source").agg(F.max_by(F.struct(*d.columns), F.struct("dropped_on", "name", "path")).alias("x"))
+    return newest.select("x.*")
 
 
 PARSERS = {"json": "pack", "csv": "reserves", "xml": "sanctions", "html": "island", "txt": "list"}
