@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 NAMES = (
     "counterparties b1_first_write b2_new_addresses b6_comparable_window c1_utxo_recipients c3_supernode_cap c4_trace d1_attribution d8_usd_value g3_peel_chain g5_fan_in h10_exit_ladder "
-    "f5_reconcile a1_utxo_movements a6_receipt_logs a8_balance_deltas e1_labelpacks e3_quoted_reserves e4_sanctions e4_shapes e6_tag_claims e6_contested_tags c13_ledger_levels j2_answers j15_address_summary"
+    "f5_reconcile a1_utxo_movements a6_receipt_logs a8_balance_deltas e1_labelpacks e3_quoted_reserves e4_sanctions e4_shapes e6_tag_claims e6_contested_tags c13_ledger_levels c6_pursuit_stops h12_stamped_findings j2_answers j15_address_summary"
 ).split()
 
 

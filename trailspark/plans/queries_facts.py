@@ -207,13 +207,14 @@ def traced(spark: SparkSession, d: str, depth: int = 2) -> tuple[DataFrame, Data
     return cp.trace(c, materialize(movements(spark, d), "movements"), closed_by(labels(spark, d)), depth, 15, 6)
 
 
-TRACE = CASES + """,
+RANKED = CASES + """,
 dirs AS (SELECT *, unnest(['backward', 'forward']) AS direction FROM cases),
 stop AS MATERIALIZED (SELECT address, min(category) AS reason FROM lab WHERE status = 'active' AND category IN ('mixer', 'vasp') GROUP BY address),
 bt AS MATERIALIZED (SELECT 'backward' AS direction, to_addr AS focus, from_addr AS cp, * FROM mv UNION ALL SELECT 'forward', from_addr, to_addr, * FROM mv),
 par AS MATERIALIZED (SELECT direction, focus, cp, CAST(sum(CASE WHEN verified THEN amount ELSE 0 END) AS BIGINT) AS value,
           arg_max(tx_hash, {'a': amount, 't': ts, 'h': tx_hash, 'i': idx}) AS tx_hash FROM bt WHERE focus <> cp GROUP BY ALL),
-rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY direction, focus ORDER BY value DESC, cp) AS rank, count(*) OVER (PARTITION BY direction, focus) AS n FROM par),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY direction, focus ORDER BY value DESC, cp) AS rank, count(*) OVER (PARTITION BY direction, focus) AS n FROM par)"""
+TRACE = RANKED + """,
 n1 AS MATERIALIZED (SELECT d.case_id, d.direction, rk.cp AS address, 1 AS hop, rk.value, d.root AS parent, rk.tx_hash FROM dirs d JOIN rk ON rk.direction = d.direction AND rk.focus = d.root),
 o1 AS MATERIALIZED (SELECT n1.* FROM n1 LEFT JOIN stop USING (address) WHERE stop.reason IS NULL),
 e2 AS MATERIALIZED (SELECT o1.case_id, o1.direction, o1.address AS parent, o1.value AS pv, rk.cp AS address, rk.value, rk.tx_hash, CASE WHEN rk.n > 15 THEN rk.n - 6 ELSE 0 END AS dropped
