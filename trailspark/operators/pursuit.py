@@ -166,12 +166,13 @@ class _Run:
             party = anchor.select("chain", "party").distinct()
             # the ladder asks movements for dealings of the anchors' parties alone
             ends = [self.movements.join(party.withColumnRenamed("party", c), ["chain", c], "left_semi").select("chain", "from_addr", "to_addr") for c in ("from_addr", "to_addr")]
-            ladder = mixers.exits(ends[0].unionByName(ends[1]), self.events, anchor, d, days, follow)
+            ladder = mixers.exits(materialize(ends[0].unionByName(ends[1]), "pursuit-dealings"), self.events, anchor, d, days, follow)
             w = Window.partitionBy("chain", "mixer", "party").orderBy(F.desc("confidence"), "far")
             ladder = ladder.withColumn("_p", F.row_number().over(w)).where(F.col("_p") <= follow)
             part = came.join(ladder, ["chain", "mixer", "party"]).select(*KEY, F.col("far").alias("address"), (F.col("hop") + 1).alias("hop"), F.col("far_amount").alias("value"), F.col("mixer").alias("parent"), F.col("far_tx").alias("tx_hash"), F.element_at(names, F.col("rung")).alias("basis"), "_pv", F.lit(True).alias("_crossing"))
+            # one ladder a job: the plan of both together is what the driver holds most of
+            part = materialize(part, "pursuit-crossed")
             out = part if out is None else out.unionByName(part)
-        out = materialize(out, "pursuit-crossed")
         known = self.nodes().where("basis is null").select(*KEY, "address")
         roots = self.roots.select("case_id", "chain", "address").distinct()
         # no edge of a guess leads to an address that value reached, or to the root
