@@ -1,5 +1,6 @@
 """Micro-ledgers, one a rule, with expected rows written by hand."""
 
+import json
 import os
 import random
 from decimal import Decimal
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from trailspark.functions import scalars
 from trailspark.operators import answers, clusters, counterparties as cp, detectors, facts, knowledge, lifecycle, paths
 from trailspark.operators.components import connected_components
+from trailspark.plans import queries_ingest
 from trailspark.sources import documents, ledgers
 
 MV = "chain string, tx_hash string, dedup_key string, idx int, kind string, asset string, verified boolean, amount decimal(38,0), amount_str string, from_addr string, to_addr string, ts timestamp, gas_price decimal(38,0)"
@@ -440,3 +442,31 @@ def test_machine_local_folders_are_for_local_masters():
     from trailspark import runtime
 
     assert [runtime.is_local(m) for m in ("local", "local[4]", "local[*]", "local-cluster[2,1,1024]", "yarn", "spark://x:7077")] == [True, True, True, False, False, False]
+
+
+def test_made_documents_do_not_grow_with_the_table(spark, tmp_path):
+    for name in ("orders", "supplier", "nation"):
+        os.symlink(f"/root/testdata/sf0.001/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.range(120_000).selectExpr("id AS c_custkey", "CAST(id % 25 AS int) AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    for made in (queries_ingest.pack_documents, queries_ingest.reserve_tables):
+        sizes = made(spark, str(tmp_path)).selectExpr("max(length(content)) AS most", "count(*) AS n").first()
+        assert sizes["most"] < 150_000 and sizes["n"] > 25
+
+
+def test_no_document_is_parsed_once_a_row(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    texts = spark.createDataFrame([("p", "")], "path string, content string")
+    packs = plan(documents.labelpacks(texts)[0])
+    assert not any("from_json" in body.split(", lambda ")[0] for body in packs.split("lambdafunction(")[1:])
+    tables = plan(documents.reserves(texts, "E", "s", "2024-01-01")[0])
+    assert tables.index("Generate explode") < tables.index("AS names")
+
+
+def test_pack_confidence_counts_with_its_default(spark):
+    pack = lambda own, given: json.dumps({"source": "s", "method": "m", "source_date": "2024-01-01", **given, "labels": [{"chain": "c", "address": "a", **x} for x in own]})
+    c = lambda x: {"confidence": x}
+    given = {"default_confidence": 0.5}
+    told = {"good": pack([c(0.2), {}], given), "no default": pack([c(0.2), {}], {}), "unused": pack([c(0.2)], {"default_confidence": 1.5}), "low": pack([c(0), {}], given), "high": pack([{}, c(1)], given), "bad default": pack([{}], {"default_confidence": 0}), "none": pack([], {})}
+    claims, refused = documents.labelpacks(spark.createDataFrame(list(told.items()), "path string, content string"))
+    assert rows(claims, "path", "confidence") == [("good", 0.2), ("good", 0.5), ("unused", 0.2)]
+    assert sorted(r["path"] for r in refused.collect()) == ["bad default", "high", "low", "no default"]

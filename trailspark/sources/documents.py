@@ -60,16 +60,20 @@ def labelpacks(documents: DataFrame, specs: DataFrame | None = None) -> tuple[Da
     Unknown roles become ``unknown``; categories no rule acts on are kept.
     """
     d = documents.withColumn("p", F.from_json("content", PACK))
-    bad = F.exists("p.labels", lambda x: (F.coalesce(x["confidence"], F.col("p.default_confidence")) <= 0) | (F.coalesce(x["confidence"], F.col("p.default_confidence")) >= 1) | F.coalesce(x["confidence"], F.col("p.default_confidence")).isNull())
+    # no lambda reads ``p``: Spark would parse the text again for every claim of it
+    own, given = F.col("p.labels.confidence"), F.col("p.default_confidence")
+    out = lambda c: (c <= 0) | (c >= 1)
+    bad = F.exists(own, out) | (F.exists(own, lambda c: c.isNull()) & (given.isNull() | out(given)))
     rules = {"unreadable": F.col("p").isNull() | F.col("p.labels").isNull(), "source": F.col("p.source").isNull(), "date": F.col("p.source_date").try_cast("date").isNull(), "confidence": F.coalesce(bad, F.lit(False))}
     if specs is not None:
         s = specs.select(F.col("source").alias("_s"), F.col("method").alias("_m")).distinct()
         d = d.join(s, F.col("p.source") == F.col("_s"), "left")
         rules["spec"] = F.col("_s").isNull() | (F.col("_m") != F.col("p.method"))
     d = _refusals(d, rules)
-    rows = d.where("size(reasons) = 0").select("path", "p", F.explode("p.labels").alias("l"))
+    told = ["p.method", "p.source", "p.source_date", "p.default_confidence"]
+    rows = d.where("size(reasons) = 0").select("path", *told, F.explode("p.labels").alias("l"))
     role = F.when(F.col("l.role").isin(*ROLES), F.col("l.role")).otherwise("unknown")
-    claims = rows.select("path", "l.chain", "l.address", "l.entity", "l.category", role.alias("role"), F.coalesce("l.confidence", "p.default_confidence").alias("confidence"), F.coalesce("p.method", F.lit("unknown")).alias("method"), "p.source", F.col("p.source_date").cast("date").alias("source_date"))
+    claims = rows.select("path", "l.chain", "l.address", "l.entity", "l.category", role.alias("role"), F.coalesce("l.confidence", "default_confidence").alias("confidence"), F.coalesce("method", F.lit("unknown")).alias("method"), "source", F.col("source_date").cast("date").alias("source_date"))
     return claims, d.where("size(reasons) > 0").select("path", "reasons")
 
 
