@@ -108,7 +108,9 @@ def reserves(documents: DataFrame, entity: str, source: str, source_date: str) -
     records = F.regexp_extract_all(table_text, F.lit(f"(?md)^{_CELL}(?:,{_CELL})*+$"), F.lit(0))
     cells = lambda r: F.transform(F.regexp_extract_all(F.concat(F.lit(","), r), F.lit(f",{_CELL}"), F.lit(0)), lambda c: F.trim(_cell(c)))
     d = d.where("at > 0").select("path", F.filter(records, lambda r: r != "").alias("records"))
-    d = d.select("path", F.reverse(F.transform(cells(F.get("records", F.lit(0))), F.lower)).alias("names"), F.explode(F.slice("records", F.lit(2), F.greatest(F.size("records"), F.lit(1)))).alias("r"))
+    # names are read before rows are taken apart: what is told beside a generator is told for every row, from the whole table
+    d = d.select("path", "records", F.reverse(F.transform(cells(F.get("records", F.lit(0))), F.lower)).alias("names"))
+    d = d.select("path", "names", F.explode(F.slice("records", F.lit(2), F.greatest(F.size("records"), F.lit(1)))).alias("r"))
     d = d.withColumn("cells", cells(F.col("r")))
     at = lambda c: F.when(F.array_contains("names", c), F.get("cells", F.size("names") - F.array_position("names", F.lit(c)).cast("int")))
     rows = d.select("path", F.upper(at("network")).alias("network"), F.nullif(at("address"), F.lit("")).alias("address"))
