@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from trailspark import runtime
 from trailspark.functions import scalars
 from trailspark.operators import answers, clusters, counterparties as cp, detectors, facts, knowledge, lifecycle, paths
 from trailspark.operators.components import connected_components
@@ -470,3 +471,12 @@ def test_pack_confidence_counts_with_its_default(spark):
     claims, refused = documents.labelpacks(spark.createDataFrame(list(told.items()), "path string, content string"))
     assert rows(claims, "path", "confidence") == [("good", 0.2), ("good", 0.5), ("unused", 0.2)]
     assert sorted(r["path"] for r in refused.collect()) == ["bad default", "high", "low", "no default"]
+
+
+def test_shuffles_start_with_more_partitions_for_more_rows(spark):
+    key, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size, None)
+    for rows_, parts in ((10_000_000, "50"), (100_000_000, "500"), (600_000, None)):
+        runtime.fit_partitions(spark, rows_)
+        assert spark.conf.get(key, None) == parts
+    assert spark.conf.get(size, None) == before
