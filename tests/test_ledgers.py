@@ -480,3 +480,31 @@ def test_shuffles_start_with_more_partitions_for_more_rows(spark):
         runtime.fit_partitions(spark, rows_)
         assert spark.conf.get(key, None) == parts
     assert spark.conf.get(size, None) == before
+
+
+def test_nodes_alone_are_those_of_the_whole_trace(spark):
+    rng = random.Random(8)
+    df = ledger(spark, *[move(str(k), f"a{rng.randrange(60)}", f"a{rng.randrange(60)}", rng.randrange(1, 99)) for k in range(400)])
+    cases = spark.createDataFrame([(f"k{k}", "c", f"a{k}", d) for k in range(6) for d in ("backward", "forward")], "case_id string, chain string, root string, direction string")
+    closed = spark.createDataFrame([("c", "a20", "vasp"), ("c", "a1", "mixer")], "chain string, address string, reason string")
+    whole, edges = cp.trace(cases, df, closed, 3, 8, 4)
+    alone, none = cp.trace(cases, df, closed, 3, 8, 4, nodes_only=True)
+    assert rows(alone, *map(F.col, whole.columns)) == rows(whole, *map(F.col, whole.columns)) and alone.where("dropped > 0").count()
+    assert none.count() == 0 < edges.count()
+
+
+def test_stored_movements_are_shuffled_once(spark, tmp_path):
+    from trailspark.plans import views
+
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame([(1, 2, 3, k % 2, 1.0, 10.0 + k, 0.1, "N", "O", pd.Timestamp("2024-01-01").to_pydatetime()) for k in range(4)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in range(5)], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        mv = views.movements(spark, str(tmp_path))
+        # one for lines and one for orders, none for the first write
+        assert mv._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 2
+        assert rows(mv, "tx_hash", "idx", "amount", "from_addr") == [("T1", 0, Decimal(1000), "A1"), ("T1", 1, Decimal(1100), "A1")]
+    finally:
+        spark.conf.set(key, before)
