@@ -508,3 +508,49 @@ def test_stored_movements_are_shuffled_once(spark, tmp_path):
         assert rows(mv, "tx_hash", "idx", "amount", "from_addr") == [("T1", 0, Decimal(1000), "A1"), ("T1", 1, Decimal(1100), "A1")]
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_second_value_is_summed_beside_the_first(spark):
+    df = ledger(spark, move("1", "a", "root", 10, asset="X", verified=False), move("2", "b", "root", 7), move("3", "b", "root", 1, verified=False))
+    got = cp.counterparties(df, "backward", more=[F.try_sum("amount").alias("all_value")])
+    assert rows(got, "counterparty", "value", "all_value", "largest_tx", "largest_amount") == [("a", Decimal(0), Decimal(10), "1", "10"), ("b", Decimal(7), Decimal(8), "2", "7")]
+
+
+def test_mixer_activity_shuffles_no_movement_to_meet_few_mixers(spark):
+    from trailspark.operators import mixers
+
+    df = ledger(spark, move("1", "a", "mix", 10), move("2", "mix", "b", 7), move("3", "mix", "mix2", 5), move("4", "a", "b", 3))
+    few = spark.createDataFrame([("c", "mix"), ("c", "mix2"), ("c", "mix")], "chain string, address string")
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        got = mixers.activity(df, few)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert rows(got, "mixer", "party", "side") == [("mix", "a", "deposit"), ("mix", "b", "withdrawal")]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_edges_of_components_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        made.add(1)
+        return x
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 5), (7, 8)], "src long, dst long").repartition(1).select(F.udf(told, "long")("src").alias("src"), "dst")
+    assert rows(connected_components(edges), "node", "component") == [(1, 1), (2, 1), (3, 1), (5, 5), (7, 7), (8, 7)]
+    assert made.value <= 8  # a filter may read the column once more, the job runs once
+
+
+def test_movements_are_made_once_a_query(spark, monkeypatch):
+    from trailspark.plans import queries_facts, queries_rules
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("the driver's tables are not here")
+    asked, real = [], queries_facts.movements
+    for module in (queries_facts, queries_rules):
+        monkeypatch.setattr(module, "movements", lambda *a: asked.append(1) or real(*a))
+    queries_rules.stamped(spark, d)
+    assert len(asked) == 1

@@ -179,3 +179,13 @@ def test_empty_tables(spark):
     assert got.nodes.count() == got.edges.count() == got.stops.count() == 0
     got = pursuit.pursue(spark.createDataFrame([("k", "c", "r", "forward")] * 2, CASES), df, none)
     assert rows(got.nodes, "address", "state") == [("r", "expanded")] and rows(got.stops, "stop") == [("completed",)]
+
+
+def test_movements_with_both_ends_are_not_written_again(spark, monkeypatch):
+    written, real = [], pursuit.materialize
+    monkeypatch.setattr(pursuit, "materialize", lambda df, name, *a: written.append(name) or real(df, name, *a))
+    cases = spark.createDataFrame([("k", "c", "r", "forward")], "case_id string, chain string, root string, direction string")
+    df = spark.createDataFrame([("c", "1", 0, "N", True, Decimal(5), "5", "r", "a", None, None)], "chain string, tx_hash string, idx int, asset string, verified boolean, amount decimal(38,0), amount_str string, from_addr string, to_addr string, ts timestamp, gas_price decimal(38,0)")
+    got = pursuit.pursue(cases, df, spark.createDataFrame([], "chain string, address string, reason string"), 2)
+    assert sorted(r["address"] for r in got.nodes.collect()) == ["a", "r"]
+    assert not {"pursuit-backward", "pursuit-forward"} & set(written)
