@@ -18,7 +18,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     are harmless; null ends are dropped; a table without edges has no nodes.
     """
     start = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    now = materialize(start.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    # written with its self-loops, so that what made the edges runs once
+    kept = materialize(start.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = kept.where("a <> b")
     before = None
     for _ in range(most_rounds):
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -31,7 +33,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError(f"components are not found after {most_rounds} rounds")
     below = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = now.select(F.col("b").alias("node")).distinct().join(below.select("node"), "node", "left_anti")
-    alone = start.where("a = b").select(F.col("a").alias("node")).distinct()
+    alone = kept.where("a = b").select(F.col("a").alias("node"))
     found = below.unionByName(roots.withColumn("component", F.col("node")))
     return found.unionByName(alone.join(found.select("node"), "node", "left_anti").withColumn("component", F.col("node")))
 
