@@ -339,6 +339,23 @@ def test_frequent_shingles_are_those_of_an_exact_count(spark, monkeypatch):
     assert len(few) <= 40 and set(few) <= set(got)
 
 
+def test_a_shard_tells_a_bucket_once_and_buckets_of_a_family_name_one_leader(spark):
+    # key 1: documents 0 and 1; keys 2 and 3: 0, 1 and 2; key 4: 1, 2 and 3; key 5: 3 alone; key 6: 1 twice
+    entries = [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3), (5, 3), (6, 1), (6, 1)]
+    keys, places = (np.array(x, dtype=np.uint64) for x in zip(*entries))
+    blob = jaccard_join._low_bytes(keys, jaccard_join.KEY_BITS // 8) + places.astype("<u2").tobytes()
+    got = jaccard_join._shard_rows(pa.table({"shard": [0], "base": [100], "blob": [blob]})).to_pylist()
+    assert [(r["a"], r["b"]) for r in got if r["kind"] == 1] == [(100, 101)]
+    large = collections.defaultdict(list)
+    for r in got:
+        if r["kind"] == 2:
+            large[r["a"]].append(r["b"])
+    assert sorted(large.values()) == [[100, 101, 102], [101, 102, 103]] and len(got) == 7
+    members = spark.createDataFrame([(b, x, 1) for b, c in large.items() for x in c], "bucket long, node long, told long")
+    # 101 and 102 share as much; the smaller leads both buckets
+    same([tuple(r) for r in jaccard_join._with_leaders(members).where("u <> v").collect()], [(101, 100), (101, 102), (101, 102), (101, 103)])
+
+
 def test_a_shard_count_is_sane_at_every_size():
     assert [jaccard_join._bits(n) for n in (0, 1, 10**9, 10**13, 10**16)] == [3, 3, 10, 24, 24]
 

@@ -24,8 +24,10 @@ Two refinements keep candidates few without losing a link:
   that share it are left out too, which is as right. If more than MOST_FREQUENT are frequent,
   the most frequent are taken: buckets are larger then, and no link is lost.
 
-A bucket (signature) of m documents yields m - 1 pairs with its first document; only documents
-of a bucket that verified links leave in different components are compared with each other.
+A bucket (signature) of m documents yields m - 1 pairs with one of them, its leader: the one that
+shares most over all buckets, so that the buckets of a family name the same pairs. A shard tells
+buckets of two as pairs and larger ones by their members alone. Only documents of a bucket that
+verified links leave in different components are compared with each other.
 Before shingles are, sketches are: counts of features by range of the hash domain. The sum
 of their differences is at most the number of differing features, so a pair that exceeds the
 bound is no link.
@@ -453,7 +455,7 @@ def _bucketed(table: pa.Table) -> pa.Table:
 
 
 def _shard_rows(table: pa.Table) -> pa.Table:
-    """What a shard says: its documents (kind 0), pairs with the first of a bucket (1), members of buckets of three and more (2)."""
+    """What a shard says: its documents (kind 0), buckets of two (1), members of buckets of three and more (2)."""
     shard = table.column("shard")[0].as_py()
     if shard < 0:
         rows = [[], [], [], [], [], [], []]
@@ -481,12 +483,8 @@ def _shard_rows(table: pa.Table) -> pa.Table:
     key, uid = key[fresh], uid[fresh]
     first = _runs(key)
     size = np.diff(np.concatenate((first, [len(key)])))
-    # the document that shares most with others leads its buckets: it is likeliest to link to them
-    names, slot = np.unique(uid, return_inverse=True)
-    shared = np.bincount(slot, weights=np.repeat(size, size), minlength=len(names)) if len(key) else np.empty(0)
-    best = np.lexsort((uid, -shared[slot], np.repeat(np.arange(len(first)), size))) if len(key) else first
-    lead = np.repeat(uid[best[first]], size) if len(key) else uid
-    pairs = np.unique(np.stack((lead, uid), axis=1)[lead != uid], axis=0)
+    two = first[size == 2]
+    pairs = np.unique(np.stack((uid[two], uid[two + 1]), axis=1), axis=0)
     # buckets with the same members say the same: one of them is told
     marks = np.add.reduceat(_mix(uid.view(np.uint64)), first) if len(key) else np.empty(0, np.uint64)
     large = np.flatnonzero(size >= 3)
@@ -619,16 +617,18 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     to_node = materialize(named, "nodes")
     sketches = found.where("kind = 0 and sketch is not null").select(F.col("a").alias("node"), "n", "sketch")
 
+    # how many shards tell a bucket of these members counts for its leader
+    members = found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("uid")).join(to_node, "uid")
+    members = materialize(members.groupBy("bucket", "node").agg(F.count("*").alias("told")), "members")
     raw = found.where("kind = 1").select(F.col("a").alias("p"), F.col("b").alias("q")).distinct()
     left, right = to_node.select(F.col("uid").alias("p"), F.col("node").alias("u")), to_node.select(F.col("uid").alias("q"), F.col("node").alias("v"))
-    pairs = raw.join(left, "p").join(right, "q").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = raw.join(left, "p").join(right, "q").select("u", "v").unionByName(_with_leaders(members)).where("u <> v")
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = materialize(_near(pairs, sketches, percent), "pairs")
     links = _links(pairs, docs, nodes, words, percent)
 
     # buckets whose members are still apart: their members are compared across components
     home = materialize(connected_components(links, "u", "v"), "components")
-    members = found.where("kind = 2").select(F.col("a").alias("bucket"), F.col("b").alias("uid")).join(to_node, "uid").select("bucket", "node").distinct()
-    members = materialize(members, "members")
     tried, cut = pairs, None
     for most in (NEAREST, None):
         now = members.join(home, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -661,6 +661,18 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     return nodes.join(final, ["h1", "h2"], "left").select("uid", "id", "n", "mark", "component_id", "component")
 
 
+def _with_leaders(members: DataFrame) -> DataFrame:
+    """(u, v): the leader of each bucket and each member of it.
+
+    The document that shares most with others over all buckets leads: it is likeliest to link to them.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    shared = members.join(sizes, "bucket").groupBy("node").agg(F.sum(F.col("told") * F.col("size")).alias("shared"))
+    first = F.max(F.struct("shared", (-F.col("node")).alias("minus")))
+    leaders = members.join(shared, "node").groupBy("bucket").agg((-first["minus"]).alias("u"))
+    return members.join(leaders, "bucket").select("u", F.col("node").alias("v"))
+
+
 def _still_apart(pairs: DataFrame, home: DataFrame) -> DataFrame:
     """The pairs (u, v, ...) whose ends lie in different components, named home_u and home_v; a node without links is its own."""
     for c in ("u", "v"):
