@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -210,6 +211,22 @@ def test_language_id_learns_and_rejects(spark):
         langid.BLOCK = langid_block
 
 
+def test_language_training_holds_its_table_once(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(("der und die", "the of and")[k % 2].split()) for _ in range(30)), ("de", "en")[k % 2]) for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    table = 4 * langid.BUCKETS * langid.labelled_sample(df, "doc_id", "text", "lang").count()
+    tracemalloc.start()
+    try:
+        assert langid.train(df, epochs=1).langs == ["de", "en"]
+        assert tracemalloc.get_traced_memory()[1] < 2.5 * table
+    finally:
+        tracemalloc.stop()
+        df.unpersist()
+    for c in (np.zeros(langid.BUCKETS, np.int64), np.arange(langid.BUCKETS) * 20):
+        assert (langid.unpacked(langid.packed(c)) == c).all()
+
+
 # ---------------------------------------------------------------- 6
 def test_warc_round_trip_and_index(spark):
     big = "<p>" + "y" * 1200

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import crc32_of_id
+from .memory import give_back
 
 #: Buckets of the n-gram hash and length of an embedding.
 BUCKETS, WIDTH = 4096, 16
@@ -66,6 +67,19 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
+def packed(c: np.ndarray) -> bytes:
+    """Counts that are not 0: their places as 16-bit integers, then the counts as 32-bit ones."""
+    at = np.flatnonzero(c)
+    return at.astype("<u2").tobytes() + c[at].astype("<u4").tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    """All counts, as 32-bit integers."""
+    out, n = np.zeros(BUCKETS, dtype="<u4"), len(b) // 6
+    out[np.frombuffer(b, dtype="<u2", count=n)] = np.frombuffer(b, dtype="<u4", offset=2 * n)
+    return out
+
+
 @dataclass
 class Model:
     """Languages, class weights by bucket (embeddings times softmax), bias, temperature, threshold."""
@@ -90,7 +104,7 @@ def hash_bound(want: float, rows: int) -> int:
 
 
 def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, counts binary, fold): about ``rows`` labelled rows, even over languages, by a hash of the id.
+    """(lang, counts binary as of :func:`packed`, fold): about ``rows`` labelled rows, even over languages, by a hash of the id.
 
     Each language gives every row or a share of its rows; the share follows from its count and is
     a bound on a 64-bit hash, so the sample stays near its bound, and never empty, at any table size.
@@ -109,7 +123,7 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, ro
 
     def run(frames):
         for pdf in frames:
-            c = [counts(t).astype("<u4").tobytes() for t in pdf["t"]]
+            c = [packed(counts(t)) for t in pdf["t"]]
             yield pd.DataFrame({"lang": pdf["lang"], "counts": c, "fold": pdf["fold"]})
 
     return usable.where(pick).select("lang", "t", F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(11)), F.lit(5)).cast("int").alias("fold")).mapInPandas(run, "lang string, counts binary, fold int")
@@ -117,23 +131,31 @@ def labelled_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, ro
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", epochs: int = 30, seed: int = 5) -> Model | None:
     """A model from a bounded sample of the training rows (crc32 of the id not 0 modulo 5); None without labels."""
-    got = labelled_sample(df, id_col, text_col, lang_col).toPandas()
-    if got.empty or got["counts"].isna().all():
+    got = [tuple(r) for r in labelled_sample(df, id_col, text_col, lang_col).collect()]
+    if not got or all(c is None for _, c, _ in got):
         return None
-    got = got.sort_values(["lang", "fold", "counts"], kind="stable").reset_index(drop=True)
-    langs = sorted(got["lang"].unique())
-    x = np.vstack([np.frombuffer(c, dtype="<u4") for c in got["counts"]]).astype(np.float32)
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    y = got["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()
-    aside = got["fold"].to_numpy() == 0
+    got.sort(key=lambda r: (r[0], r[2], unpacked(r[1]).tobytes()))
+    langs = sorted({r[0] for r in got})
+    aside = np.array([r[2] == 0 for r in got])
     if aside.all() or not aside.any():
-        aside = np.zeros(len(y), dtype=bool)
+        aside = np.zeros(len(got), dtype=bool)
+    # rows that train come first, so that neither part of the table is copied; the driver holds it once
+    got = [got[i] for i in np.argsort(aside, kind="stable")]
+    n = len(got) - int(aside.sum())
+    x = np.empty((len(got), BUCKETS), dtype=np.float32)
+    for row, (_, c, _) in zip(x, got):
+        row[:] = unpacked(c)
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+    y = np.array([langs.index(r[0]) for r in got])
+    del got
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 1 / np.sqrt(WIDTH), (BUCKETS, WIDTH)).astype(np.float32)
     w, bias = np.zeros((WIDTH, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     # buckets of high frequency dominate an average, so steps are scaled by frequency
-    scale = 1 / np.sqrt(x[~aside].mean(axis=0) + 1e-5)
-    xs, rows = x * scale, np.flatnonzero(~aside)
+    scale = 1 / np.sqrt(x[:n].mean(axis=0) + 1e-5)
+    held, truth = (x[n:], y[n:]) if n < len(x) else (x.copy(), y)
+    xs, rows = x[:n], np.arange(n)
+    xs *= scale
     for epoch in range(epochs):
         rate = 0.5 * (1 - epoch / epochs) + 0.01
         for part in np.array_split(rng.permutation(rows), max(1, len(rows) // 32)):
@@ -149,8 +171,6 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             e -= rate * (xs[part].T @ down)
     weights = ((scale[:, None] * e) @ w / np.sqrt(WIDTH)).astype(np.float64)
     model = Model(langs, weights, bias.astype(np.float64), 1.0, 0.0)
-    held = x[aside] if aside.any() else x
-    truth = y[aside] if aside.any() else y
     losses = []
     for t in np.geomspace(0.2, 8, 25):
         model.temperature = float(t)
@@ -160,6 +180,8 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     p = model.probabilities(held)
     right = p.max(axis=1)[p.argmax(axis=1) == truth]
     model.threshold = float(min(REJECT_MOST, np.quantile(right, REJECT_SHARE))) if len(right) else 0.0
+    del x, xs, held
+    give_back()
     return model
 
 
