@@ -482,6 +482,26 @@ def test_shuffles_start_with_more_partitions_for_more_rows(spark):
     assert spark.conf.get(size, None) == before
 
 
+def test_tasks_are_bounded_where_the_session_has_partitions_enough(spark):
+    key, size, parts = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
+    before, own = spark.conf.get(parts), spark.conf.get(size, None)
+    spark.conf.set(parts, "200")
+    try:
+        runtime.fit_partitions(spark, 36_000_000)  # 180 partitions would do
+        assert (spark.conf.get(key, None), spark.conf.get(size)) == (None, str(runtime.TASK_BYTES))
+        runtime.fit_partitions(spark, 600_000)
+        assert spark.conf.get(size, None) == own
+        spark.conf.set(size, "8m")  # smaller tasks of the session's own stay so
+        for rows_ in (36_000_000, 360_000_000):
+            runtime.fit_partitions(spark, rows_)
+            assert spark.conf.get(size) == str(8 << 20)
+        runtime.fit_partitions(spark, 600_000)
+        assert spark.conf.get(size) == "8m"
+    finally:
+        spark.conf.set(parts, before)
+        spark.conf.unset(size) if own is None else spark.conf.set(size, own)
+
+
 def test_nodes_alone_are_those_of_the_whole_trace(spark):
     rng = random.Random(8)
     df = ledger(spark, *[move(str(k), f"a{rng.randrange(60)}", f"a{rng.randrange(60)}", rng.randrange(1, 99)) for k in range(400)])
