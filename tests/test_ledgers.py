@@ -502,6 +502,26 @@ def test_tasks_are_bounded_where_the_session_has_partitions_enough(spark):
         spark.conf.unset(size) if own is None else spark.conf.set(size, own)
 
 
+def test_gas_stamp_runs_with_bounded_tasks_and_is_right(spark, tmp_path, monkeypatch):
+    from trailspark.plans import registry
+
+    monkeypatch.setattr(runtime, "FEW_ROWS", 5, raising=False)
+    size, own = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None)
+    line = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    day = pd.Timestamp("2024-01-01").to_pydatetime()
+    # order, line, tax, flag: native price first, then token, then internal; none of it that parses
+    told = [(1, 1, 0.05, "R"), (1, 2, 0.03, "A"), (1, 3, 0.04, "A"), (2, 1, 0.05, "R"), (2, 2, 0.0, "A"), (2, 3, 0.06, "N"), (3, 1, 0.07, "R"), (4, 1, 0.0, "R")]
+    spark.createDataFrame([(o, 2, 3, n, 2.0, 10.0 + n, tax, flag, "O", day) for o, n, tax, flag in told], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "O") for k in range(6)], "o_orderkey bigint, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    try:
+        got = registry.QUERIES["a7_gas_stamp"](spark, str(tmp_path))
+        assert spark.conf.get(size) == str(runtime.TASK_BYTES)
+        assert rows(got, "tx_hash", "amount", "gas_price") == [("0xab1", 1100, 3), ("0xab2", 1100, 6), ("0xab3", 1100, 7), ("0xab4", 1100, None)]
+    finally:
+        runtime.fit_partitions(spark, 0)
+    assert spark.conf.get(size, None) == own
+
+
 def test_nodes_alone_are_those_of_the_whole_trace(spark):
     rng = random.Random(8)
     df = ledger(spark, *[move(str(k), f"a{rng.randrange(60)}", f"a{rng.randrange(60)}", rng.randrange(1, 99)) for k in range(400)])
